@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Bound of the training sample: characters of text per language, and per document.
-TRAIN_CHARS, TRAIN_DOC_CHARS = 400_000, 4_000
+#: Bound of the training sample: characters of text per language; longer documents are not sampled.
+TRAIN_CHARS, TRAIN_DOC_CHARS = 400_000, 40_000
 ROUNDS = 2
 #: Words longer than this are scored in segments of this length.
 SEGMENT = 32
@@ -160,12 +160,13 @@ def held_out(doc_id: F.Column | str) -> F.Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", chars: int = TRAIN_CHARS) -> tuple[list[str], np.ndarray]:
     """Languages by code point and their piece probabilities, from rows outside the held-out fold.
 
-    The sample is bounded: of each language, the documents smallest by a hash of the id, up to
-    *chars* characters and TRAIN_DOC_CHARS of each. No labelled rows: no languages.
+    The sample is bounded: of each language, whole documents of at most TRAIN_DOC_CHARS characters,
+    smallest first by a hash of the id, until they have *chars* characters. No labelled rows: no
+    languages.
     The pre-selection by hash keeps what a window has to order small for any size of input.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(id)).alias("h"), held_out(id).alias("out"))
-    rows = rows.where("t is not null and l is not null and not coalesce(out, false)").select("l", "h", F.substring("t", 1, TRAIN_DOC_CHARS).alias("t"))
+    rows = rows.where("t is not null and l is not null and not coalesce(out, false)").where(F.length("t") <= TRAIN_DOC_CHARS).select("l", "h", "t")
     bits = rows.select("l", "h", F.length("t").alias("n"), F.shiftrightunsigned("h", 52).alias("bin"))
     w = Window.partitionBy("l").orderBy("bin")
     last = bits.groupBy("l", "bin").agg(F.sum("n").alias("n")).select("l", "bin", (F.sum("n").over(w) - F.col("n")).alias("before"))
@@ -253,7 +254,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id: str =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.string()), pa.array(odds, pa.float64())], names=[f"c{i}" for i in range(b.num_columns + 1)])
 
     kept = [F.col(id).alias("doc_id"), F.coalesce(held_out(id), F.lit(False)).alias("held_out"), *(F.col(c) for c in carry)]
-    rows = docs.select(F.col(text), *kept)
+    rows = docs.select(*(c.alias(f"i{i}") for i, c in enumerate([F.col(text), *kept])))
     kinds = [f.dataType.simpleString() for f in rows.schema.fields[1:]] + ["string", "double"]
     out = rows.mapInArrow(score, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
     return out.toDF("doc_id", "held_out", *carry, "lang_pred", "score")
