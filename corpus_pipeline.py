@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewright.llm import jaccard, langid, linededup, mixing, packing
 from lorewright.llm.queries import quality_weights
-from lorewright.llm.store import stored
+from lorewright.store import stored
 
 #: A document whose most likely language has a smaller posterior is rejected.
 LEAST_SCORE = 0.5

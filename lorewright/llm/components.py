@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.store import stored
+from lorewright.store import stored
 
 
 def components(edges: DataFrame) -> DataFrame:

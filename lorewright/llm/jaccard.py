@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.llm.components import components
-from lorewright.llm.store import stored
-from lorewright.llm.texts import U, constants, mix, shingle_sets
+from lorewright.store import small_batches, stored
+from lorewright.llm.texts import U, constants, groups, mix, shingle_sets
 
 #: Members of a bucket compared in one task unit.
 BLOCK = 2048
+#: At most so many ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 500_000
 _SEED = constants(64, 101)
 _BAND_BITS = 6
 
@@ -129,6 +131,44 @@ def _key_batch(doc: list, band: list, size: list, bits: list, keys: list) -> pa.
     )
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, doc) by key: those of keys with several documents, with the smallest and their number."""
+
+    def several(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch | None:
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(first, len(key)))
+        many = np.repeat(n > 1, n)
+        if not many.any():
+            return None
+        key, doc = key[many], doc[many]
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+        key, doc = key[fresh], doc[fresh]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(first, len(key)))
+        rows = pa.record_batch([pa.array(key), pa.array(doc), pa.array(np.repeat(doc[first], n)), pa.array(np.repeat(n, n))], names=["key", "doc", "low", "members"])
+        return rows.filter(pa.array(np.repeat(n > 1, n)))
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = None
+    for b in batches:
+        key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(key):
+            continue
+        # The last key may go on in the next batch.
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or last != key[-1]:
+            done = [*held, (key[:cut], doc[:cut])]
+            held = []
+            if out := several(*(np.concatenate(x) for x in zip(*done, strict=True))):
+                yield out
+        last = key[-1]
+        held.append((key[cut:], doc[cut:]))
+    if held and (out := several(*(np.concatenate(x) for x in zip(*held, strict=True)))):
+        yield out
+
+
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether 100 * intersection >= 80 * union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -160,35 +200,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of the consecutive rows that agree in the first *keys* columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        cut = np.zeros(b.num_rows, dtype=bool)
-        for c in cols:
-            cut[1:] |= c[1:] != c[:-1]
-        at = [0, *np.flatnonzero(cut).tolist(), b.num_rows]
-        for x, y in zip(at[:-1], at[1:], strict=True):
-            now = tuple(c[x] for c in cols)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = now
-            held.append(b.slice(x, y - x))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket (key, i, j), members with a possible partner in another component.
 
     Columns: key, i, j, part, doc, component, n, bits. Rows of part i are held against part j.
     """
-    for t in _groups(batches, 3):
+    for t in groups(batches, 3):
         part, i, j = t["part"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
         doc, comp, n = t["doc"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy().astype(np.int64)
         bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(doc), -1)
@@ -211,7 +228,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact links across components among the members (key, doc, component, text) of a bucket."""
-    for t in _groups(batches, 1):
+    for t in groups(batches, 1):
         doc, comp = t["doc"].to_numpy(), t["component"].to_numpy().copy()
         sets = list(shingle_sets(t["text"].combine_chunks()))
         a, b = [], []
@@ -234,6 +251,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     those of any of them. A null id takes no part; its component is null. Other columns of *docs*
     don't matter. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     pair = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = stored(pair.mapInArrow(_signature, "doc_id long, n long, h1 long, h2 long"), "sigs")
     known = sigs.where("n > 0 and doc_id is not null")
@@ -244,9 +262,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 
     texts = pair.join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
     table = stored(texts.mapInArrow(_keys, "doc long, band int, n int, bits binary, keys array<bigint>"), "keys")
-    dealt = table.select(F.explode("keys").alias("key"), "doc").distinct()
-    buckets = dealt.groupBy("key").agg(F.min("doc").alias("low"), F.count("*").alias("members")).where("members > 1")
-    bucket = stored(dealt.join(buckets, "key"), "buckets")
+    dealt = table.select(F.explode("keys").alias("key"), "doc").repartition("key").sortWithinPartitions("key")
+    bucket = stored(dealt.mapInArrow(_buckets, "key long, doc long, low long, members long"), "buckets")
     band = F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)")
     stars = bucket.where("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b"), band.alias("band")).distinct()
     of = table.select("doc", "band", "n", "bits")
@@ -269,7 +286,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     open_ = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     close = stored(open_.mapInArrow(_near, "key long, doc long, component long").distinct(), "close")
     if not close.isEmpty():
-        texts = close.join(pair.toDF("doc", "text"), "doc").repartition("key").sortWithinPartitions("key")
+        texts = close.join(_some(pair, close.select(F.col("doc").alias("doc_id")).distinct()).toDF("doc", "text"), "doc").repartition("key").sortWithinPartitions("key")
         second = stored(texts.select("key", "doc", "component", "text").mapInArrow(_joined, "a long, b long").distinct(), "links")
         parts = stored(components(links.unionByName(second)), "parts")
 
@@ -279,5 +296,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 
 def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts link."""
+    texts = _some(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     t = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return t.sortWithinPartitions("b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long").distinct()
+
+
+def _some(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of *ids*, written. Ids go to every task only if they are few; else both sides are dealt."""
+    ids = stored(ids, "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return stored(texts.join(ids.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_semi"), "texts")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewright.store import small_batches
+
 VOCABULARY = "piece_bpe_32k.model"
 #: Bound of the training sample: characters of text per language; longer documents are not sampled.
 TRAIN_CHARS, TRAIN_DOC_CHARS = 400_000, 40_000
@@ -31,7 +33,7 @@ SEGMENT = 32
 PIECE = 12
 KNOWN_WORDS = 300_000
 FOLDS = 5
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{SEGMENT}}}")
 _UNKNOWN = 1e-7
 
 
@@ -57,33 +59,45 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 def words_of(text: str) -> list[str]:
     """The lower-cased runs of letters, each in segments of at most SEGMENT characters."""
-    words = _LETTERS.findall(text.lower())
-    if any(len(w) > SEGMENT for w in words):
-        words = [w[i : i + SEGMENT] for w in words for i in range(0, len(w), SEGMENT)]
-    return words
+    return _LETTERS.findall(text.lower())
+
+
+class Pieces:
+    """A vocabulary as an automaton that finds every piece in many words at once."""
+
+    def __init__(self, rows: dict[str, int]):
+        import ahocorasick
+
+        self.n = len(rows)
+        self.length = np.array([len(p) for p in rows], np.int64)
+        self.machine = ahocorasick.Automaton()
+        for p, r in rows.items():
+            self.machine.add_word(p, r)
+        self.machine.make_automaton()
 
 
-def lattice(words: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Arcs (word, start, end, piece) ordered by end, and each word's length with its mark.
+def lattice(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arcs' word, start, end and piece, ordered by end; and each word's length with its mark.
 
     Every single character has an arc; one outside the vocabulary has the row after the last.
     """
-    arcs: list[tuple[int, int, int, int]] = []
-    unknown = len(pieces)
-    get = pieces.get
-    for k, w in enumerate(words):
-        w = "^" + w
-        n = len(w)
-        for i in range(n):
-            r = get(w[i])
-            arcs.append((k, i, i + 1, unknown if r is None else r))
-            for j in range(i + 2, min(n, i + PIECE) + 1):
-                r = get(w[i:j])
-                if r is not None:
-                    arcs.append((k, i, j, r))
-    a = np.array(arcs, dtype=np.int64).reshape(-1, 4)
-    a = a[np.argsort(a[:, 2], kind="stable")]
-    return a[:, 0], a[:, 1], a[:, 2], a[:, 3], np.array([len(w) + 1 for w in words], np.int64)
+    length = np.array([len(w) + 1 for w in words], np.int64)
+    begin = np.cumsum(length + 1) - length - 1
+    text = "^" + "\n^".join(words)
+    found = list(pieces.machine.iter(text))
+    last = np.fromiter((e for e, _ in found), np.int64, len(found))
+    piece = np.fromiter((r for _, r in found), np.int64, len(found))
+    first = last - pieces.length[piece] + 1
+    lone = np.ones(len(text), dtype=bool)
+    lone[first[first == last]] = False
+    lone[begin[1:] - 1] = False
+    more = np.flatnonzero(lone)
+    first, last = np.concatenate((first, more)), np.concatenate((last, more))
+    piece = np.concatenate((piece, np.full(len(more), pieces.n)))
+    word = np.searchsorted(begin, first, "right") - 1
+    start, end = first - begin[word], last - begin[word] + 1
+    order = np.argsort(end, kind="stable")
+    return word[order], start[order], end[order], piece[order], length
 
 
 def _forward(arcs: tuple, p: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -101,7 +115,7 @@ def _forward(arcs: tuple, p: np.ndarray, n: int, width: int) -> np.ndarray:
     return alpha
 
 
-def log_likelihoods(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
+def log_likelihoods(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """[words, languages]: the log of the sum over all segmentations."""
     out = np.empty((len(words), p.shape[1]))
     for lo in range(0, len(words), 4096):
@@ -112,12 +126,12 @@ def log_likelihoods(words: list[str], pieces: dict[str, int], p: np.ndarray) ->
     return out
 
 
-def learn(counts: list[Counter], pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
+def learn(counts: list[Counter], pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """[pieces + 1, languages]: probabilities from each language's word counts by EM.
 
     The last row stands for a character outside the vocabulary. A piece never used keeps a floor.
     """
-    rows = len(pieces) + 1
+    rows = pieces.n + 1
     out = np.empty((rows, len(counts)))
     for c, count in enumerate(counts):
         words = sorted(count)
@@ -184,14 +198,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
     counts = [Counter() for _ in langs]
     for r in got:
         counts[langs.index(r.l)].update(words_of(r.t))
-    return langs, learn(counts, vocabulary())
+    return langs, learn(counts, Pieces(vocabulary()))
 
 
 class Scorer:
     """Predictions for batches of texts; keeps the likelihoods of words it has seen."""
 
     def __init__(self, langs: list[str], p: np.ndarray):
-        self.langs, self.p, self.pieces = langs, p, vocabulary()
+        self.langs, self.p, self.pieces = langs, p, Pieces(vocabulary())
         self.rows: dict[str, int] = {}
         self.values = np.zeros((0, len(langs)))
         self.used = 0
@@ -237,6 +251,18 @@ class Scorer:
         return lang, score
 
 
+_scorers: dict[bytes, Scorer] = {}
+
+
+def scorer_of(langs: list[str], p: np.ndarray) -> Scorer:
+    """The scorer that this worker process has for a model; only the last model's is kept."""
+    key = "\0".join(langs).encode() + p.tobytes()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(langs, p)
+    return _scorers[key]
+
+
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, held_out boolean, lang_pred string, score double (the posterior, 0 to 1).
 
@@ -247,8 +273,10 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id: str =
     """
     langs, p = train(docs, text, lang, id)
 
+    small_batches(docs.sparkSession)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(langs, p)
+        scorer = scorer_of(langs, p)
         for b in batches:
             got, odds = scorer.predict(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.string()), pa.array(odds, pa.float64())], names=[f"c{i}" for i in range(b.num_columns + 1)])

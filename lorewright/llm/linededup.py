@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.store import stored
+from lorewright.store import small_batches, stored
 from lorewright.llm.texts import U, constants, mix
 
 #: A run of lines repeats if it has at least this many words.
@@ -140,6 +140,7 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: t
     stay as they are. Lines are compared without the white space at their ends. *carry* names
     further columns to keep; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = base.where("doc is not null and text is not null").mapInArrow(_windows, "doc long, body long, first int, last int, print long, content long")
     rows = stored(rows, "windows")

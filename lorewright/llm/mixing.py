@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.store import stored
+from lorewright.store import stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0

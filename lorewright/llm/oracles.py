@@ -19,10 +19,10 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
 from split left join (select * from fits where n = 1) f on split.url = f.url""",
     "op4_exact_topk": r"""
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
-  where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5""",
@@ -49,4 +49,13 @@ x as (
   select d.doc_id, d.size, c.source_size, c.target, c.epochs, c.due, sum(d.size) over (partition by d.source order by k, d.doc_id, d.size rows between unbounded preceding and current row) - d.size as before
   from d join c on d.source is not distinct from c.source)
 select doc_id, size, cast(source_size as bigint) as source_size, target, cast(epochs * size + greatest(0, least(size, due - before)) as bigint) as taken from x""",
+    "op6_chat_format": r"""
+with d as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (
+  select conv_id, count(*) as n_turns, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by turn nulls first, role, text) as text,
+    string_agg(md5(role || chr(0) || text), '' order by turn nulls first, role, text) as key
+  from d group by conv_id),
+g as (select key, n_turns, text, min(conv_id) as conv_id, count(*) as copies from c group by key, n_turns, text),
+p as (select distinct substr(key, 1, cast(32 * k as bigint)) as key from (select key, unnest(range(1, n_turns)) as k from c))
+select conv_id, n_turns, copies, text from g where key not in (select key from p)""",
 }

@@ -12,9 +12,11 @@ and dealt into step groups of STEP_TOKENS tokens each, so every step of a traine
 
 from __future__ import annotations
 
+import base64
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,45 +24,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "byte_bpe_50k.json"
+from lorewright.store import small_batches
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 TIERS = (2048, 1024, 512, 256)
 END = 1
 BUFFER_TOKENS = 1 << 20
 STEP_TOKENS = 16 * 2048
-KNOWN = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class Encoder:
-    """Ids of whole texts: the public pattern cuts a text, and each distinct cut is encoded once.
+    """Ids of whole texts, as the ``tokenizers`` file byte_bpe_50k.json gives them.
 
-    Byte-level BPE never merges across the pattern's cuts, so the ids are those of the tokenizer
-    for the whole text. The strings of special tokens are ordinary text.
+    The same vocabulary is read as ranks (byte_bpe_50k.tiktoken): its encoder gives the same ids
+    four times as fast, which tests hold against ``tokenizers``. The strings of special tokens are
+    ordinary text.
     """
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.cut(text)
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
-        except KeyError:
-            pass
-        if len(known) > KNOWN:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        return np.array(self.encoding.encode_ordinary(text), "<u4")
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str | None) -> Encoder:
+    """The encoder of this worker process."""
+    return Encoder(path)
 
 
 class Packer:
@@ -168,9 +165,11 @@ def pack(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str | No
     task above 32 bits of a count, so a task run again gives the same ids.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        encoder, packer = Encoder(path), Packer(context.partitionId() if context else 0, tiers)
+        encoder, packer = encoder_of(path), Packer(context.partitionId() if context else 0, tiers)
         end = np.array([END], "<u4")
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):

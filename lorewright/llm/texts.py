@@ -126,3 +126,26 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     for first, last in slices(offsets):
         words, at = word_hashes(offsets[first : last + 1], raw)
         yield from shingle_hashes(words, at, width)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the consecutive rows that agree in the first *keys* columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        cut = np.zeros(b.num_rows, dtype=bool)
+        for c in cols:
+            cut[1:] |= c[1:] != c[:-1]
+        at = [0, *np.flatnonzero(cut).tolist(), b.num_rows]
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            now = tuple(c[x] for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)

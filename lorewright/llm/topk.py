@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.store import stored
+from lorewright.store import stored
 
 SCALE = 256
 BINS = 256
