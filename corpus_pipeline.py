@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.llm import jaccard, langid, linededup, mixing, packing
-from lorewright.llm.queries import quality_weights
 from lorewright.store import stored
 
 #: A document whose most likely language has a smaller posterior is rejected.
@@ -16,7 +15,9 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, or of which no language is likely, go."""
     out = langid.identify(docs, carry=tuple(docs.columns))
-    return _columns(out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs, 2)
+    out = out.toDF("id", "held_out", *(f"c{i}" for i in range(len(docs.columns))), "lang_pred", "posterior")
+    out = out.where((F.col("lang_pred") != "und") & (F.col("posterior") >= LEAST_SCORE))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near duplicates."""
     found = jaccard.near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    few = gone.count() <= jaccard.BROADCAST_IDS
+    kept = docs.join(gone.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     # Repeated rows of the document that stays.
     again = F.row_number().over(_same("doc_id"))
     many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -48,10 +50,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Documents that the mix takes no word of, which include those without words, go.
     """
-    weights = quality_weights(spark, sf_dir).withColumnRenamed("doc_id", "weight_of")
     rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("whole"))
-    rows = rows.join(weights, F.col("doc_id") == F.col("weight_of"), "left")
-    out = mixing.mix(rows, quality=F.col("quality_weight"), carry=("whole",)).where("taken > 0")
+    out = mixing.mix(rows, carry=("whole",)).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     return out.select("whole", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("whole.*")
 
@@ -61,12 +61,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-def _columns(out: DataFrame, docs: DataFrame, ahead: int) -> DataFrame:
-    """The columns of *docs*, which follow *ahead* others, even where names clash."""
-    names = [f"c{i}" for i in range(len(out.columns))]
-    return out.toDF(*names).select(*(F.col(names[ahead + i]).alias(c) for i, c in enumerate(docs.columns)))
-
-
 def _same(id: str):
     from pyspark.sql import Window
 

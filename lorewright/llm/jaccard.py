@@ -39,7 +39,7 @@ from lorewright.llm.texts import U, constants, groups, mix, shingle_sets
 #: Members of a bucket compared in one task unit.
 BLOCK = 2048
 #: At most so many ids (8 bytes each) are broadcast.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 2_000_000
 _SEED = constants(64, 101)
 _BAND_BITS = 6
 
@@ -258,9 +258,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     classes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     same = known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> rep")
     same = stored(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
-    reps = classes.where(f"n >= {BANDS[0]}").select(F.col("rep").alias("doc_id")).distinct()
+    # Copies go, and so does an id with several texts only where none of them stands for a class.
+    reps = classes.where("copies > 1").select(F.col("rep").alias("doc_id"))
+    copies = stored(same.select(F.col("a").alias("doc_id")).distinct().join(reps, "doc_id", "left_anti"), "copies")
+    few = copies.count() <= BROADCAST_IDS
 
-    texts = pair.join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
+    texts = pair.where("doc_id is not null").join(copies.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_anti")
     table = stored(texts.mapInArrow(_keys, "doc long, band int, n int, bits binary, keys array<bigint>"), "keys")
     dealt = table.select(F.explode("keys").alias("key"), "doc").repartition("key").sortWithinPartitions("key")
     bucket = stored(dealt.mapInArrow(_buckets, "key long, doc long, low long, members long"), "buckets")

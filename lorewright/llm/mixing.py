@@ -19,6 +19,8 @@ from lorewright.store import stored
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 _BITS = 12
+#: At most so many sources are broadcast.
+BROADCAST_SOURCES = 200_000
 
 
 def words(text: F.Column) -> F.Column:
@@ -26,6 +28,15 @@ def words(text: F.Column) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def quality_weight(text: F.Column, size: F.Column) -> F.Column:
+    """2 for at least 50 words of 3 to 10 characters on average, 0.5 for fewer than 10 words, else 1.
+
+    The limits are those of published rules for web text; a blank per word counts as its own.
+    """
+    n = F.coalesce(F.length(text), F.lit(0))
+    return F.when((size >= 50) & n.between(size * 4, size * 11), 2.0).when(size < 10, 0.5).otherwise(1.0)
+
+
 def draw(id: F.Column) -> F.Column:
     """A number in (0, 1) with 52 bits from the id's MD5."""
     return (F.conv(F.substring(F.md5(F.coalesce(id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -90,17 +101,26 @@ def plan(docs: DataFrame, **rule) -> DataFrame:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id", quality: F.Column | None = None, carry: tuple[str, ...] = (), **rule) -> DataFrame:
     """Per row: doc_id, size long, source_size long, target double, taken long, and *carry*.
 
-    *quality* is a positive weight, 1 by default and for null or other values. Null text has size 0
+    *quality* is a positive weight, 1 for null or other values; by default quality_weight of the text. Null text has size 0
     and gives nothing. Null sources are one source, the last. A null id counts as the largest.
     Equal keys are ordered by id, then size; repeated rows share an edge evenly. An empty table
     gives an empty result. taken is at most 2 times the size, and a source's taken words differ
     from its target by less than a word, or by less than the number of rows that share an edge.
     """
-    w = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
-    key = [F.col(source).alias("source"), words(F.col(text)).alias("size"), (1.0 - F.pow(draw(F.col(id)), 1.0 / w)).alias("k"), F.coalesce(F.col(id).cast("long"), F.lit((1 << 63) - 1)).alias("id")]
-    p = plan(docs.select(*key), **rule).withColumnRenamed("source", "mix_source")
-    rows = docs.select(F.struct(F.col(id).alias("doc_id"), *(F.col(c) for c in carry)).alias("row"), *key)
-    j = rows.join(p, F.col("source").eqNullSafe(F.col("mix_source")))
+    size = words(F.col(text))
+    w = None if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
+
+    def keyed(*kept: F.Column) -> DataFrame:
+        text_or_weight = F.col(text) if quality is None else w
+        rows = docs.select(*kept, F.col(source).alias("source"), size.alias("size"), F.col(id).cast("long").alias("own"), text_or_weight.alias("of"))
+        weight = quality_weight(F.col("of"), F.col("size")) if quality is None else F.col("of")
+        k = (1.0 - F.pow(draw(F.col("own")), 1.0 / weight)).alias("k")
+        return rows.select(*(c for c in ["row"] if kept), "source", "size", k, F.coalesce("own", F.lit((1 << 63) - 1)).alias("id"))
+
+    p = plan(keyed(), **rule).withColumnRenamed("source", "mix_source")
+    rows = keyed(F.struct(F.col(id).alias("doc_id"), *(F.col(c) for c in carry)).alias("row"))
+    # One row per source: broadcast, as long as there are few; the texts then stay where they are.
+    j = rows.join(F.broadcast(p) if p.count() <= BROADCAST_SOURCES else p, F.col("source").eqNullSafe(F.col("mix_source")))
     at, edge = F.struct("k", "id", "size"), F.struct("edge_k", "edge_id", "edge_size")
     part = F.when(F.col("edge_k").isNull(), 0).when(at < edge, F.col("size")).when(at == edge, F.col("edge_words")).otherwise(0)
     return j.select("row.doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *(f"row.{c}" for c in carry))

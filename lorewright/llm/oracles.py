@@ -27,11 +27,12 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 5""",
     "op7_mixing": rf"""
-with q as (select doc_id, case when max(quality) > 0 then 2.0 else 0.5 end as w from labels where doc_id is not null and quality is not null group by doc_id),
+with z as (select doc_id, source, cast({WORDS} as bigint) as size, coalesce(length(text), 0) as chars from documents),
 d as (
-  select d.doc_id, d.source, cast({WORDS} as bigint) as size,
-    1.0 - pow((cast('0x' || substr(md5(coalesce(cast(d.doc_id as varchar), '')), 1, 13) as bigint) + 0.5) / 4503599627370496.0, 1.0 / coalesce(q.w, 1.0)) as k
-  from documents d left join q on d.doc_id = q.doc_id),
+  select doc_id, source, size,
+    1.0 - pow((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) + 0.5) / 4503599627370496.0,
+      1.0 / case when size >= 50 and chars between size * 4 and size * 11 then 2.0 when size < 10 then 0.5 else 1.0 end) as k
+  from z),
 s as (select source, sum(size) as source_size from d group by source),
 r as (
   select source, source_size, cast(case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as double) as weight from s),

@@ -25,12 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, quality_weight): 2 for documents labelled good, 0.5 for bad ones; others have no row."""
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null")
-    return labels.groupBy("doc_id").agg(F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("quality_weight"))
-
-
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "pages"), rule_table(spark), carry=("page_id",))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -57,9 +51,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    docs = docs.join(quality_weights(spark, sf_dir), "doc_id", "left")
-    return mix(docs, quality=F.col("quality_weight"))
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
