@@ -61,7 +61,7 @@ query(
 query(WITH + f"select p, o from t where s = '{PERSON}' and p not in {_in(NOT_GENERAL)}", "ask_general")(_asked("general"))
 query(
     WITH
-    + f"select p as rel, o as "targetName" from t where s = '{PERSON}' and o = '{OTHER}' and p in ('hasTeacher', 'hasStudent', 'hasFriend') "
+    + f"select p as rel, o as targetName from t where s = '{PERSON}' and o = '{OTHER}' and p in ('hasTeacher', 'hasStudent', 'hasFriend') "
     + f"union all select 'reverse:' || p, o from t where s = '{OTHER}' and o = '{PERSON}' and p in ('hasTeacher', 'hasStudent', 'hasFriend')",
     "two_person_relation",
 )(_asked("two_person_relation", PERSON, OTHER))

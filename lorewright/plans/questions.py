@@ -1 +1,103 @@
-"""Queries: questions."""
+"""Queries of question answering: one generated question per supplier."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lorewright.operators import questions as Q
+from lorewright.plans.registry import query, table
+from lorewright.sources.canonical import PRELUDE, triples
+
+SUFFIXES = ("的字是什么", "的号是什么？", "的籍贯是什么", "的老师是谁", "的弟子有哪些", "属于哪个流派", "有哪些朋友", "是谁", "你觉得怎么样", "的故事")
+_K = len(SUFFIXES)
+_QUESTIONS = f"qs as (select s_suppkey as qid, s_name as name, s_name || list_extract({list(SUFFIXES)!r}, 1 + s_suppkey % {_K}) as question from supplier)"
+_STRIPPED = ["", "", "", "", "", "", "有哪些朋友", "", "你觉得怎么样", "的故事"]
+
+
+def asked(spark, sf_dir):
+    """(qid, question, name, entities, intent, template, route); names are found by their pattern."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("qid"), F.concat("s_name", F.element_at(F.array(*map(F.lit, SUFFIXES)), (1 + k % _K).cast("int"))).alias("question"))
+    rows = rows.withColumn("entities", F.regexp_extract_all("question", F.lit(r"Supplier#\d+"), F.lit(0)))
+    rows = rows.withColumns({"name": F.try_element_at("entities", F.lit(1)), "intent": Q.intent(F.col("question"))})
+    return rows.withColumns({"template": Q.template_of(F.col("question"), F.col("intent"), F.col("entities")), "route": Q.route(F.col("intent"), F.col("entities"))})
+
+
+@query(f"with {_QUESTIONS} select qid, name || list_extract({_STRIPPED!r}, 1 + qid % {_K}) as stripped from qs")
+def question_strip(spark, sf_dir):
+    return asked(spark, sf_dir).select("qid", Q.stripped(F.col("question")).alias("stripped"))
+
+
+def _cascade(rules, default: str, column: str) -> str:
+    legs = " ".join(f"when {' or '.join(f'''contains({column}, '{w}')''' for w in words)} then '{label}'" for words, label in rules)
+    return f"case {legs} else '{default}' end"
+
+
+_INTENT = _cascade(Q.INTENTS, "unknown", "question")
+_ATTRIBUTE = _cascade(Q.ATTRIBUTE_INTENTS, "general", "question")
+_ASKED = f"""{_QUESTIONS}, i as (select *, {_INTENT} as intent from qs), a as (select *, case intent when 'query_attribute' then {_ATTRIBUTE} when 'query_relation' then 'ask_teacher' when 'query_student' then 'ask_student'
+  when 'query_school' then 'ask_school' when 'query_path' then 'ask_relation' when 'query_list' then 'ask_relation' else 'general' end as template, case when intent in ('opinion', 'unknown') then 'fallback' else 'query' end as route from i)"""
+
+
+@query(f"with {_ASKED} select qid, intent, {_ATTRIBUTE} as attribute_intent from a")
+def intent_classify(spark, sf_dir):
+    return asked(spark, sf_dir).select("qid", "intent", Q.attribute_intent(F.col("question")).alias("attribute_intent"))
+
+
+@query(f"with {_ASKED} select qid, template, route from a")
+def question_route(spark, sf_dir):
+    return asked(spark, sf_dir).select("qid", "template", "route")
+
+
+@query()
+def question_entities(spark, sf_dir):
+    """Names found by their characters in questions of the language."""
+    rows = spark.createDataFrame([(1, "文彭和何震是什么关系？"), (2, "请问蘇宣的老师是谁"), (3, "浙派有哪些人"), (4, "何震的弟子有哪些")], "qid long, question string")
+    return rows.select("qid", F.array_join(Q.entity_spans(Q.stripped(F.col("question"))), ",").alias("entities"))
+
+
+_MAP = " ".join(f"when '{k}' then '{v}'" for k, v in Q._PREDICATE.items())
+_RESULTS = f"""{PRELUDE}, {_ASKED}, k as (select * from a where route = 'query'), rs as (
+  select qid, intent, o as a, cast(null as varchar) as b, p as key_a, cast(null as varchar) as key_b from k join t on s = name and p = case template {_MAP} end
+  union all select qid, intent, p, o, 'p', 'o' from k join t on s = name where template = 'general' and p not in ('personName', 'confidence', 'dataSource', 'extractionMethod', 'ctextId', 'cbdbId')
+  union all select distinct qid, intent, n.o, null, 'schoolName', null from k join t on t.s = name and t.p in ('belongsToSchool', 'hasFounder') join t n on n.s = t.o and n.p = 'schoolName' where template = 'ask_school'
+  union all select qid, intent, p, o, 'rel', 'targetName' from k join t on s = name where template = 'ask_relation' and p in ('hasTeacher', 'hasStudent', 'hasFriend', 'hasFather', 'hasSon', 'influencedBy', 'inheritedFrom')
+  union all select qid, intent, p, s, 'rel', 'targetName' from k join t on o = name and o_kind = 'iri' where template = 'ask_relation' and p in ('hasTeacher', 'hasStudent', 'hasFriend', 'hasFather', 'hasSon', 'influencedBy', 'inheritedFrom')
+  union all select qid, intent, o, p, 'teacherName', 'rel' from k join t on s = name and p = 'hasTeacher' where template = 'ask_teacher'
+  union all select qid, intent, s, p, 'teacherName', 'rel' from k join t on o = name and p = 'hasStudent' where template = 'ask_teacher'
+  union all select qid, intent, o, p, 'studentName', 'rel' from k join t on s = name and p = 'hasStudent' where template = 'ask_student'
+  union all select qid, intent, s, p, 'studentName', 'rel' from k join t on o = name and p = 'hasTeacher' where template = 'ask_student')"""
+
+
+@query(f"with {_RESULTS} select qid, a, b, key_a, key_b from rs")
+def question_results(spark, sf_dir):
+    q = asked(spark, sf_dir)
+    return Q.results(q.where("route = 'query'").select("qid", "name", "template"), triples(spark, sf_dir))
+
+
+@query(
+    f"""with {_RESULTS}, c as (select qid, count(*) as n from rs group by qid)
+select a.qid, coalesce(n, 0) as row_count, case when route = 'query' and n is null then 'NO_RESULT' end as error_type, n is not null as is_valid from a left join c on a.qid = c.qid"""
+)
+def verify_result(spark, sf_dir):
+    q = asked(spark, sf_dir)
+    rows = Q.results(q.where("route = 'query'").select("qid", "name", "template"), triples(spark, sf_dir))
+    return Q.verified(q, rows).select("qid", "row_count", "error_type", "is_valid")
+
+
+def _labels(labels: dict[str, str], column: str) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in labels.items()) + f" else {column} end"
+
+
+@query(
+    f"""with {_RESULTS}, o as (select *, row_number() over (partition by qid order by a, b nulls first) as n from rs),
+l as (select qid, intent, n, case intent when 'query_attribute' then case when key_a = 'p' then {_labels(Q.ATTRIBUTE_LABELS, 'a')} || '：' || b else {_labels(Q.ATTRIBUTE_LABELS, 'key_a')} || '：' || a end
+  when 'query_relation' then {_labels(Q.RELATION_LABELS, 'key_a')} || '：' || a || coalesce('；' || {_labels(Q.RELATION_LABELS, 'key_b')} || '：' || b, '') when 'query_school' then a
+  else case when n <= 5 then key_a || '：' || a || coalesce('；' || key_b || '：' || b, '') end end as line from o),
+g as (select qid, intent, count(*) as row_count, case when intent = 'query_school' then '包括：' || string_agg(line, '、' order by n) else string_agg(line, '；' order by n) end as body from l group by qid, intent)
+select a.qid, case when route = 'fallback' then '很抱歉，我无法回答您的问题。' when row_count is null then '经过查询，知识图谱中暂未收录「' || name || '」的详细信息。'
+  else '关于「' || name || '」：' || body || chr(10) || '（以上数据来源于知识图谱，共 ' || row_count || ' 条记录）' end as answer, case when row_count is null then 'fallback' else 'kg_query' end as answer_source, coalesce(row_count, 0) as row_count
+from a left join g on a.qid = g.qid"""
+)
+def answer_format(spark, sf_dir):
+    return Q.answers(asked(spark, sf_dir), triples(spark, sf_dir))

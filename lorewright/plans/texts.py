@@ -1 +1,208 @@
-"""Queries: texts."""
+"""Queries on text: entries, entities, relations, normal forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lorewright.functions import text as T
+from lorewright.operators import entries, ner, normalize, relations
+from lorewright.operators.knowledge import first_by_key
+from lorewright.plans.registry import query, table
+
+_LINES = "ln as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as pos from documents where text is not null)"
+
+
+@query(
+    f"""with {_LINES}, m as (select *, regexp_full_match(line, '\\S+') as ch, regexp_full_match(line, '\\S+ \\S+') as ti from ln),
+w as (select *, sum(case when ch or ti then 1 else 0 end) over o as part, last_value(case when ch then line end ignore nulls) over o as c0, last_value(case when not ch and ti then trim(line) end ignore nulls) over o as t0
+  from m window o as (partition by doc_id order by pos rows between unbounded preceding and current row)),
+g as (select doc_id, part, coalesce(c0, 'front') as chapter, coalesce(t0, 'opening') as title, trim(string_agg(trim(line), '' order by pos)) as content from w where not ch and not ti group by all)
+select doc_id as file, cast(row_number() over (partition by doc_id order by part) - 1 as bigint) as section_idx, chapter, title, content from g where content <> ''"""
+)
+def entry_split(spark, sf_dir):
+    """Lines of one word are chapters, lines of two are titles."""
+    return entries.split_entries(table(spark, sf_dir, "documents"), "doc_id", "text", r"^(\S+)$", r"^(\S+ \S+)$", ("front", "opening"))
+
+
+@query("select doc_id, sentence, count(*) as n from (select doc_id, trim(unnest(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?]+[.!?]*|[.!?]+'))) as sentence from documents) where sentence <> '' group by all")
+def sentence_split(spark, sf_dir):
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    runs = F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"[^.!?]+[.!?]*|[.!?]+"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(runs).alias("sentence")).groupBy("doc_id", "sentence").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t]+', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as text from documents")
+def whitespace_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
+
+
+@query("select doc_id, translate(text, 'äöüßéèê', 'aousEEE') as text from documents")
+def variant_translate(spark, sf_dir):
+    pairs = dict(zip("äöüßéèê", "aousEEE", strict=True))
+    return table(spark, sf_dir, "documents").select("doc_id", T.variants(F.col("text"), pairs).alias("text"))
+
+
+@query("select page_id, replace(html, '--', '##') as html from pages")
+def punctuation_map(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_punctuation(F.replace("html", F.lit("--"), F.lit("──"))).alias("html")).withColumn("html", F.replace("html", F.lit("——"), F.lit("##")))
+
+
+_PERIODS = ["that", "which", "from", "nicht", "avec", "para", "that"]
+
+
+@query("select doc_id, array_to_string(list_filter(['that', 'which', 'from', 'nicht', 'avec', 'para'], lambda p: contains(text, p)), ',') as periods from documents")
+def period_extract(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.present(F.col("text"), _PERIODS), ",").alias("periods"))
+
+
+@query("select doc_id, i as start, substr(text, greatest(i - 20, 0) + 1, least(i + 24, length(text)) - greatest(i - 20, 0)) as evidence from (select doc_id, text, strpos(text, 'that') - 1 as i from documents) where i >= 0")
+def evidence_window(spark, sf_dir):
+    at = F.instr("text", F.lit("that")).cast("long") - 1
+    rows = table(spark, sf_dir, "documents").withColumn("start", at).where("start >= 0")
+    return rows.select("doc_id", "start", T.window(F.col("text"), F.col("start"), F.col("start") + 4).alias("evidence"))
+
+
+@query("select doc_id, text from documents where contains(text, 'Released under') order by doc_id limit 1")
+def entry_lookup(spark, sf_dir):
+    """The first entry that holds a phrase."""
+    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("Released under"))).select("doc_id", "text").orderBy("doc_id").limit(1)
+
+
+# Dictionary: the long words of the benchmark texts, with a type by their first letter.
+_DICT = """dc as (select word, case when word < 'i' then 'PERSON' when word < 'q' then 'PLACE' else 'SCHOOL' end as etype
+  from (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) as word from benchmark))"""
+
+
+def dictionary(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("word")).distinct()
+    return words.withColumn("etype", F.when(F.col("word") < "i", "PERSON").when(F.col("word") < "q", "PLACE").otherwise("SCHOOL"))
+
+
+_NER = f"""{_DICT}, pat as (select '(' || string_agg(word, '|' order by length(word) desc, word) || ')' as p from dc),
+x as (select doc_id, unnest(regexp_extract_all(text, p)) as word from documents, pat)"""
+
+
+@query(f"with {_NER} select doc_id as id, x.word, etype, count(*) as n from x join dc on dc.word = x.word group by all")
+def dict_ner(spark, sf_dir):
+    found = ner.dictionary_entities(table(spark, sf_dir, "documents"), "doc_id", "text", dictionary(spark, sf_dir))
+    return found.groupBy("id", "word", "etype").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""with {_NER}, k as (select doc_id as original, substr(word, 1, 4) as normalized, etype, min(x.word) as w from x join dc on dc.word = x.word group by all)
+select normalized, etype, string_agg(cast(original as varchar), ',' order by original) as originals from k group by all"""
+)
+def entity_dedup_group(spark, sf_dir):
+    """Documents that name an entity of a normal form, in order of their ids."""
+    found = ner.dictionary_entities(table(spark, sf_dir, "documents"), "doc_id", "text", dictionary(spark, sf_dir))
+    rows = found.select(F.substring("word", 1, 4).alias("normalized"), "etype", F.col("id").cast("string").alias("original"), F.col("id").alias("place"))
+    return ner.group_normalized(rows)
+
+
+_STYLES = {"twice": r"\b(?:the the|of of)\b", "numbers": r"[0-9]+(?:\.[0-9]+)?", "shout": r"[A-Z]{3,}!!"}
+
+
+@query(
+    "select doc_id as id, label, word, count(*) as n from ("
+    + " union all ".join(f"select doc_id, '{k}' as label, unnest(regexp_extract_all(text, '{p}')) as word from documents" for k, p in _STYLES.items())
+    + ") group by all"
+)
+def regex_style_ner(spark, sf_dir):
+    return ner.pattern_entities(table(spark, sf_dir, "documents"), "doc_id", "text", _STYLES)
+
+
+_RULES = {"partOf": ("([a-z]+) of ([a-z]+)", 0.93), "comesFrom": ("([a-z]+) from ([a-z]+)", 0.9), "joinedWith": ("([a-z]+) and ([a-z]+)", 0.88)}
+
+
+@query(
+    "select distinct id, subject, predicate, object, confidence from ("
+    + " union all ".join(
+        f"select doc_id as id, unnest(regexp_extract_all(text, '{p}', 1)) as subject, '{k}' as predicate, unnest(regexp_extract_all(text, '{p}', 2)) as object, cast({c} as double) as confidence from documents" for k, (p, c) in _RULES.items()
+    )
+    + ") where subject <> object"
+)
+def relation_rules(spark, sf_dir):
+    return relations.pair_relations(table(spark, sf_dir, "documents"), "doc_id", "text", _RULES)
+
+
+_CORPUS = [
+    ("卷一", "何震", "千秋繼何震起。蘇宣，字爾宣。蘇宣得之文彭。文彭開吳門印派。梁千秋為婺源人。"),
+    ("卷一", "文彭", "陶碧從江高學印章。程原得文彭之傳。丁敬屬浙派。歸昌世師文彭。梁千秋仿何震。"),
+    ("卷二", "蘇宣", "自文彭開之，其後吳門皆宗之。嫡傳則獨有程原父子。何震受業於文彭。"),
+]
+_KNOWN = ["何震", "文彭", "蘇宣", "梁千秋", "千秋", "程原", "丁敬", "歸昌世", "江高", "陶碧"]
+
+
+@query()
+def relation_rules_cjk(spark, sf_dir):
+    """The rule table on sentences of its own language."""
+    corpus = spark.createDataFrame(_CORPUS, "chapter string, title string, content string")
+    return relations.extract_relations(corpus, _KNOWN)
+
+
+_PREDICATES = list(normalize.SCHEMA)
+
+
+def _case(pairs: dict[str, str], column: str) -> str:
+    return f"case trim({column}) " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs.items()) + f" else trim({column}) end"
+
+
+_RAW = f"select p_partkey as id, list_extract({[*normalize.SCHEMA, 'other']!r}, 1 + p_partkey % {len(normalize.SCHEMA) + 1}) || ' ' as raw from part"
+
+
+@query(f"with r as ({_RAW}) select id, {_case(normalize.SCHEMA, 'raw')} as schema_name, {_case(normalize.RDF, _case(normalize.SCHEMA, 'raw'))} as property from r")
+def predicate_normalize(spark, sf_dir):
+    raw = F.concat(F.element_at(F.array(*map(F.lit, [*normalize.SCHEMA, "other"])), (1 + F.col("p_partkey") % (len(normalize.SCHEMA) + 1)).cast("int")), F.lit(" "))
+    s = normalize.predicate(raw)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), s.alias("schema_name"), normalize.predicate(s, normalize.RDF).alias("property"))
+
+
+@query(f"with r as ({_RAW}), x as (select id, {_case(normalize.RDF, _case(normalize.SCHEMA, 'raw'))} as property from r) select id, property, case property " + " ".join(f"when '{k}' then '{v}'" for k, v in normalize.OBJECT_KIND.items()) + " else 'person' end as kind from x")
+def object_kind_routing(spark, sf_dir):
+    p = predicate_normalize(spark, sf_dir)
+    return p.select("id", "property", normalize.object_kind(F.col("property")).alias("kind"))
+
+
+_ALIASES = "al as (select c_name as alias, 'Supplier#' || lpad(cast(c_custkey % 97 as varchar), 9, '0') as standard, case c_custkey % 3 when 0 then 'PERSON' when 1 then 'PLACE' else 'SCHOOL' end as etype from customer where c_custkey % 2 = 0)"
+
+
+def aliases(spark, sf_dir):
+    kind = F.when(F.col("c_custkey") % 3 == 0, "PERSON").when(F.col("c_custkey") % 3 == 1, "PLACE").otherwise("SCHOOL")
+    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("alias"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 97).cast("string"), 9, "0")).alias("standard"), kind.alias("etype"))
+
+
+@query(
+    f"""with {_ALIASES}, a as (select alias as k, etype, min(standard) as standard from (select alias, standard, etype from al union all select standard, standard, etype from al) group by all),
+n as (select o_orderkey as id, 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') || ' ' as name, case o_custkey % 4 when 0 then 'PERSON' when 1 then 'PLACE' when 2 then 'PERIOD' else 'SCHOOL' end as etype from orders)
+select id, name, n.etype, coalesce(a.standard, trim(name)) as normalized, case when a.standard is not null or n.etype in ('PERIOD', 'STYLE') then 1.0 else 0.5 end as confidence
+from n left join a on trim(name) = a.k and n.etype = a.etype"""
+)
+def alias_normalize(spark, sf_dir):
+    k = F.col("o_custkey") % 4
+    kind = F.when(k == 0, "PERSON").when(k == 1, "PLACE").when(k == 2, "PERIOD").otherwise("SCHOOL")
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" ")).alias("name"), kind.alias("etype"))
+    return normalize.standard_names(names, aliases(spark, sf_dir))
+
+
+@query(f"with {_ALIASES} select standard, string_agg(distinct alias, ',' order by alias) as aliases from al group by standard")
+def reverse_alias_lookup(spark, sf_dir):
+    return normalize.all_aliases(aliases(spark, sf_dir))
+
+
+@query()
+def school_canonicalize(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in ("浙派", "吴门印派", "吳門派", "娄东派", "無名派")], "name string")
+    return names.select("name", normalize.school(F.col("name")).alias("school"), normalize.is_school(F.col("name")).alias("known"))
+
+
+@query("select s_suppkey as id, case when s_suppkey % 5 = 0 then 'http://example.org/kg/unknown' else 'http://example.org/kg/person/' || replace(s_name, '#', '_') end as iri, case when s_suppkey % 5 = 0 then 'unknown' else replace(s_name, '#', '_') end as local from supplier")
+def iri_minting(spark, sf_dir):
+    name = F.when(F.col("s_suppkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), F.replace("s_name", F.lit("#"), F.lit(" ")), F.lit(" ")))
+    iri = T.mint(name, "person")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), iri.alias("iri"), T.local_name(iri).alias("local"))
+
+
+@query("select o_orderkey as id, o_orderpriority as line from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate, o_orderkey) as n from orders) where n = 1")
+def keep_first_per_group(spark, sf_dir):
+    rows = first_by_key(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderdate", "o_orderkey")
+    return rows.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("line"))
