@@ -38,14 +38,16 @@ def present(text: Column, patterns: list[str]) -> Column:
     return F.filter(F.array(*(F.lit(p) for p in dict.fromkeys(patterns))), lambda p: F.contains(text, p))
 
 
-def cascade(text: Column, rules: list[tuple[tuple[str, ...], str]], default: str | None) -> Column:
-    """The label of the first rule of which the text holds a keyword."""
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the text holds any of the words: one pattern, however many words."""
+    return F.rlike(text, F.lit("|".join(f"\\Q{w}\\E" for w in words)))
+
+
+def cascade(text: Column, rules: list[tuple[tuple[str, ...] | Column, str]], default: str | None) -> Column:
+    """The label of the first rule of which the text holds a keyword (or whose condition is true)."""
     out = F.lit(default).cast("string")
     for words, label in reversed(rules):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(text, F.lit(w))
-        out = F.when(hit, label).otherwise(out)
+        out = F.when(holds(text, words) if isinstance(words, tuple) else words, label).otherwise(out)
     return out
 
 

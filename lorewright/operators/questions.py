@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.functions.text import cascade
+from lorewright.functions.text import cascade, holds
 from lorewright.operators.templates import NOT_GENERAL, RELATIONS
+from lorewright.store import stored
 
 # Ends of questions that are cut off.
 TAILS = (
@@ -37,6 +38,8 @@ SKIP = (
 )
 # Characters cut off a name's end and beginning, one each.
 NAME_END, NAME_BEGIN = "的了是在和之有被所字师友吗呢啊呀哈呗人？?！!。.", "的了是在和之有被所字师友"
+# Stands for a question that names two with 和 or 与 and asks for their 关系.
+BOTH = ("和关系", "与关系")
 # Intents by keyword; the first rule that fits counts. 学生 belongs to students.
 INTENTS = (
     (("弟子", "徒弟", "门徒", "传人", "学徒", "学生"), "query_student"),
@@ -45,7 +48,7 @@ INTENTS = (
     (("派", "流派", "属于", "开创", "创始人", "成员"), "query_school"),
     (("有哪些", "列举", "列出", "多少"), "query_list"),
     (("最短", "路径", "之间", "通过", "什么关系", "是何关系", "什么交情"), "query_path"),
-    (("和关系", "与关系"), "query_path"),
+    (BOTH, "query_path"),
     (("你觉得", "你认为", "好不好", "怎么样"), "opinion"),
     (("字", "号", "生年", "卒年", "生於", "籍贯", "籍貫", "朝代"), "query_attribute"),
     (("是谁",), "query_attribute"),
@@ -100,9 +103,8 @@ def entity_spans(question: Column) -> Column:
 
 def intent(question: Column) -> Column:
     """The kind of a question; 'unknown' if no rule fits."""
-    both = (F.contains(question, F.lit("和")) | F.contains(question, F.lit("与"))) & F.contains(question, F.lit("关系"))
-    marked = F.when(both, F.concat(question, F.lit(" 和关系"))).otherwise(question)
-    return cascade(marked, list(INTENTS), "unknown")
+    both = holds(question, ("和", "与")) & F.contains(question, F.lit("关系"))
+    return cascade(question, [(both if words == BOTH else words, label) for words, label in INTENTS], "unknown")
 
 
 def attribute_intent(question: Column) -> Column:
@@ -133,6 +135,8 @@ def route(kind: Column, entities: Column) -> Column:
 def results(asked: DataFrame, triples: DataFrame) -> DataFrame:
     """(qid, a, b, key_a, key_b): result rows of asked(qid, name, template); key_b null for one column."""
     t = triples
+    # Written once: every template reads it, and the long cascades aren't copied into each filter.
+    asked = stored(asked, "asked")
     named = t.where("p = 'personName'").select(F.col("s").alias("k"), F.col("o").alias("label"))
     q = asked.join(named.toDF("person", "label"), F.col("name") == F.col("label")).select("qid", "template", "person")
     none = F.lit(None).cast("string")
@@ -176,6 +180,7 @@ def answers(asked: DataFrame, triples: DataFrame, corpus: str = "知识图谱",
 
     Rows are in order of their values. Kinds without a form of their own show *most* rows.
     """
+    asked = stored(asked, "asked")
     rows = results(asked.where("route = 'query'").select("qid", "name", "template"), triples)
     j = rows.join(asked.select("qid", "intent"), "qid")
     w = Window.partitionBy("qid").orderBy("a", F.col("b").asc_nulls_first())

@@ -128,8 +128,9 @@ def extract_relations(entries: DataFrame, known: list[str], rules: tuple[Rule, .
 
 def pair_relations(docs: DataFrame, id: str, text: str, rules: dict[str, tuple[str, float]]) -> DataFrame:
     """(id, subject, predicate, object, confidence) of patterns with two groups, all inside the JVM."""
-    found = []
-    for predicate, (pattern, confidence) in rules.items():
+    def matches(predicate: str, pattern: str, confidence: float) -> F.Column:
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("subject"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("object"))
-        found.append(F.transform(pairs, lambda x, p=predicate, c=confidence: F.struct(x["subject"].alias("subject"), F.lit(p).alias("predicate"), x["object"].alias("object"), F.lit(c).alias("confidence"))))
+        return F.transform(pairs, lambda x: F.struct(x["subject"].alias("subject"), F.lit(predicate).alias("predicate"), x["object"].alias("object"), F.lit(confidence).alias("confidence")))
+
+    found = [matches(k, p, c) for k, (p, c) in rules.items()]
     return docs.select(F.col(id).alias("id"), F.explode(F.concat(*found)).alias("x")).select("id", "x.*").where("subject <> object").distinct()

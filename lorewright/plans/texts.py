@@ -89,7 +89,7 @@ def dict_ner(spark, sf_dir):
 
 
 @query(
-    f"""with {_NER}, k as (select doc_id as original, substr(word, 1, 4) as normalized, etype, min(x.word) as w from x join dc on dc.word = x.word group by all)
+    f"""with {_NER}, k as (select doc_id as original, substr(x.word, 1, 4) as normalized, etype, min(x.word) as w from x join dc on dc.word = x.word group by all)
 select normalized, etype, string_agg(cast(original as varchar), ',' order by original) as originals from k group by all"""
 )
 def entity_dedup_group(spark, sf_dir):
