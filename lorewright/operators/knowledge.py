@@ -100,7 +100,9 @@ def with_inverses(facts: DataFrame, inverses: dict[str, str] | None = None) -> D
     pairs = F.create_map(*(F.lit(x) for kv in (inverses or INVERSES).items() for x in kv))
     back = facts.select(F.col("object").alias("subject"), F.try_element_at(pairs, F.col("predicate")).alias("predicate"), F.col("subject").alias("object"), *(c for c in facts.columns if c not in ("subject", "predicate", "object")))
     key = ["subject", "predicate", "object"]
-    back = first_by_key(back.where("predicate is not null"), key, *(F.col(c) for c in facts.columns if c not in key))
+    back = back.where("predicate is not null")
+    rest = [F.col(c) for c in facts.columns if c not in key]
+    back = first_by_key(back, key, *rest) if rest else back.distinct()
     return facts.unionByName(back.join(facts.select(*key).distinct(), key, "left_anti").select(*facts.columns))
 
 

@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(stream: DataFrame, time: str, late: str | None) -> DataFrame:
+    """With a watermark (None: it has one already); a time without a zone counts in the session's."""
+    if late is None:
+        return stream
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def fresh(stream: DataFrame, keys: list[str], time: str, late: str = "10 minutes") -> DataFrame:
     """Rows whose key wasn't seen within the watermark; older state is dropped, so memory is bounded."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed(stream: DataFrame, time: str, by: str, value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def windowed(stream: DataFrame, time: str, by: str, value: str, size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
     """(start, by, n, total) of tumbling windows, final once the watermark has passed them."""
-    w = stream.withWatermark(time, late).groupBy(F.window(time, size), F.col(by)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    w = _timed(stream, time, late).groupBy(F.window(time, size), F.col(by)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return w.select(F.col("window.start").alias("start"), by, "n", "total")
 
 
-def sessions(stream: DataFrame, time: str, by: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(stream: DataFrame, time: str, by: str, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
     """(by, start, end, n) of sessions that a gap without events ends."""
-    s = stream.withWatermark(time, late).groupBy(F.session_window(time, gap), F.col(by)).agg(F.count("*").alias("n"))
+    s = _timed(stream, time, late).groupBy(F.session_window(time, gap), F.col(by)).agg(F.count("*").alias("n"))
     return s.select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
