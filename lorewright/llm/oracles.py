@@ -59,4 +59,25 @@ c as (
 g as (select key, n_turns, text, min(conv_id) as conv_id, count(*) as copies from c group by key, n_turns, text),
 p as (select distinct substr(key, 1, cast(32 * k as bigint)) as key from (select key, unnest(range(1, n_turns)) as k from c))
 select conv_id, n_turns, copies, text from g where key not in (select key from p)""",
+    "op3_ngram_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 4], ' ') end as g
+  from (select doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id as d, doc_id as o from n union select l.b, r.o from r join l on l.a = r.d),
+m as (select d, min(o) as o from r group by d)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.o, w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id left join m on m.d = w.doc_id""",
+    "op8_embedding_neardup": r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where embedding is not null and label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id as d, vec_id as o from v union select l.b, r.o from r join l on l.a = r.d),
+m as (select d, min(o) as o from r group by d), k as (select a, count(*) as n from l group by a)
+select e.vec_id, cast(coalesce(k.n, 0) as bigint) as n_links, coalesce(m.o, e.vec_id) as component_id, e.vec_id = coalesce(m.o, e.vec_id) as kept
+from embeddings e left join k on k.a = e.vec_id left join m on m.d = e.vec_id""",
 }
