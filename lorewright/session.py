@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "lorewright", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; *conf* overrides single settings.
 
-    Without *master* the cluster manager's own choice is kept.
+    Without *master* the cluster manager's own choice is kept. Python workers started by the
+    session find this package from any working directory.
     """
+    root = str(Path(__file__).resolve().parents[1])
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
