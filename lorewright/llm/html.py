@@ -32,6 +32,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 _DROP = frozenset("head nav footer aside form button dialog menu fieldset".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements around which the page changes its subject.
+_SECTION = frozenset("section table header".split())
 #: Elements that an open p ends at.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Words in a class or id that name what isn't the article.
@@ -41,7 +43,15 @@ _BOILER = frozenset(
     "pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-_WRAPS = frozenset("with has no without main content contents wrapper wrap container body page layout".split())
+#: Beginnings of such words.
+_BOILER_BEGIN = ("advert", "adsense", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "popup", "sidebar", "sponsor")
+#: Words that deny what they stand with: with-sidebar, has-ads.
+_DENY = frozenset("with has no not without".split())
+#: Words that name the article's own box, where no element does.
+_BOX = frozenset("article articlebody content entry main post story".split())
+#: What an article or main element can be besides the article.
+_NOT_ARTICLE = frozenset("ad ads advert advertisement comment comments promo promoted related replies reply sponsored teaser".split())
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _ALWAYS = frozenset("html body".split())
 
@@ -50,13 +60,20 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)}
 
 
-def _named(value: str) -> bool:
-    """Whether a class or id names something else than the article."""
+def _names(value: str) -> Iterator[list[str]]:
+    """The words of each class or id."""
     for name in value.split():
         parts = [x.lower() for x in _PART.findall(name)]
-        if parts and not _WRAPS.intersection(parts) and (parts[-1] in _BOILER or parts[0] in _BOILER):
-            return True
-    return False
+        if parts and not _DENY.intersection(parts):
+            yield parts
+
+
+def _named(value: str, tag: str) -> bool:
+    """Whether a class or id names something else than the article."""
+    ends = {x for parts in _names(value) for x in (parts[0], parts[-1])}
+    if tag in ("article", "main"):
+        return bool(ends & _NOT_ARTICLE)
+    return bool(ends & _BOILER) or any(x.startswith(_BOILER_BEGIN) for x in ends)
 
 
 def _kind(tag: str, raw: str) -> str:
@@ -68,12 +85,17 @@ def _kind(tag: str, raw: str) -> str:
     if tag in _DROP or role in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "").lower()):
         return "drop"
     names = f"{a.get('class', '')} {a.get('id', '')}"
-    if tag == "header" or names.strip() and _named(names):
-        return "head" if tag == "header" or "header" in names.lower() else "drop"
+    if tag == "header":
+        return "head"
+    if names.strip() and _named(names, tag):
+        ends = [parts[-1] for parts in _names(names) if parts[0] in _BOILER or parts[-1] in _BOILER]
+        return "head" if ends and all(x == "header" for x in ends) else "drop"
     if tag == "article" or "articlebody" in a.get("itemprop", "").lower() or role == "article":
         return "article"
     if tag == "main" or role == "main":
         return "main"
+    if tag in ("div", "section", "td") and any(parts[-1] in _BOX or parts[0] in _BOX for parts in _names(names)):
+        return "main"
     return ""
 
 
@@ -154,7 +176,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
                         break
             if tag not in _INLINE:
                 out.end(article[-1], main[-1])
-                if tag not in ("p", "li", "td", "th", "dt", "dd") and tag not in _HEADING:
+                if tag in _SECTION:
                     out.gap()
             if tag in _VOID or m[3].endswith("/") and tag in ("path", "use"):
                 continue
@@ -182,7 +204,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             while stack[-1][0] != tag:
                 pop()
             pop()
-            if tag not in _INLINE and tag not in ("p", "li", "td", "th", "dt", "dd") and tag not in _HEADING:
+            if tag in _SECTION:
                 out.gap()
     while stack:
         pop()
@@ -204,7 +226,7 @@ def main_text(page: str | None) -> str:
         found = [x for x in found if x[2 + best[0]] == best[1]]
         lengths = [max(x[1], SURGE + 1) for x in found]
     else:
-        lengths = [x[1] for x in found]
+        lengths = [0 if _COPYRIGHT.match(x[0]) else x[1] for x in found]
     return "\n\n".join(x[0] for x in _stretch(found, lengths) if x[0])
 
 
@@ -215,7 +237,7 @@ def _stretch(found: list, lengths: list[int]) -> list:
     for i, s in enumerate([*sums, 0]):
         if begin is None and s > SURGE and lengths[i]:
             begin = i
-        elif begin is not None and (not s or i < len(lengths) and not lengths[i] and s <= SURGE):
+        elif begin is not None and not s:
             if (total := sum(lengths[begin:i])) > most:
                 best, most = (begin, i), total
             begin = None

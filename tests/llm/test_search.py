@@ -180,3 +180,22 @@ def test_cells_are_nearest_points():
         i, j = r.choice(8, 2, replace=False)
         step[i], step[j] = r.choice([-1, 1], 2)
         assert (((x - near_ - step) ** 2).sum(axis=1) >= far - 1e-9).all()
+
+
+LONG = "A sentence of the article that has quite a number of words in it, and then some more. "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div class='content-with-sidebar'><div id='content'><h1>T</h1><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div></div><div class='sidebar-content'>{LONG}</div></div></body>", ["T", LONG, "Short.", LONG]),
+        (f"<div class='ad-container'>{LONG}</div><div class='post-body'><p>x</p><div class='sponsored-content'>{LONG}</div><p>{LONG}</p></div><ol class='commentlist'><li>{LONG}</ol>", ["x", LONG]),
+        (f"<article class='category-social'><div class='entry-header'><h1>H</h1><span>by Z</span></div><p>{LONG}</p></article><article class='teaser'><p>{LONG * 9}</p></article>", ["H", LONG]),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><p>&copy; 2020 us</p>", [LONG, LONG]),
+        (f"<div role='navigation'>{LONG}</div><div role='main'><p>{LONG}</p><div class='share'>Share</div></div><div hidden>{LONG}</div><div style='display: none'>{LONG}</div>", [LONG]),
+        (f"<table><tr><td><a href=x>a</a><td>{LONG}<p>b</table>", [LONG, "b"]),
+        ("<article><p>&#x41;&eacute;&nbsp;&nbsp;&lt;b&gt;&unknown;&amp;amp;</p></article>", ["Aé <b>&unknown;&amp;"]),
+    ],
+)
+def test_shapes_of_pages(page, want):
+    assert main_text(page) == "\n\n".join(x.strip() for x in want)
