@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorewright.plans import graphs, knowledge, linking, questions, registry, scalars, texts, vectors  # noqa: F401  they register their queries
+from lorewright.plans import graphs, knowledge, linking, questions, registry, scalars, service, texts, vectors  # noqa: F401  they register their queries
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewright.functions import text as T
-from lorewright.operators import entries, graph, knowledge, ner, normalize, questions, relations, sparql
+from lorewright.operators import entries, graph, knowledge, models, ner, normalize, questions, rdf, relations, service, sparql
 from lorewright.operators.templates import template
 from lorewright.sources import external, turtle
 from lorewright.streaming import ingest
@@ -196,3 +196,40 @@ def test_streams(spark, tmp_path):
         ingest.append_triples(t, str(tmp_path / "kg"), str(tmp_path / f"cp{k}")).awaitTermination(120)
     want = events.limit(300).select("user_id", "event_type").distinct().count()
     assert spark.read.parquet(str(tmp_path / "kg")).count() == want
+
+
+def test_a_failing_model_gives_way_to_rules(spark):
+    def model(prompts):
+        if "2" in prompts:
+            raise RuntimeError("down")
+        return ['{"entities": [{"name": "甲", "type": "person"}]}'] * len(prompts)
+
+    rows = spark.createDataFrame([(1,), (2,)], "id long").repartition(2, "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    answers = models.ask(rows, F.col("id").cast("string"), model)
+    found = models.entities(answers, "id", "answer")
+    rules = rows.select("id", F.lit("乙").alias("name"), F.lit("PERSON").alias("etype"), F.lit(0.5).alias("confidence"), F.lit("").alias("evidence"))
+    assert sorted((r.id, r.name) for r in models.with_rules(found, rules).collect()) == [(1, "甲"), (2, "乙")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_records_of_every_kind(spark):
+    for kind, (cls, label, _) in rdf.RECORDS.items():
+        rows = rdf.records(spark.createDataFrame([("a b", None)], "name string, description string"), kind).collect()
+        assert {(r.p, r.o) for r in rows} == {(rdf.TYPE, cls), (label, "a b")}
+        assert {r.s for r in rows} == {"a_b" if kind == "person" else f"{kind}/a_b"}
+    work = rdf.records(spark.createDataFrame([("w", "x y")], "name string, creator string"), "work").collect()
+    assert ("x_y", "createdWork", "work/w") in {(r.s, r.p, r.o) for r in work}
+
+
+def test_service(small):
+    ok, error, rows = service.execute(small, "SELECT ?x WHERE { ?x ex:hasTeacher ?y }")
+    assert ok and not error and [r.x for r in rows.collect()] == ["b"]
+    assert service.execute(small, "DELETE")[0] is False
+    calls = []
+    views = service.Views(lambda: calls.append(1) or small)
+    assert views.graph().count() == views.graph().count() and len(calls) == 1
+    views.reload()
+    views.triples()
+    assert len(calls) == 2
+    assert service.path(small, "b", "a").first().path == "b → a" and service.path(small, "a", "z").first().found is False
