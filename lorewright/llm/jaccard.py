@@ -258,9 +258,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     classes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     same = known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> rep")
     same = stored(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
-    # Copies go, and so does an id with several texts only where none of them stands for a class.
-    reps = classes.where("copies > 1").select(F.col("rep").alias("doc_id"))
-    copies = stored(same.select(F.col("a").alias("doc_id")).distinct().join(reps, "doc_id", "left_anti"), "copies")
+    # Copies go; an id with several texts stays if one of them stands for a class.
+    copies = same.select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+    copies = stored(copies, "copies")
     few = copies.count() <= BROADCAST_IDS
 
     texts = pair.where("doc_id is not null").join(copies.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_anti")

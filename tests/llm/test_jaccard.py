@@ -120,3 +120,10 @@ def test_components(spark, edges):
             x, y = root[a], root[b]
             root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
+
+
+def test_an_id_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = b + " more"
+    rows = [(1, a), (2, a), (2, b), (3, near), (4, near), (5, "other words that stand alone here")]
+    assert {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
