@@ -60,20 +60,17 @@ def relation_histogram(edges: DataFrame, membership: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(id, rank): *rounds* rounds of power iteration; what nodes without an out-edge have is dealt to all."""
     e = simple(edges).select("src", "dst")
-    out = e.groupBy("src").agg(F.count("*").alias("out"))
-    e = stored(e.join(out, "src"), "edges")
-    ids = stored(node_ids(e), "nodes")
-    n = ids.count()
-    r = ids.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    ends = out.select(F.col("src").alias("id"), F.lit(True).alias("has_out"))
-    for k in range(rounds):
-        sent = e.join(r.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        loose = r.join(ends, "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        r = ids.join(sent, "id", "left").crossJoin(F.broadcast(loose))
-        r = r.select("id", ((1 - damping) / max(n, 1) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        # Plans of a few rounds are run at once; a table in between keeps them from growing.
-        if k % 4 == 3 or k == rounds - 1:
-            r = stored(r, "rank")
+    e = stored(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src").withColumnRenamed("src", "id"), "edges")
+    ids = stored(e.select(F.explode(F.array("id", "dst")).alias("id")).distinct(), "nodes")
+    n = max(ids.count(), 1)
+    r = ids.select("id", F.lit(1.0 / n).alias("rank"))
+    for _ in range(rounds):
+        # One aggregation per round: what a node without an out-edge has goes to the key null.
+        sent = r.join(e, "id", "left").groupBy("dst").agg(F.sum(F.col("rank") / F.coalesce("out", F.lit(1))).alias("got"))
+        sent = stored(sent, "sent")
+        loose = sent.where("dst is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("loose"))
+        r = ids.join(sent.withColumnRenamed("dst", "id"), "id", "left").crossJoin(F.broadcast(loose))
+        r = r.select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
     return r
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Seconds between two releases, so that loops of short jobs don't pay for one each.
+RELEASE_S = 3.0
+_released = 0.0
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete what finished jobs shuffled, which it does when their handles are collected."""
+    global _released
+    if time.monotonic() - _released >= RELEASE_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """*df* written once as Parquet under the shared folder and read again.
 
@@ -26,9 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # What the finished job shuffled isn't needed any more; Spark deletes it when its handles are collected.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
