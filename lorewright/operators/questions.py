@@ -175,6 +175,18 @@ def verified(asked: DataFrame, rows: DataFrame) -> DataFrame:
     return j.withColumn("error_type", error).withColumn("is_valid", F.col("row_count") > 0)
 
 
+def fallback_message(error: Column, name: Column, detail: Column, corpus: str = "知识图谱") -> Column:
+    """What to say where there is no answer, by the kind of error."""
+    return (
+        F.when(error == "NO_ENTITY", "抱歉，我在您的问题中没有识别到具体的人物姓名，请提供完整的人名。")
+        .when(error == "SPARQL_SYNTAX_ERROR", F.concat(F.lit("很抱歉，查询过程中遇到了技术问题："), F.coalesce(detail, F.lit("")), F.lit("。建议您尝试简化问题。")))
+        .when(error == "SPARQL_EXEC_ERROR", "很抱歉，查询遇到了问题，请稍后重试。")
+        .when((error == "NO_RESULT") & (F.coalesce(name, F.lit("")) != ""), F.concat(F.lit(f"经过查询，{corpus}中暂未收录「"), name, F.lit("」的详细信息。")))
+        .when(error == "NO_RESULT", f"很抱歉，{corpus}中未找到与您问题相关的信息。")
+        .otherwise("很抱歉，我无法回答您的问题。")
+    )
+
+
 def answers(asked: DataFrame, triples: DataFrame, corpus: str = "知识图谱", most: int = 5) -> DataFrame:
     """(qid, answer, answer_source, row_count) for asked(qid, name, intent, template, route).
 
@@ -202,11 +214,7 @@ def answers(asked: DataFrame, triples: DataFrame, corpus: str = "知识图谱",
     text = text.select("qid", body.alias("body"), "row_count")
     out = asked.join(text, "qid", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
     found = F.concat(F.lit("关于「"), "name", F.lit("」："), "body", F.lit(f"\n（以上数据来源于{corpus}，共 "), F.col("row_count").cast("string"), F.lit(" 条记录）"))
-    answer = (
-        F.when(F.col("route") == "error", "抱歉，我在您的问题中没有识别到具体的人物姓名，请提供完整的人名。")
-        .when(F.col("route") == "fallback", "很抱歉，我无法回答您的问题。")
-        .when(F.col("row_count") == 0, F.concat(F.lit(f"经过查询，{corpus}中暂未收录「"), "name", F.lit("」的详细信息。")))
-        .otherwise(found)
-    )
+    error = F.when(F.col("route") == "error", "NO_ENTITY").when((F.col("route") == "query") & (F.col("row_count") == 0), "NO_RESULT").otherwise("")
+    answer = F.when((F.col("route") == "query") & (F.col("row_count") > 0), found).otherwise(fallback_message(error, F.col("name"), F.lit(""), corpus))
     source = F.when(F.col("row_count") > 0, "kg_query").otherwise("fallback")
     return out.select("qid", answer.alias("answer"), source.alias("answer_source"), "row_count")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,19 @@ def hash_embedding(text: Column, dim: int = 16) -> Column:
     h = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
     raw = F.array(*(F.conv(F.substring(h, 1 + 4 * k, 4), 16, 10).cast("double") / 65536.0 - 0.5 for k in range(dim)))
     return unit(raw)
+
+
+def embed(rows: DataFrame, id: str, text: str, model: Callable[[list[str]], list[list[float] | None]], dim: int) -> DataFrame:
+    """(id, unit): a caller's model in batches; texts it gives nothing for get their hash embedding."""
+    kind = rows.select(id).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            try:
+                got = model([x or "" for x in b.column(1).to_pylist()])
+            except Exception:  # the caller's model: hash vectors stand in for this batch
+                got = [None] * b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.float64()))], names=["id", "text", "v"])
+
+    out = rows.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, text string, v array<double>")
+    return out.select("id", F.coalesce(unit(F.col("v")), hash_embedding(F.col("text"), dim)).alias("unit"))

@@ -173,3 +173,26 @@ def community_labels(spark, sf_dir):
     c = G.communities(people_edges(spark, sf_dir)).join(membership(spark, sf_dir).withColumnRenamed("grp", "school"), "id", "left")
     n = c.groupBy("grp", "school").agg(F.count("*").alias("n"))
     return n.groupBy("grp").agg(F.sum("n").alias("members"), F.min(F.struct((-F.col("n")).alias("k"), "school"))["school"].alias("label")).orderBy(F.desc("members"), "grp")
+
+
+@query(
+    f"with {_CROSS}, o as (select grp_a as school, string_agg(distinct grp_b, ',' order by grp_b) as influences from cr group by grp_a), i as (select grp_b as school, string_agg(distinct grp_a, ',' order by grp_a) as influenced_by from cr group by grp_b)"
+    " select coalesce(o.school, i.school) as school, coalesce(influences, '') as influences, coalesce(influenced_by, '') as influenced_by from o full join i on o.school = i.school"
+)
+def evolution_tree(spark, sf_dir):
+    """Which schools each school influences, and is influenced by."""
+    rows = G.influence(people_edges(spark, sf_dir), membership(spark, sf_dir)).select("grp_a", "grp_b").distinct()
+    out = rows.groupBy(F.col("grp_a").alias("school")).agg(F.array_join(F.array_sort(F.collect_set("grp_b")), ",").alias("influences"))
+    back = rows.groupBy(F.col("grp_b").alias("school")).agg(F.array_join(F.array_sort(F.collect_set("grp_a")), ",").alias("influenced_by"))
+    return out.join(back, "school", "full").na.fill("")
+
+
+@query(
+    f"""with recursive {EDGES}, {_TEACHES}, {_MEMBER}, ch as (select id, grp, id as at, 0 as g, [id] as path from mb
+  union all select ch.id, ch.grp, te.teacher, ch.g + case when m.grp = ch.grp then 1 else 0 end, list_append(path, te.teacher) from ch join te on te.student = ch.at left join mb m on m.id = te.teacher where len(path) <= 12 and not list_contains(path, te.teacher)),
+ge as (select id, grp, max(g) as generation from ch group by id, grp) select grp, generation, string_agg(id, ',' order by id) as members from ge group by grp, generation"""
+)
+def generation_members(spark, sf_dir):
+    """Per school and generation its members in order."""
+    g = generation_map(spark, sf_dir)
+    return g.groupBy("grp", "generation").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewright.functions import text as T
-from lorewright.operators import entries, ner, normalize, relations
+from lorewright.operators import build, entries, ner, normalize, relations
 from lorewright.operators.knowledge import first_by_key
 from lorewright.plans.registry import query, table
 
@@ -206,3 +206,22 @@ def iri_minting(spark, sf_dir):
 def keep_first_per_group(spark, sf_dir):
     rows = first_by_key(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "o_orderdate", "o_orderkey")
     return rows.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("line"))
+
+
+@query()
+def rule_mode_extraction(spark, sf_dir):
+    """Rules, standard names, schema predicates and inverses together."""
+    corpus = spark.createDataFrame(_CORPUS, "chapter string, title string, content string")
+    names = spark.createDataFrame([("千秋", "梁千秋", "PERSON")], "alias string, standard string, etype string")
+    return build.rule_facts(corpus, _KNOWN, names).select("subject", "predicate", "object", "confidence")
+
+
+@query()
+def graph_build(spark, sf_dir):
+    """The whole chain from a corpus file to triples."""
+    text = "\n".join(f"{c}\n○{t}\n{x}" for c, t, x in _CORPUS)
+    files = spark.createDataFrame([("corpus", text)], "file string, text string")
+    people = spark.createDataFrame([(n,) for n in _KNOWN], "name string")
+    names = spark.createDataFrame([("千秋", "梁千秋", "PERSON")], "alias string, standard string, etype string")
+    known = spark.createDataFrame([("文彭", "social:friendOf", "何震", 0.95, "known", "", "")], "subject string, predicate string, object string, confidence double, method string, evidence string, chapter string")
+    return build.build(build.preprocess(files), people, names, known)[1]

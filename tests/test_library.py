@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewright.functions import text as T
-from lorewright.operators import entries, graph, knowledge, models, ner, normalize, questions, rdf, relations, service, sparql
+from lorewright.operators import build, entries, graph, knowledge, models, ner, normalize, questions, rdf, relations, service, sparql, vectors
 from lorewright.operators.templates import template
 from lorewright.sources import external, turtle
 from lorewright.streaming import ingest
@@ -233,3 +233,23 @@ def test_service(small):
     views.triples()
     assert len(calls) == 2
     assert service.path(small, "b", "a").first().path == "b → a" and service.path(small, "a", "z").first().found is False
+
+
+def test_corpus_to_graph(spark):
+    files = spark.createDataFrame([("f", "卷一\n○主人\n千秋繼 何主臣起。蘇宣得之文彭。丁敬屬錢塘派。\n")], "file string, text string")
+    people = spark.createDataFrame([(n,) for n in ("千秋", "何主臣", "蘇宣", "文彭", "丁敬")], "name string")
+    aliases = spark.createDataFrame([("何主臣", "何震", "PERSON"), ("千秋", "梁千秋", "PERSON")], "alias string, standard string, etype string")
+    known = spark.createDataFrame([("文彭", "social:friendOf", "何震", 0.95, "known", "", "")], "subject string, predicate string, object string, confidence double, method string, evidence string, chapter string")
+    facts, triples = build.build(build.preprocess(files), people, aliases, known)
+    got = {(r.subject, r.predicate, r.object) for r in facts.collect()}
+    assert {("梁千秋", "education:studentOf", "何震"), ("何震", "education:teacherOf", "梁千秋"), ("蘇宣", "education:studentOf", "文彭"), ("丁敬", "school:belongsTo", "浙派"), ("文彭", "social:friendOf", "何震")} <= got
+    rows = {(r.s, r.p, r.o) for r in triples.collect()}
+    assert {("梁千秋", "hasTeacher", "何震"), ("何震", "hasStudent", "梁千秋"), ("丁敬", "belongsToSchool", "school/浙派"), ("school/浙派", "schoolName", "浙派")} <= rows
+
+
+def test_embeddings_of_a_model_and_without(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string").coalesce(1)
+    out = {r.id: r.unit for r in vectors.embed(rows, "id", "text", lambda texts: [[3.0, 4.0] if t else None for t in texts], 2).collect()}
+    assert out[1] == pytest.approx([0.6, 0.8]) and sum(x * x for x in out[2]) == pytest.approx(1)
+    failing = vectors.embed(rows, "id", "text", lambda texts: 1 / 0, 4).collect()
+    assert all(len(r.unit) == 4 for r in failing)
