@@ -31,7 +31,7 @@ ROUNDS = 2
 #: Words longer than this are scored in segments of this length.
 SEGMENT = 32
 PIECE = 12
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 FOLDS = 5
 _LETTERS = re.compile(rf"[^\W\d_]{{1,{SEGMENT}}}")
 _UNKNOWN = 1e-7

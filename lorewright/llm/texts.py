@@ -13,7 +13,7 @@ import pyarrow as pa
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15)
 #: Bytes of text worked on at once; a longer text is one slice by itself.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
