@@ -22,6 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Seconds between two releases, so that loops of short jobs don't pay for one each.
 RELEASE_S = 3.0
 _released = 0.0
+_written: list[str] = []
 
 
 def _release(spark: SparkSession) -> None:
@@ -41,11 +42,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 100_000, size: str = "8m") -> None:
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes all tables that stored() wrote in this process, and returns their number.
+
+    For callers that have written their results: what was returned before can't be read any more.
+    """
+    n = len(_written)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def small_batches(spark: SparkSession, rows: int = 100_000, size: str = "4m") -> None:
     """Bounds what a Python worker holds at once: batches of about *size* of data, or *rows* narrow rows.
 
     Texts differ much in length, so a bound by bytes keeps memory level. Results don't depend on it.

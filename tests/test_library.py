@@ -7,6 +7,7 @@ from lorewright.functions import text as T
 from lorewright.operators import build, entries, graph, knowledge, models, ner, normalize, questions, rdf, relations, service, sparql, vectors
 from lorewright.operators.templates import template
 from lorewright.sources import external, turtle
+from lorewright.store import drop_stored, stored
 from lorewright.streaming import ingest
 
 
@@ -253,3 +254,15 @@ def test_embeddings_of_a_model_and_without(spark):
     assert out[1] == pytest.approx([0.6, 0.8]) and sum(x * x for x in out[2]) == pytest.approx(1)
     failing = vectors.embed(rows, "id", "text", lambda texts: 1 / 0, 4).collect()
     assert all(len(r.unit) == 4 for r in failing)
+
+
+def test_stored_tables_can_be_dropped(spark):
+    import lorewright.store as store
+
+    kept, store._written = store._written, []
+    df = stored(spark.range(3).toDF("id"), "t")
+    assert sorted(r.id for r in df.collect()) == [0, 1, 2]
+    assert drop_stored(spark) == 1 and drop_stored(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.exist|PATH|File"):
+        df.collect()
+    store._written = kept
