@@ -1,11 +1,12 @@
 """Operator 4: exact top-k search by distributed histogram selection.
 
-Vectors become integers floor(256 x). Queries and candidates are packed into blocks of rows, and
-every block of queries meets every block of candidates (a stated query set against all rows, not a
-join of rows). A pass scores a pair of blocks as one matrix product, exact in float64, and counts
-scores per query in BINS bins of the current range; sums over all pairs locate the bin of the kth
-value. Each pass narrows the range BINS-fold, until the kth value itself is known. A last pass
-keeps scores from the kth value on, and breaks ties by the smaller id.
+Vectors become integers floor(256 x). Queries and candidates are packed into blocks of rows, the
+blocks into tiles, and every tile of queries meets every tile of candidates (a stated query set
+against all rows, not a join of rows): a candidate travels once per tile of 16,384 queries. A pass
+scores a pair of blocks as one matrix product, exact in float64, and counts scores per query in
+BINS bins of the current range; sums over all tiles locate the bin of the kth value. Each pass
+narrows the range BINS-fold, until the kth value itself is known. A last pass keeps scores from
+the kth value on, and breaks ties by the smaller id.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.store import stored
+from lorewright.store import small_batches, stored
 
 SCALE = 256
-BINS = 256
+BINS = 512
 QUERY_BLOCK, BLOCK = 256, 2048
+#: Blocks of a tile, at most.
+QUERY_TILE, TILE = 64, 64
 #: Products are exact in float64 while their sum stays below this.
 EXACT = 1 << 52
 
 
-def _packed(rows: int, kind: str):
-    """A packer of (id, vector) rows into (ids, values) blocks of *rows*, by the vectors' length."""
+def _packed(rows: int):
+    """A packer of (id, vector) rows into blocks of *rows*, by the vectors' length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -35,7 +38,7 @@ def _packed(rows: int, kind: str):
         def block(dim: int, ids: list, vs: list) -> pa.RecordBatch:
             v = np.floor(np.array(vs, np.float64).reshape(len(ids), dim) * SCALE)
             size = float(np.sqrt((v * v).sum(axis=1).max())) if dim else 0.0
-            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([size])], names=[f"{kind}{x}" for x in ("_dim", "_ids", "_values", "_norm")])
+            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([size])], names=["dim", "ids", "values", "norm"])
 
         for b in batches:
             vec = b.column(1)
@@ -52,13 +55,73 @@ def _packed(rows: int, kind: str):
     return run
 
 
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and their scores; a query's own score is None-like, below all."""
-    q, c = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["c_ids"], "<i8")
-    dim = row["c_dim"]
-    s = np.frombuffer(row["q_values"]).reshape(len(q), dim) @ np.frombuffer(row["c_values"]).reshape(len(c), dim).T
-    s[q[:, None] == c[None, :]] = -np.inf
-    return q, c, s
+class _Queries:
+    """A block of queries, with the low end of each one's range and its histogram."""
+
+    def __init__(self, row: dict):
+        self.dim, self.ids = row["dim"], np.frombuffer(row["ids"], "<i8")
+        self.values = np.frombuffer(row["values"]).reshape(len(self.ids), self.dim)
+        self.lows = np.array(row["lows"], np.float64)
+        self.counts = np.zeros(len(self.ids) * BINS, np.int64)
+
+    def scores(self, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Scores of a block of candidates; a query itself is below all."""
+        s = self.values @ values.T
+        s[self.ids[:, None] == ids[None, :]] = -np.inf
+        return s
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[_Queries], np.ndarray, np.ndarray] | list[_Queries]]:
+    """Of rows by tile, queries first: (queries, ids, values) per block of candidates, and the queries at a tile's end."""
+    last, held = None, []
+    for b in batches:
+        for row in b.to_pylist():
+            if last != (row["i"], row["j"]):
+                if held:
+                    yield held
+                last, held = (row["i"], row["j"]), []
+            if row["kind"] == 0:
+                held.append(_Queries(row))
+            else:
+                ids = np.frombuffer(row["ids"], "<i8")
+                yield [q for q in held if q.dim == row["dim"]], ids, np.frombuffer(row["values"]).reshape(len(ids), row["dim"])
+    if held:
+        yield held
+
+
+def _counted(step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _tiles(batches):
+            if isinstance(x, tuple):
+                for q in x[0]:
+                    bin_ = np.floor((q.scores(*x[1:]) - q.lows[:, None]) / step)
+                    ok = (bin_ >= 0) & (bin_ < BINS)
+                    at = (np.arange(len(q.ids))[:, None] * BINS + np.where(ok, bin_, 0)).astype(np.int64)[ok]
+                    q.counts += np.bincount(at, minlength=len(q.counts))
+            else:
+                for q in x:
+                    hit = np.flatnonzero(q.counts)
+                    yield pa.record_batch([pa.array(q.ids[hit // BINS]), pa.array((hit % BINS).astype(np.int32)), pa.array(q.counts[hit])], names=["id", "bin", "n"])
+
+    return run
+
+
+def _taken(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _tiles(batches):
+            for q in x[0] if isinstance(x, tuple) else ():
+                c = x[1]
+                s = q.scores(*x[1:])
+                i, j = np.nonzero((s >= q.lows[:, None]) & (s > -np.inf))
+                score = s[i, j]
+                order = np.lexsort((c[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                # Of one block at most k can be among a query's first k; a repeated id may come several times.
+                _, copies = np.unique(c, return_counts=True)
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k * copies.max()
+                yield pa.record_batch([pa.array(q.ids[i[keep]]), pa.array(c[j[keep]]), pa.array(score[keep].astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def usable(vector: str) -> F.Column:
@@ -76,13 +139,24 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id: str = "vec_id"
     best score among them. Components of a block must keep its sums below 2**52.
     """
     rows = vectors.where(usable(vector) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    shape = "{0}_dim int, {0}_ids binary, {0}_values binary, {0}_norm double"
-    c = stored(rows.select("id", "v").mapInArrow(_packed(BLOCK, "c"), shape.format("c")), "candidates")
-    q = stored(rows.where("is_query").select("id", "v").mapInArrow(_packed(QUERY_BLOCK, "q"), shape.format("q")), "queries")
-    widest = (c.agg(F.max("c_norm")).first()[0] or 0.0) * (q.agg(F.max("q_norm")).first()[0] or 0.0)
+    small_batches(vectors.sparkSession)
+    shape = "dim int, ids binary, values binary, norm double"
+    c = stored(rows.select("id", "v").mapInArrow(_packed(BLOCK), shape), "candidates")
+    q = stored(rows.where("is_query").select("id", "v").mapInArrow(_packed(QUERY_BLOCK), shape), "queries")
+    (nc, c_norm), (nq, q_norm) = (x.agg(F.count("*"), F.coalesce(F.max("norm"), F.lit(0.0))).first() for x in (c, q))
+    widest = c_norm * q_norm
     if widest >= EXACT:
         raise ValueError("components are too large for exact products")
-    pairs = q.join(c, F.col("q_dim") == F.col("c_dim")).drop("q_dim").repartition(F.xxhash64("q_ids", "c_ids"))
+    down = max(1, -(-nq // QUERY_TILE))
+    across = max(1, -(-nc // TILE), min(nc, 2 * vectors.sparkSession.sparkContext.defaultParallelism))
+
+    def tiled(lows: DataFrame) -> DataFrame:
+        """Rows of every tile (i, j): its queries (kind 0) with their lows, then its candidates."""
+        mine = q.join(lows, "ids").withColumn("i", F.pmod(F.xxhash64("ids"), F.lit(down)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        other = c.withColumn("j", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+        columns = ["i", "j", "kind", "dim", "ids", "values", "lows"]
+        both = mine.withColumn("kind", F.lit(0)).select(*columns).unionByName(other.withColumns({"kind": F.lit(1), "lows": F.lit(None).cast("array<bigint>")}).select(*columns))
+        return both.repartition(max(1, down * across), "i", "j").sortWithinPartitions("i", "j", "kind")
 
     # The kth value lies in [low, low + width * BINS); one row per query.
     low, width = -int(widest) - 1, 1
@@ -91,62 +165,33 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id: str = "vec_id"
     state = stored(rows.where("is_query").select("id").distinct().select("id", F.lit(low).cast("long").alias("low"), F.lit(k).cast("long").alias("need")), "range")
 
     while True:
-        step = width
-
-        def count(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in b.to_pylist():
-                    q, _, s = _scores(row)
-                    lows = np.array(row["lows"], np.float64)
-                    bin_ = np.floor((s - lows[:, None]) / step)
-                    ok = (bin_ >= 0) & (bin_ < BINS)
-                    at = (np.arange(len(q))[:, None] * BINS + np.where(ok, bin_, 0)).astype(np.int64)[ok]
-                    n = np.bincount(at, minlength=len(q) * BINS)
-                    hit = np.flatnonzero(n)
-                    yield pa.record_batch([pa.array(q[hit // BINS]), pa.array((hit % BINS).astype(np.int32)), pa.array(n[hit])], names=["id", "bin", "n"])
-
-        lows = _per_block(q, state, "low", "lows")
-        got = pairs.join(lows, "q_ids").mapInArrow(count, "id long, bin int, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+        got = tiled(_per_block(q, state)).mapInArrow(_counted(width), "id long, bin int, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("id").orderBy(F.desc("bin"))
         run = got.withColumn("above", F.sum("n").over(w) - F.col("n"))
         # The kth value's bin, or the lowest one for a query with fewer candidates.
         run = run.join(state, "id").where("above < need").groupBy("id", "low", "need").agg(F.min(F.struct("bin", "above")).alias("x"))
-        state = stored(run.select("id", (F.col("low") + F.col("x.bin") * step).alias("low"), (F.col("need") - F.col("x.above")).alias("need")), "range")
+        state = stored(run.select("id", (F.col("low") + F.col("x.bin") * width).alias("low"), (F.col("need") - F.col("x.above")).alias("need")), "range")
         if width == 1:
             break
         width //= BINS
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                q, c, s = _scores(row)
-                i, j = np.nonzero((s >= np.array(row["lows"], np.float64)[:, None]) & (s > -np.inf))
-                score = s[i, j]
-                order = np.lexsort((c[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                # Of each query at most k of one block can be among its first k; a repeated id may come twice.
-                first = np.searchsorted(i, i)
-                _, copies = np.unique(c, return_counts=True)
-                keep = np.arange(len(i)) - first < k * copies.max()
-                yield pa.record_batch([pa.array(q[i[keep]]), pa.array(c[j[keep]]), pa.array(score[keep].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    lows = _per_block(q, state, "low", "lows")
-    top = pairs.join(lows, "q_ids").mapInArrow(take, "query_id long, vec_id long, score long")
+    top = tiled(_per_block(q, state)).mapInArrow(_taken(k), "query_id long, vec_id long, score long")
     top = top.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", "score")
 
 
-def _per_block(q: DataFrame, state: DataFrame, value: str, name: str) -> DataFrame:
-    """(q_ids, name): for each block of queries, its queries' values in the block's order."""
+def _per_block(q: DataFrame, state: DataFrame) -> DataFrame:
+    """(ids, lows): of each block of queries, the low ends of their ranges in the block's order."""
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0).to_pylist():
                 v = np.frombuffer(x, "<i8")
-                yield pa.record_batch([pa.array([x] * len(v), pa.binary()), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["q_ids", "place", "id"])
+                yield pa.record_batch([pa.array([x] * len(v), pa.binary()), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["ids", "place", "id"])
 
-    each = q.select("q_ids").distinct().mapInArrow(ids, "q_ids binary, place int, id long").join(state, "id", "left")
-    order = F.array_sort(F.collect_list(F.struct("place", F.coalesce(value, F.lit(1 << 52)).alias("v"))))
-    return each.groupBy("q_ids").agg(F.transform(order, lambda x: x["v"]).alias(name))
+    rows = q.select("ids").distinct().mapInArrow(each, "ids binary, place int, id long").join(state, "id", "left")
+    # A query without candidates has no range: nothing reaches its low end.
+    order = F.array_sort(F.collect_list(F.struct("place", F.coalesce("low", F.lit(1 << 52)).alias("low"))))
+    return rows.groupBy("ids").agg(F.transform(order, lambda x: x["low"]).alias("lows"))
