@@ -27,8 +27,8 @@ from lorewright.llm.texts import U, constants, groups, mix
 from lorewright.llm.topk import usable
 
 COSINE = 0.98
-TABLES, PROBES = 6, 2
-SCALE = 3.2
+TABLES, PROBES = 4, 2
+SCALE = 4.0
 BLOCK = 1024
 SEED = 20240
 
@@ -90,15 +90,15 @@ def cell_keys(v: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec, copies, label, v): keys added, the vector as bytes; by the vectors' length."""
+    """(vec, copies, label, v): keys added, the vector as bytes of its own type; by the vectors' length."""
     for b in batches:
         sizes = np.diff(b.column(3).offsets.to_numpy()) if b.num_rows else np.zeros(0)
         for dim in np.unique(sizes).tolist():
             part = b.filter(pa.array(sizes == dim))
-            v = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             if not dim:
                 continue
-            keys = cell_keys(v, part.column(2).to_numpy())
+            v = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            keys = cell_keys(v.astype(np.float64), part.column(2).to_numpy())
             at = np.arange(len(v) + 1, dtype=np.int32) * keys.shape[1]
             yield pa.record_batch(
                 [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())), pa.array([x.tobytes() for x in v], pa.binary())],
@@ -106,12 +106,12 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], kind: type = np.float64) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, part, vec, copies, keys, v) by unit: (vec, links, root) of vectors with links."""
     for t in groups(batches, 3):
         key, i, j = t["key"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
         part, vec, copies = t["part"].to_numpy(), t["vec"].to_numpy(), t["copies"].to_numpy()
-        v = np.frombuffer(b"".join(t["v"].to_pylist()), np.float64).reshape(len(vec), -1)
+        v = np.frombuffer(b"".join(t["v"].to_pylist()), kind).reshape(len(vec), -1).astype(np.float64)
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
         keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(vec), -1)
         mine, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
@@ -169,8 +169,11 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     v = F.col(vector)
     good = usable(vector) & F.exists(v, lambda x: x != 0) & F.col(label).isNotNull() & F.col(id).isNotNull()
     norm = F.coalesce(good, F.lit(False))
+    # Single precision travels as it is; all arithmetic is in double.
+    single = "float" if vectors.select(v).schema[0].dataType.simpleString() == "array<float>" else "double"
+    kind = np.float32 if single == "float" else np.float64
     hashed = [F.when(norm, F.xxhash64(F.lit(s), label, vector)).alias(f"h{s}") for s in (1, 2)]
-    rows = stored(vectors.select(F.col(id).cast("long").alias("vec"), F.when(norm, F.col(label).cast("long")).alias("label"), F.when(norm, v.cast("array<double>")).alias("v"), *hashed), "vectors")
+    rows = stored(vectors.select(F.col(id).cast("long").alias("vec"), F.when(norm, F.col(label).cast("long")).alias("label"), F.when(norm, v.cast(f"array<{single}>")).alias("v"), *hashed), "vectors")
     ids = rows.where("h1 is not null").select("vec", "label", "h1", "h2").distinct()
     classes = stored(ids.groupBy("label", "h1", "h2").agg(F.min("vec").alias("rep"), F.count("*").alias("copies")), "classes")
     first = rows.where("h1 is not null").join(classes.withColumnRenamed("rep", "vec"), ["vec", "label", "h1", "h2"]).select("vec", "copies", "label", "v").distinct()
@@ -182,7 +185,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     units = units.withColumn("part", F.pmod(F.xxhash64("vec"), "cuts").cast("int")).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     units = units.join(table, "vec").select("key", F.least("part", "against").alias("i"), F.greatest("part", "against").alias("j"), "part", "vec", "copies", "keys", "v")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "vec")
-    found = stored(units.mapInArrow(_compared, "vec long, links long, root long"), "links")
+    found = stored(units.mapInArrow(lambda b: _compared(b, kind), "vec long, links long, root long"), "links")
 
     same = ids.join(classes.where("copies > 1"), ["label", "h1", "h2"]).where("vec <> rep").select(F.col("vec").alias("a"), F.col("rep").alias("b"))
     parts = stored(components(same.unionByName(found.select(F.col("vec").alias("a"), F.col("root").alias("b")))), "parts")
