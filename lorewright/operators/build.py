@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorewright.functions.text import normalize_punctuation, normalize_whitespace
 from lorewright.operators import knowledge, normalize, rdf
 from lorewright.operators.entries import split_entries
+from lorewright.operators.ner import AUTOMATON_CHARS
 from lorewright.operators.relations import RULES, Rule, extract_relations
 
 
@@ -39,7 +40,10 @@ def build(entries: DataFrame, people: DataFrame, aliases: DataFrame, known_facts
 
     *people* is the dictionary of persons (name), of checked size as the rules need it in every task.
     """
-    names = [r.name for r in people.select("name").distinct().collect()]
+    names_ = people.select("name").distinct()
+    if (names_.agg(F.sum(F.length("name"))).first()[0] or 0) > AUTOMATON_CHARS:
+        raise ValueError("the dictionary of persons is too large for every task; match it with ner.dictionary_entities first")
+    names = [r.name for r in names_.collect()]
     facts = knowledge.merge_known(rule_facts(entries, names, aliases, rules), known_facts)
     ends = known_facts.select(F.explode(F.array("subject", "object")).alias("name"))
     standard = people.unionByName(ends).unionByName(aliases.select(F.col("standard").alias("name"))).distinct()
