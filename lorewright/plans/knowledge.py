@@ -10,7 +10,7 @@ from lorewright.operators.templates import ATTRIBUTES, NOT_GENERAL, RELATIONS, t
 from lorewright.plans.registry import query, table
 from lorewright.sources.canonical import PRELUDE, triples
 
-PERSON, OTHER, SCHOOL = "Supplier#000000030", "Supplier#000000010", "NATION_3"
+PERSON, OTHER, FRIEND, SCHOOL = "Supplier#000000030", "Supplier#000000010", "Supplier#000000020", "NATION_3"
 WITH = f"with {PRELUDE} "
 
 
@@ -26,7 +26,8 @@ def _in(names) -> str:
 
 
 for _kind, _attribute in ATTRIBUTES.items():
-    query(WITH + f"select b.o as \"{_attribute}\" from t a join t b on a.s = b.s where a.p = 'personName' and a.o = '{PERSON}' and b.p = '{_attribute}'", _kind)(_asked(_kind))
+    _who = PERSON if _attribute == "masterpiece" else FRIEND
+    query(WITH + f"select b.o as \"{_attribute}\" from t a join t b on a.s = b.s where a.p = 'personName' and a.o = '{_who}' and b.p = '{_attribute}'", _kind)(_asked(_kind, _who))
 
 _BOTH = (
     "select n.o as {0}Name, x.rel from (select o as k, p as rel from t where s = '{1}' and p = '{2}' union all select s, p from t where o = '{1}' and p = '{3}') x "
@@ -35,9 +36,9 @@ _BOTH = (
 query(WITH + _BOTH.format("teacher", PERSON, "hasTeacher", "hasStudent"), "ask_teacher")(_asked("ask_teacher"))
 query(WITH + _BOTH.format("student", OTHER, "hasStudent", "hasTeacher"), "ask_student")(_asked("ask_student", OTHER))
 query(
-    WITH + f"select distinct n.o as friendName from (select o as k from t where s = '{OTHER}' and p = 'hasFriend' union all select s from t where o = '{OTHER}' and p = 'hasFriend') x join t n on n.s = x.k and n.p = 'personName' where n.o <> '{OTHER}'",
+    WITH + f"select distinct n.o as friendName from (select o as k from t where s = '{FRIEND}' and p = 'hasFriend' union all select s from t where o = '{FRIEND}' and p = 'hasFriend') x join t n on n.s = x.k and n.p = 'personName' where n.o <> '{FRIEND}'",
     "ask_friend",
-)(_asked("ask_friend", OTHER))
+)(_asked("ask_friend", FRIEND))
 query(
     WITH + f"select distinct n.o as schoolName from t a join t n on n.s = a.o and n.p = 'schoolName' where a.s = '{PERSON}' and a.p in ('belongsToSchool', 'hasFounder')",
     "ask_school",
