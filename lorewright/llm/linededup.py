@@ -27,7 +27,6 @@ from lorewright.llm.texts import U, constants, mix
 
 #: A run of lines repeats if it has at least this many words.
 MIN_WORDS = 50
-_SIGN = U(1 << 63)
 
 
 def _lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

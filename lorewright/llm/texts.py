@@ -92,12 +92,6 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.nd
     return words, np.searchsorted(starts, off)
 
 
-def line_words(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """The number of words of each row."""
-    _, at = word_hashes(offsets, raw)
-    return np.diff(at)
-
-
 def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
     """Each row's distinct shingle hashes, sorted. A row of fewer words has its whole sequence as one shingle."""
     c = constants(width, 29)
