@@ -140,9 +140,6 @@ def relation_rules_cjk(spark, sf_dir):
     return relations.extract_relations(corpus, _KNOWN)
 
 
-_PREDICATES = list(normalize.SCHEMA)
-
-
 def _case(pairs: dict[str, str], column: str) -> str:
     return f"case trim({column}) " + " ".join(f"when '{k}' then '{v}'" for k, v in pairs.items()) + f" else trim({column}) end"
 
