@@ -11,6 +11,7 @@ the kth value on, and breaks ties by the smaller id.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,52 +28,106 @@ QUERY_BLOCK, BLOCK = 256, 2048
 QUERY_TILE, TILE = 64, 64
 #: Products are exact in float64 while their sum stays below this.
 EXACT = 1 << 52
+BLOCK_SCHEMA = pa.schema([("ids", pa.binary()), ("parts", pa.list_(pa.struct([("dim", pa.int32()), ("at", pa.binary()), ("values", pa.binary())]))), ("norm", pa.float64())])
 
 
 def _packed(rows: int):
-    """A packer of (id, vector) rows into blocks of *rows*, by the vectors' length."""
+    """A packer of (id, vector) rows into blocks of about *rows*, by the vectors' length.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+    Rows of one id come together; they stay in one block, whatever their lengths. A block is its
+    ids, each once, and per length the places of the ids and their vectors.
+    """
 
-        def block(dim: int, ids: list, vs: list) -> pa.RecordBatch:
-            v = np.floor(np.array(vs, np.float64).reshape(len(ids), dim) * SCALE)
-            size = float(np.sqrt((v * v).sum(axis=1).max())) if dim else 0.0
-            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([size])], names=["dim", "ids", "values", "norm"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, list]]] = {}
+        counts: Counter[int] = Counter()
+        group: list = []
+        last = None
+
+        def block(members: list[tuple[int, list]]) -> dict:
+            by: dict[int, tuple[list, list]] = {}
+            for n, (_, vs) in enumerate(members):
+                for v in vs:
+                    at, some = by.setdefault(len(v), ([], []))
+                    at.append(n)
+                    some.append(v)
+            parts, size = [], 0.0
+            for dim, (at, some) in by.items():
+                v = np.floor(np.array(some, np.float64).reshape(len(at), dim) * SCALE)
+                size = max(size, float(np.sqrt((v * v).sum(axis=1).max())) if dim else 0.0)
+                parts.append({"dim": dim, "at": np.array(at, "<i4").tobytes(), "values": v.tobytes()})
+            return {"ids": np.array([d for d, _ in members], "<i8").tobytes(), "parts": parts, "norm": size}
+
+        def put() -> Iterator[pa.RecordBatch]:
+            if group:
+                dim = len(group[0])
+                held.setdefault(dim, []).append((last, list(group)))
+                counts[dim] += len(group)
+                group.clear()
+                if counts[dim] >= rows:
+                    del counts[dim]
+                    yield batch(held.pop(dim))
+
+        def batch(members: list[tuple[int, list]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([block(members)], schema=BLOCK_SCHEMA)
 
         for b in batches:
             vec = b.column(1)
             for i, d in enumerate(b.column(0).to_pylist()):
-                v = vec[i].values.to_numpy(zero_copy_only=False)
-                ids, vs = held.setdefault(len(v), ([], []))
-                ids.append(d)
-                vs.append(v)
-                if len(ids) == rows:
-                    yield block(len(v), *held.pop(len(v)))
-        for dim, (ids, vs) in held.items():
-            yield block(dim, ids, vs)
+                if d != last:
+                    yield from put()
+                    last = d
+                group.append(vec[i].values.to_numpy(zero_copy_only=False))
+        yield from put()
+        for members in held.values():
+            yield batch(members)
 
     return run
 
 
+def _parts(row: dict) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of a block, by length: the places of the ids, rising, and their vectors."""
+    out = {}
+    for x in row["parts"]:
+        at = np.frombuffer(x["at"], "<i4")
+        out[x["dim"]] = at, np.frombuffer(x["values"]).reshape(len(at), x["dim"])
+    return out
+
+
+def _best(s: np.ndarray, at: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids' places, each once, and the greatest score of each along *axis*."""
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[first], s if len(first) == len(at) else np.maximum.reduceat(s, first, axis=axis)
+
+
 class _Queries:
     """A block of queries, with the low end of each one's range and its histogram."""
 
     def __init__(self, row: dict):
-        self.dim, self.ids = row["dim"], np.frombuffer(row["ids"], "<i8")
-        self.values = np.frombuffer(row["values"]).reshape(len(self.ids), self.dim)
+        self.ids, self.parts = np.frombuffer(row["ids"], "<i8"), _parts(row)
         self.lows = np.array(row["lows"], np.float64)
         self.counts = np.zeros(len(self.ids) * BINS, np.int64)
 
-    def scores(self, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Scores of a block of candidates; a query itself is below all."""
-        s = self.values @ values.T
-        s[self.ids[:, None] == ids[None, :]] = -np.inf
-        return s
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[_Queries], np.ndarray, np.ndarray] | list[_Queries]]:
-    """Of rows by tile, queries first: (queries, ids, values) per block of candidates, and the queries at a tile's end."""
+    def scores(self, ids: np.ndarray, parts: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Best scores of the ids of a block of candidates; a query itself is below all."""
+        out = None
+        for dim in self.parts.keys() & parts.keys():
+            (a, q), (b, c) = self.parts[dim], parts[dim]
+            b, s = _best(q @ c.T, b, 1)
+            a, s = _best(s, a, 0)
+            if out is None and s.shape == (len(self.ids), len(ids)):
+                out = s
+                continue
+            if out is None:
+                out = np.full((len(self.ids), len(ids)), -np.inf)
+            at = np.ix_(a, b)
+            out[at] = np.maximum(out[at], s)
+        out[self.ids[:, None] == ids[None, :]] = -np.inf
+        return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[_Queries], np.ndarray, dict] | list[_Queries]]:
+    """Of rows by tile, queries first: (queries, ids, parts) per block of candidates, and the queries at a tile's end."""
     last, held = None, []
     for b in batches:
         for row in b.to_pylist():
@@ -83,8 +138,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[_Queries],
             if row["kind"] == 0:
                 held.append(_Queries(row))
             else:
-                ids = np.frombuffer(row["ids"], "<i8")
-                yield [q for q in held if q.dim == row["dim"]], ids, np.frombuffer(row["values"]).reshape(len(ids), row["dim"])
+                parts = _parts(row)
+                yield [q for q in held if q.parts.keys() & parts.keys()], np.frombuffer(row["ids"], "<i8"), parts
     if held:
         yield held
 
@@ -116,9 +171,8 @@ def _taken(k: int):
                 score = s[i, j]
                 order = np.lexsort((c[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
-                # Of one block at most k can be among a query's first k; a repeated id may come several times.
-                _, copies = np.unique(c, return_counts=True)
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < k * copies.max()
+                # Of one block at most k can be among a query's first k.
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
                 yield pa.record_batch([pa.array(q.ids[i[keep]]), pa.array(c[j[keep]]), pa.array(score[keep].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
     return run
@@ -136,13 +190,26 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id: str = "vec_id"
     *queries* is a condition on rows. Candidates are all rows with another id. Vectors that are
     null or hold null or non-finite components take no part, nor do rows with a null id; only
     vectors of one length are compared. Repeated ids count as one candidate and one query, with the
-    best score among them. Components of a block must keep its sums below 2**52.
+    best score among them; the distinct vectors of one id are held in one block, so they must fit a
+    worker. Components of a block must keep its sums below 2**52.
     """
     rows = vectors.where(usable(vector) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     small_batches(vectors.sparkSession)
-    shape = "dim int, ids binary, values binary, norm double"
-    c = stored(rows.select("id", "v").mapInArrow(_packed(BLOCK), shape), "candidates")
-    q = stored(rows.where("is_query").select("id", "v").mapInArrow(_packed(QUERY_BLOCK), shape), "queries")
+    shape = "ids binary, parts array<struct<dim:int,at:binary,values:binary>>, norm double"
+    # Only the rows of repeated ids are brought together.
+    many = vectors.groupBy(F.col(id).cast("long").alias("id")).agg(F.count("*").alias("n")).where("id is not null and n > 1").select("id")
+    many = stored(many, "repeated")
+    none = many.isEmpty()
+
+    def blocks(part: DataFrame, size: int) -> DataFrame:
+        part = part.select("id", "v")
+        if none:
+            return part.mapInArrow(_packed(size), shape)
+        again = part.join(many, "id", "left_semi").distinct().repartition("id").sortWithinPartitions("id")
+        return part.join(many, "id", "left_anti").mapInArrow(_packed(size), shape).unionByName(again.mapInArrow(_packed(size), shape))
+
+    c = stored(blocks(rows, BLOCK), "candidates")
+    q = stored(blocks(rows.where("is_query"), QUERY_BLOCK), "queries")
     (nc, c_norm), (nq, q_norm) = (x.agg(F.count("*"), F.coalesce(F.max("norm"), F.lit(0.0))).first() for x in (c, q))
     widest = c_norm * q_norm
     if widest >= EXACT:
@@ -154,7 +221,7 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id: str = "vec_id"
         """Rows of every tile (i, j): its queries (kind 0) with their lows, then its candidates."""
         mine = q.join(lows, "ids").withColumn("i", F.pmod(F.xxhash64("ids"), F.lit(down)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
         other = c.withColumn("j", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-        columns = ["i", "j", "kind", "dim", "ids", "values", "lows"]
+        columns = ["i", "j", "kind", "ids", "parts", "lows"]
         both = mine.withColumn("kind", F.lit(0)).select(*columns).unionByName(other.withColumns({"kind": F.lit(1), "lows": F.lit(None).cast("array<bigint>")}).select(*columns))
         return both.repartition(max(1, down * across), "i", "j").sortWithinPartitions("i", "j", "kind")
 
@@ -176,7 +243,6 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 5, id: str = "vec_id"
         width //= BINS
 
     top = tiled(_per_block(q, state)).mapInArrow(_taken(k), "query_id long, vec_id long, score long")
-    top = top.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", "score")

@@ -106,6 +106,21 @@ def test_topk_ties_nulls_and_few(spark):
     assert top(df.limit(0)) == {}
 
 
+def test_topk_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(4).round(2).tolist()) for i in range(300)]
+    rows += rows + [rows[7]] * 20  # every row twice, one often
+    rows += [(i, r.standard_normal(4).round(2).tolist()) for i in range(0, 300, 3) for _ in range(i % 4)]  # several vectors of an id
+    rows += [(i, r.standard_normal(2).round(2).tolist()) for i in (0, 0, 3, 50, 51, 299)]  # and of another length
+    best = defaultdict(lambda: defaultdict(lambda: -np.inf))
+    for q, x in rows:
+        for i, y in rows:
+            if q % 50 == 0 and i != q and len(x) == len(y):
+                best[q][i] = max(best[q][i], int(np.floor(np.array(x) * 256) @ np.floor(np.array(y) * 256)))
+    want = {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in of.items())[:5])] for q, of in best.items()}
+    assert top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == want
+
+
 def test_chat(spark):
     a, b, c = ("user", "hi"), ("assistant", "yes"), ("user", "more")
     logs = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [a, c], 6: [b], 7: [("user", None)], 8: [("user", ""), b]}
