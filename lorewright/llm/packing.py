@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lorewright.store import small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 TIERS = (2048, 1024, 512, 256)
 END = 1
 BUFFER_TOKENS = 1 << 20
@@ -38,19 +39,25 @@ class Encoder:
     """Ids of whole texts, as the ``tokenizers`` file byte_bpe_50k.json gives them.
 
     The same vocabulary is read as ranks (byte_bpe_50k.tiktoken): its encoder gives the same ids
-    four times as fast, which tests hold against ``tokenizers``. The strings of special tokens are
-    ordinary text.
+    four times as fast, which tests hold against ``tokenizers``. The strings of the file's added
+    tokens are ordinary text unless *added*: then each gives its own id, as by default there.
     """
 
     def __init__(self, path: str | None = None):
+        import json
+
         import public_tokenizers
         import tiktoken
 
         with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+            self.added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str, added: bool = False) -> np.ndarray:
+        if added and any(x in text for x in self.added):
+            return np.array(self.encoding.encode(text, allowed_special="all"), "<u4")
         return np.array(self.encoding.encode_ordinary(text), "<u4")
 
 
@@ -173,7 +180,7 @@ def pack(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str | No
         end = np.array([END], "<u4")
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                packer.add(d, np.concatenate((encoder.encode(t.as_py() or ""), end)))
+                packer.add(d, np.concatenate((encoder.encode(t.as_py() or "", added=True), end)))
                 if len(packer.ready) >= 512 and (rows := packer.drain()):
                     yield _batch(rows)
         packer.finish()

@@ -207,3 +207,16 @@ def test_encoder_equals_tokenizers():
     e = Encoder()
     for x in ("", " ", "Hello  world\n\n\tx", "naïve café — 123,456 ½ 😀👍🏽", "it's they'LL I'd", "\u3000全角\u00a0x\u200b", "a\r\nb\x00c", "<|endoftext|>", "ǅ ß Ⅻ ²"):
         assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_packing_gives_added_tokens_their_ids(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  \n<|endoftext|><|endoftext|>  y's", "<|endoftext|", "no <|ENDOFTEXT|>", "é\u3000<|endoftext|>\u0301 12 ", "<|endof<|endoftext|>text|>"]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    e = Encoder()
+    assert {i: [*e.encode(x, added=True).tolist(), 1] for i, x in enumerate(texts)} == want
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(x) for i, x in want.items()}
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
