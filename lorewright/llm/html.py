@@ -5,7 +5,9 @@ Markup is stripped into lines, one per block element, in page order; what can't
 A line's length is its text outside links; a line of the page's article element counts for at
 least a whole window. Lengths are summed over sliding windows of WINDOW lines. Where the sum first
 exceeds SURGE the text begins (a surge point), where it falls to nothing it ends (a dive point).
-Of the stretches so found, the longest is the main text, and every line in it is kept.
+All stretches so found are the main text, and every line in them is kept. A box (div, section, cell;
+else the page) whose own text makes up a stretch is kept from its first to its last line of text,
+so links inside an article, and short lines before and after, don't cut it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ _DROP = frozenset("head nav footer aside form button dialog menu fieldset".split
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements around which the page changes its subject.
 _SECTION = frozenset("section table header".split())
+#: Block elements of running text; any other one is a box.
+_FLOW = frozenset("html body p ul ol li dl dt dd blockquote pre figure figcaption address details summary center hr table caption tbody thead tfoot tr".split()) | _HEADING
 #: Elements that an open p ends at.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Words in a class or id that name what isn't the article.
@@ -100,10 +105,13 @@ def _kind(tag: str, raw: str) -> str:
 
 
 class _Lines:
-    """Blocks of text with their length outside links and the article and main element they are in."""
+    """Blocks of text with their length outside links and the article, main element and box they are in."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        #: Of each box, the one around it; box 0 is the page.
+        self.around = [-1]
+        self.box = 0
         self.parts: list[str] = []
         self.plain = 0
 
@@ -111,16 +119,16 @@ class _Lines:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.lines.append((text, self.plain, article, main))
+                self.lines.append((text, self.plain, article, main, self.box))
             self.parts, self.plain = [], 0
 
     def gap(self) -> None:
         if self.lines and self.lines[-1][0]:
-            self.lines.append(("", 0, 0, 0))
+            self.lines.append(("", 0, 0, 0, self.box))
 
 
-def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, length outside links, article, main) of each block; ("", 0, 0, 0) where a section changes."""
+def lines(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]]:
+    """(text, length outside links, article, main, box) of each block; ("", 0, 0, 0, box) where a section changes. And the box around each box."""
     out = _Lines()
     stack: list[tuple[str, str]] = []  # tag and kind
     dropped = heads = links = articles = mains = 0
@@ -133,6 +141,8 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         tag, kind = stack.pop()
         if tag not in _INLINE:
             out.end(article[-1], main[-1])
+            if tag not in _FLOW:
+                out.box = out.around[out.box]
         if kind == "drop":
             dropped -= 1
         elif kind == "head":
@@ -184,6 +194,9 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
                 pop()
             kind = _kind(tag, m[3])
             stack.append((tag, kind))
+            if tag not in _INLINE and tag not in _FLOW:
+                out.around.append(out.box)
+                out.box = len(out.around) - 1
             dropped += kind == "drop"
             heads += kind == "head"
             links += tag == "a"
@@ -209,14 +222,14 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
     while stack:
         pop()
     out.end(0, 0)
-    return out.lines
+    return out.lines, out.around
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by two newlines; empty for null, empty or text-less pages."""
-    found = lines(page) if page else []
+    found, around = lines(page) if page else ([], [])
     whole: dict[tuple[int, int], int] = {}
-    for text, _, a, m in found:
+    for text, _, a, m, _ in found:
         for key in ((0, a), (1, m)):
             if key[1]:
                 whole[key] = whole.get(key, 0) + len(text)
@@ -227,24 +240,66 @@ def main_text(page: str | None) -> str:
         lengths = [max(x[1], SURGE + 1) for x in found]
     else:
         lengths = [0 if _COPYRIGHT.match(x[0]) else x[1] for x in found]
-    return "\n\n".join(x[0] for x in _stretch(found, lengths) if x[0])
+    return "\n\n".join(x[0] for x in _stretches(found, lengths, around) if x[0])
 
 
-def _stretch(found: list, lengths: list[int]) -> list:
-    """The lines between the surge and dive points that hold the most text."""
+def _stretches(found: list, lengths: list[int], around: list[int]) -> list:
+    """The lines between surge and dive points, and those that belong with them."""
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    best, most, begin = (0, 0), 0, None
+    spans, begin = [], None
     for i, s in enumerate([*sums, 0]):
         if begin is None and s > SURGE and lengths[i]:
             begin = i
         elif begin is not None and not s:
-            if (total := sum(lengths[begin:i])) > most:
-                best, most = (begin, i), total
+            spans.append((begin, i))
             begin = None
-    if not most and any(lengths):
+    if not spans and any(lengths):
         # A page too short for any surge: all its text outside links.
         return [x for x, n in zip(found, lengths, strict=True) if n]
-    return found[best[0] : best[1]]
+    ends: dict[int, tuple[int, int]] = {}
+    for i, x in enumerate(found):
+        if lengths[i]:
+            ends[x[4]] = ends.get(x[4], (i, i))[0], i + 1
+    kept = np.zeros(len(found) + 1, np.int64)
+    for a, z in spans:
+        own: dict[int, int] = {}
+        for x, n in zip(found[a:z], lengths[a:z], strict=True):
+            own[x[4]] = own.get(x[4], 0) + n
+        for first, last in [(_opening(found, lengths, around, a), z), *(ends[k] for k, n in own.items() if n > SURGE)]:
+            kept[first] += 1
+            kept[last] -= 1
+    keep = (np.cumsum(kept) > 0)[:-1].tolist()
+    return [x for x, k in zip(found, _bridged(found, keep, around), strict=True) if k]
+
+
+def _outer(box: int, around: list[int]) -> set[int]:
+    """A box and all around it."""
+    out = set()
+    while box >= 0:
+        out.add(box)
+        box = around[box]
+    return out
+
+
+def _opening(found: list, lengths: list[int], around: list[int], at: int) -> int:
+    """Where a stretch from *at* on begins with the lines directly before it in the boxes around it: headline, byline."""
+    outer, first = _outer(found[at][4], around), at
+    for i in range(at - 1, -1, -1):
+        if not found[i][0] or found[i][4] not in outer:
+            break
+        if lengths[i]:
+            first = i
+    return first
+
+
+def _bridged(found: list, keep: list[bool], around: list[int]) -> list[bool]:
+    """*keep*, with the lines between two kept ones that stand in a box around both."""
+    at = [i for i, k in enumerate(keep) if k and found[i][0]]
+    for a, z in zip(at, at[1:]):
+        between = {found[i][4] for i in range(a + 1, z) if found[i][0]}
+        if between and between <= _outer(found[a][4], around) & _outer(found[z][4], around):
+            keep[a + 1 : z] = [True] * (z - a - 1)
+    return keep
 
 
 def extract(pages: DataFrame, page: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -214,3 +214,21 @@ LONG = "A sentence of the article that has quite a number of words in it, and th
 )
 def test_shapes_of_pages(page, want):
     assert main_text(page) == "\n\n".join(x.strip() for x in want)
+
+
+LINKS = "<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a><li><a href=d>Four</a></ul>"
+NAMES = ["One", "Two", "Three", "Four"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{LONG * 4}</p>{LINKS}<p>{LONG * 2}</p></div><div>{LINKS}</div>", [LONG * 4, *NAMES, LONG * 2]),
+        (f"<body>{LINKS}<div><p>{LONG * 2}</p></div><div>{LINKS}</div><div><p>{LONG * 4}</p></div></body>", [LONG * 2, LONG * 4]),
+        (f"<div>{LINKS}<h1>Head</h1><p>By X</p><p>2020</p><p>Short one.</p><p>{LONG * 3}</p></div>", ["Head", "By X", "2020", "Short one.", LONG * 3]),
+        (f"<div><h1>Head</h1><p>By X</p><p>2020</p><p>Short.</p><div><p>{LONG * 3}</p></div>{LINKS}<div><p>{LONG * 3}</p></div></div>", ["Head", "By X", "2020", "Short.", LONG * 3, *NAMES, LONG * 3]),
+        (f"<div><p>{LONG * 3}</p>{LINKS}<p>The end.</p></div><div>{LINKS}</div>", [LONG * 3, *NAMES, "The end."]),
+    ],
+)
+def test_stretches_of_pages_without_an_article(page, want):
+    assert main_text(page) == "\n\n".join(x.strip() for x in want)
