@@ -10,23 +10,31 @@ windows that reach from a fingerprint forwards and backwards are held against ea
 of all their lines, so a match grows, window by window, to the whole repeated run. The first place
 of a window, by (doc_id, line), keeps its lines; in every later place they are deleted. Work is
 linear in the number of places: a passage in thousands of documents needs no pairs.
+
+With *passages* the units are words instead of lines, so runs that begin or end inside a line are
+found too. Hashes of GRAM words are winnowed so that any MIN_WORDS words hold a chosen one; where a
+chosen one stands twice, every window of MIN_WORDS words around it is held against the others. To
+keep that small, longer spans between chosen ones are compared first: what stands in a span that
+stood earlier goes at once, and only windows that reach out of such spans are left to compare.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.store import small_batches, stored
-from lorewright.llm.texts import U, constants, mix
+from lorewright.llm.texts import _P, _PINV, _SPACE, _power, U, buffers, constants, mix, slices, word_hashes
 
 #: A run of lines repeats if it has at least this many words.
 MIN_WORDS = 50
+#: Words of a fingerprint of passages.
+GRAM = 20
 
 
 def _lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,42 +122,197 @@ def strip_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(x for k, x in enumerate(lines) if k not in drop), len(lines), n
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, runs, id, kept_in, ...): id, text rewritten, two counts, kept_in and what follows."""
+def _rewrite(strip: Callable[[str, list[tuple[int, int]]], tuple[str, int, int]]):
+    """(text, runs, id, kept_in, ...): id, text rewritten by *strip*, two counts, kept_in and what follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, before, gone = [], [], []
+            at = b.column(1).offsets.to_numpy().tolist()
+            first, last = (b.column(1).values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for t, i, j in zip(b.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                if i < j:
+                    t, n, k = strip(t, list(zip(first[i:j].tolist(), last[i:j].tolist(), strict=True)))
+                else:
+                    n, k = (0 if t is None else t.count("\n") + 1), 0
+                text.append(t)
+                before.append(n)
+                gone.append(k)
+            arrays = [b.column(2), pa.array(text, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64()), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f"o{i}" for i in range(len(arrays))])
+
+    return run
+
+
+def _slid(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
+    """*f* (minimum or maximum) over every *width* successive values."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = f(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def grams(words: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """A hash of every *width* successive words."""
+    c, n = constants(width, seed), len(words) - width + 1
+    out = np.zeros(max(n, 0), U)
+    for j in range(width if n > 0 else 0):
+        out += words[j : j + n] * c[j]
+    return mix(out)
+
+
+def chosen(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are smallest in some MIN_WORDS words of one row; rows begin at *at*."""
+    g, span = grams(words, GRAM, 61), MIN_WORDS - GRAM + 1
+    if len(words) < MIN_WORDS:
+        return np.zeros(0, np.int64), g[:0]
+    low = _slid(g, span, np.minimum)
+    end = np.repeat(at[1:], np.diff(at))
+    low[np.arange(len(low)) + MIN_WORDS > end[: len(low)]] = 0
+    edge = np.zeros(span - 1, U)
+    use = np.flatnonzero(_slid(np.concatenate((edge, low, edge)), span, np.maximum) == g)
+    return use, g[use]
+
+
+def _spans(words: np.ndarray, at: np.ndarray, use: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and content hash of the span of every chosen place.
+
+    Windows that begin before the next chosen place lie in the span; a row's first span begins with
+    the row, and the last ones end with it.
+    """
+    first = np.ones(len(use), bool)
+    first[1:] = row[1:] != row[:-1]
+    end = at[row + 1]
+    after = end.copy()
+    after[:-1] = np.where(first[1:], end[:-1], use[1:])
+    k = np.searchsorted(use, after + MIN_WORDS - 1 - GRAM)
+    inside = (k < len(use)) & (row[np.minimum(k, len(use) - 1)] == row)
+    z = np.where(inside, use[np.minimum(k, len(use) - 1)] + GRAM, end)
+    a = np.where(first, at[row], use)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(words * _power(_P, len(words))[: len(words)], dtype=U)))
+    return a, z, mix((sums[z] - sums[a]) * _power(_PINV, len(words) + 1)[a] + (z - a).astype(U))
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc", "body", "spot", "print", "words", "first", "last", "content"]
     for b in batches:
-        text, before, gone = [], [], []
-        for t, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if runs:
-                t, n, k = strip_runs(t, [(r["first"], r["last"]) for r in runs])
-            else:
-                n, k = (0 if t is None else t.count("\n") + 1), 0
-            text.append(t)
-            before.append(n)
-            gone.append(k)
-        arrays = [b.column(2), pa.array(text, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64()), *b.columns[3:]]
-        yield pa.RecordBatch.from_arrays(arrays, names=[f"o{i}" for i in range(len(arrays))])
-
-
-def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+        offsets, raw = buffers(b.column(1))
+        docs = b.column(0).to_numpy(zero_copy_only=False)
+        for first, last in slices(offsets):
+            words, at = word_hashes(offsets[first : last + 1], raw, exact=True)
+            use, g = chosen(words, at)
+            if len(use):
+                row = np.searchsorted(at, use, "right") - 1
+                a, z, content = _spans(words, at, use, row)
+                body = np.array([xxhash.xxh3_64_intdigest(raw[offsets[i] : offsets[i + 1]].tobytes()) for i in range(first, last)], U)
+                places = [pa.array((x - at[row]).astype(np.int32)) for x in (use, at[row + 1], a, z)]
+                span = pa.array(content.view(np.int64), mask=z - a < MIN_WORDS)
+                yield pa.record_batch([pa.array(docs[first + row]), _signed(body[row]), places[0], _signed(g), *places[1:], span], names=names)
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, body, spots, spans): the spots in a window of MIN_WORDS words that lies in none of the spans."""
+    for b in batches:
+        spots, spans = b.column(2), b.column(3)
+        s, z = spots.offsets.to_numpy(), spans.offsets.to_numpy()
+        spot, print_, words = (spots.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        first, last = (spans.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        keep = np.ones(len(spot), bool)
+        for i in range(b.num_rows):
+            if z[i] < z[i + 1] and s[i] < s[i + 1]:
+                n = int(words[s[i]]) - MIN_WORDS + 1
+                inside = np.zeros(n + 1, np.int64)
+                np.add.at(inside, first[z[i] : z[i + 1]], 1)
+                np.add.at(inside, last[z[i] : z[i + 1]] - MIN_WORDS + 1, -1)
+                out = np.concatenate(([0], np.cumsum(np.cumsum(inside[:-1]) == 0)))
+                p = spot[s[i] : s[i + 1]]
+                keep[s[i] : s[i + 1]] = out[np.minimum(p + 1, n)] > out[np.maximum(p + GRAM - MIN_WORDS, 0)]
+        row = np.repeat(np.arange(b.num_rows), np.diff(s))
+        use = np.zeros(len(spot), bool)
+        use[s[0] : s[-1]] = keep[s[0] : s[-1]]
+        at = row[use[s[0] : s[-1]]]
+        doc, body = (b.column(i).to_numpy(zero_copy_only=False)[at] for i in (0, 1))
+        yield pa.record_batch([pa.array(doc), pa.array(body), pa.array(spot[use]), pa.array(print_[use])], names=["doc", "body", "spot", "print"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, doc, body, spots): the windows of MIN_WORDS words that hold a gram at one of the spots."""
+    for b in batches:
+        for t, d, body, spots in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            raw = np.frombuffer(t.as_py().encode(), np.uint8)
+            words, _ = word_hashes(np.array([0, len(raw)]), raw, exact=True)
+            content = grams(words, MIN_WORDS, 67)
+            p = spots.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            near = np.zeros(len(content) + 1, np.int64)
+            np.add.at(near, np.maximum(p + GRAM - MIN_WORDS, 0), 1)
+            np.add.at(near, np.minimum(p + 1, len(content)), -1)
+            s = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+            yield pa.record_batch([pa.array(np.full(len(s), d, np.int64)), pa.array(np.full(len(s), body, np.int64)), pa.array(s.astype(np.int32)), _signed(content[s])], names=["doc", "body", "first", "content"])
+
+
+def strip_passages(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the words of *runs* (first word, word after the last), its lines before, and those that lost words."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    solid = np.zeros(len(data) + 2, np.int8)
+    solid[1:-1] = ~_SPACE[data]
+    step = np.diff(solid)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    gone = np.zeros(len(starts) + 1, np.int64)
+    spans = np.array(runs, np.int64).reshape(-1, 2)
+    np.add.at(gone, spans[:, 0], 1)
+    np.add.at(gone, spans[:, 1], -1)
+    out = np.cumsum(gone)[:-1] > 0
+    before = np.concatenate(([0], np.cumsum(out)))
+    edges = np.concatenate(([0], np.flatnonzero(data == 10) + 1, [len(data) + 1]))
+    at = np.searchsorted(starts, edges)
+    lost, words = before[at[1:]] - before[at[:-1]], np.diff(at)
+    whole = (np.cumsum(words > 0) - 1)[(lost > 0) & (lost == words)].tolist()
+    part = np.flatnonzero((lost > 0) & (lost < words)).tolist()
+    if part:
+        lines = raw.split(b"\n")
+        for k in part:
+            a, z, begin = at[k], at[k + 1], edges[k]
+            turn = np.flatnonzero(np.diff(np.concatenate(([True], out[a:z], [True])).astype(np.int8)))
+            kept = [[starts[a + i] - begin, ends[a + j - 1] - begin] for i, j in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
+            if not out[a]:
+                kept[0][0] = 0
+            if not out[z - 1]:
+                kept[-1][1] = len(lines[k])
+            lines[k] = b" ".join(lines[k][i:j] for i, j in kept)
+        text = b"\n".join(lines).decode()
+    return strip_runs(text, [(k, k) for k in whole])[0] if whole else text, len(words), int((lost > 0).sum())
+
+
+def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: tuple[str, ...] = (), passages: bool = False) -> DataFrame:
     """Per row: doc_id, text (without repeated runs), n_lines long, n_removed long, kept_in array<bigint>.
 
     kept_in lists the documents that hold the first place of what was deleted. Null text stays
     null with 0 lines; empty text has one empty line. Runs of fewer than MIN_WORDS words stay.
     Repeated rows (same id and text) are one document and are rewritten alike. Rows with a null id
     stay as they are. Lines are compared without the white space at their ends. *carry* names
-    further columns to keep; an empty table gives an empty result.
+    further columns to keep; an empty table gives an empty result. With *passages*, runs of words
+    go wherever they begin and end, whatever the white space between words, and n_removed counts
+    the lines that lost words.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = base.where("doc is not null and text is not null").mapInArrow(_windows, "doc long, body long, first int, last int, print long, content long")
-    rows = stored(rows, "windows")
+    base = base.where("doc is not null and text is not null")
     place = F.struct("doc", "body", "first")
-    prints = rows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("print")
-    found = rows.join(prints, "print", "left_semi").drop("print").distinct()
-    found = stored(found, "found")
-    firsts = found.groupBy("content").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("content", "lo")
-    later = found.join(firsts, "content").where(place != F.col("lo"))
-    runs = later.groupBy("doc", "body").agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.array_sort(F.collect_set("lo.doc")).alias("kept_in"))
+    if passages:
+        later = _later_passages(base)
+    else:
+        rows = base.mapInArrow(_windows, "doc long, body long, first int, last int, print long, content long")
+        rows = stored(rows, "windows")
+        found = rows.join(_repeated(rows, "print", place).select("print"), "print", "left_semi").drop("print").distinct()
+        found = stored(found, "found")
+        later = found.join(_repeated(found, "content", place).select("content", "lo"), "content").where(place != F.col("lo")).withColumn("kept", F.col("lo.doc"))
+    runs = later.groupBy("doc", "body").agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
+    if passages:
+        # What found them has much to give back before the texts move.
+        runs = stored(runs, "runs")
 
     named = [F.col(text), F.col(id), *(F.col(c) for c in carry)]
     named = docs.select(*(c.alias(f"i{i}") for i, c in enumerate(named)))
@@ -159,5 +322,42 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: t
     kept_in = F.coalesce("kept_in", F.array().cast("array<bigint>"))
     ready = marked.join(runs.hint("shuffle_hash"), same, "left").select("c0", "runs", "c1", kept_in.alias("kept_in"), *(f"c{i}" for i in range(2, len(kinds))))
     shape = [kinds[1], "string", "long", "long", "array<bigint>", *kinds[2:]]
-    out = ready.mapInArrow(_rewrite, ", ".join(f"o{i} {k}" for i, k in enumerate(shape)))
+    out = ready.mapInArrow(_rewrite(strip_passages if passages else strip_runs), ", ".join(f"o{i} {k}" for i, k in enumerate(shape)))
     return out.toDF("doc_id", "text", "n_lines", "n_removed", "kept_in", *carry)
+
+
+def _repeated(rows: DataFrame, key: str, place: F.Column) -> DataFrame:
+    """(key, lo, hi): keys found in several places, with the first and the last one."""
+    return rows.groupBy(key).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """(doc, body, first, last, kept): rows whose content stands at an earlier place, and the document of the first."""
+    w = Window.partitionBy("content").orderBy("doc", "body", "first")
+    out = rows.withColumns({"place": F.rank().over(w), "kept": F.first("doc").over(w)}).where("place > 1")
+    return out.select("doc", "body", "first", "last", "kept")
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """The rows whose print stands at several places."""
+    at = F.xxhash64("doc", "body", "spot")
+    return rows.join(rows.groupBy("print").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("print"), "print", "left_semi")
+
+
+def _later_passages(base: DataFrame) -> DataFrame:
+    """(doc, body, first, last, kept): runs of words, last excluded, that stand at an earlier place."""
+    shape = "doc long, body long, spot int, print long, words int, first int, last int, content long"
+    rows = stored(base.mapInArrow(_prints, shape), "prints")
+    spans = rows.where("content is not null").select("doc", "body", "first", "last", "content")
+    spans = stored(_later(spans), "spans")
+    spots = _twice(rows).select("doc", "body", F.struct("spot", "print", "words").alias("s"), F.lit(None).cast("struct<first:int,last:int>").alias("r"))
+    both = spots.unionByName(spans.select("doc", "body", F.lit(None).cast("struct<spot:int,print:bigint,words:int>").alias("s"), F.struct("first", "last").alias("r")))
+    both = both.groupBy("doc", "body").agg(F.collect_set("s").alias("spots"), F.collect_set("r").alias("spans"))
+    left = stored(both.mapInArrow(_open, "doc long, body long, spot int, print long"), "open")
+    left = stored(_twice(left).groupBy("doc", "body").agg(F.collect_set("spot").alias("spots")), "spots")
+    texts = base.select(F.col("text").alias("c0"), F.col("doc").alias("c1")).mapInArrow(_body, "c0 string, c1 long, c2 long")
+    same = (F.col("c1") == F.col("doc")) & (F.col("c2") == F.col("body"))
+    near = texts.join(left.hint("shuffle_hash"), same).select("c0", "doc", "body", "spots")
+    found = stored(near.mapInArrow(_passages, "doc long, body long, first int, content long"), "found")
+    found = found.withColumn("last", F.col("first") + MIN_WORDS)
+    return spans.unionByName(_later(found))

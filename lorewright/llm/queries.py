@@ -59,7 +59,7 @@ def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

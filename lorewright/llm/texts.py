@@ -30,6 +30,7 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * _MULT + U(seed)) | U(1)
 
 
+_EXACT = constants(256, 11)
 _BYTE = constants(256, 11)
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
@@ -68,8 +69,8 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = min(last, n)
 
 
-def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and where each row's words begin (one more entry than rows)."""
+def word_hashes(offsets: np.ndarray, raw: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, and where each row's words begin (one more entry than rows); *exact* tells A-Z from a-z."""
     off = offsets - offsets[0]
     raw = raw[offsets[0] : offsets[-1]]
     n = len(raw)
@@ -86,7 +87,7 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.nd
     after[-1] = False
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:]))
-    sums = np.cumsum(_BYTE[raw] * _power(_P, n)[:n], dtype=U)
+    sums = np.cumsum((_EXACT if exact else _BYTE)[raw] * _power(_P, n)[:n], dtype=U)
     left = np.where(starts > 0, sums[starts - 1], U(0))
     words = mix((sums[ends] - left) * _power(_PINV, n)[starts])
     return words, np.searchsorted(starts, off)

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from lorewright.llm import langid
 from lorewright.llm.linededup import line_dedup, strip_runs
+from lorewright.llm.queries import op9_line_dedup
 from lorewright.llm.mixing import mix, targets
 from lorewright.llm.packing import TIERS, Encoder, pack
 
@@ -220,3 +221,44 @@ def test_packing_gives_added_tokens_their_ids(spark):
     assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(x) for i, x in want.items()}
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+
+
+def brute_passages(rows):
+    """doc -> words left when every 50 words that stand at an earlier place are gone."""
+    seen, left = set(), {}
+    for k, t in sorted(rows):
+        w = t.encode().split()
+        gone = set()
+        for i in range(len(w) - 49):
+            key = tuple(w[i : i + 50])
+            if key in seen:
+                gone.update(range(i, i + 50))
+            seen.add(key)
+        left[k] = [x for i, x in enumerate(w) if i not in gone]
+    return left
+
+
+def test_passages_against_brute_force(documents):
+    want = brute_passages([(r.doc_id, r.text) for r in documents.collect()])
+    for r in line_dedup(documents, passages=True).collect():
+        assert r.text.encode().split() == want[r.doc_id], r.doc_id
+        assert bool(r.n_removed) == bool(r.kept_in)
+
+
+def test_passages_inside_lines(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(1, f"own start {passage} own end\nlast"), (2, f"other  text {passage} and more\n\nlast"), (3, f" {passage[:-1]} x"), (4, f"A {passage.replace(' p20 ', chr(10) + 'p20 ')}\nz"), (5, passage.upper()), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert [out[k].text for k in (1, 3, 5, 6)] == [rows[k - 1][1] for k in (1, 3, 5, 6)]
+    assert (out[2].text, out[2].n_removed, out[2].kept_in) == ("other  text and more\n\nlast", 1, [1])
+    assert (out[4].text, out[4].n_removed, out[4].kept_in) == ("A\nz", 2, [1])
+
+
+def test_passages_odd_rows(odd, spark):
+    rows = line_dedup(odd, carry=("key", "c1"), passages=True).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == odd.count() and by[1].text is None and by[2].text == "" and by[None].text.startswith("text without")
+    want = brute_passages([(r.doc_id, r.text) for r in odd.where("doc_id in (6, 7)").collect()])
+    assert {k: by[k].text.encode().split() for k in (6, 7)} == want
+    assert line_dedup(spark.createDataFrame([], "doc_id long, text string"), passages=True).collect() == []
