@@ -175,23 +175,28 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
     """Languages by code point and their piece probabilities, from rows outside the held-out fold.
 
     The sample is bounded: of each language, whole documents of at most TRAIN_DOC_CHARS characters,
-    smallest first by a hash of the id, until they have *chars* characters. No labelled rows: no
-    languages.
+    smallest first by a hash of the id, until they have *chars* characters. A language that has
+    only longer documents is learned from their first TRAIN_DOC_CHARS characters. No labelled rows:
+    no languages.
     The pre-selection by hash keeps what a window has to order small for any size of input.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(id)).alias("h"), held_out(id).alias("out"))
-    rows = rows.where("t is not null and l is not null and not coalesce(out, false)").where(F.length("t") <= TRAIN_DOC_CHARS).select("l", "h", "t")
-    bits = rows.select("l", "h", F.length("t").alias("n"), F.shiftrightunsigned("h", 52).alias("bin"))
+    longer = F.length("t") > TRAIN_DOC_CHARS
+    # Longer documents come behind the 4096 bins of the others.
+    bin_ = F.shiftrightunsigned("h", 52) + F.when(longer, 4096).otherwise(0)
+    rows = rows.where("t is not null and l is not null and not coalesce(out, false)")
+    rows = rows.select("l", "h", bin_.alias("bin"), F.when(longer, F.substring("t", 1, TRAIN_DOC_CHARS)).otherwise(F.col("t")).alias("t"))
+    bits = rows.select("l", "h", F.length("t").alias("n"), "bin")
     w = Window.partitionBy("l").orderBy("bin")
     last = bits.groupBy("l", "bin").agg(F.sum("n").alias("n")).select("l", "bin", (F.sum("n").over(w) - F.col("n")).alias("before"))
-    last = last.where(F.col("before") < chars).groupBy("l").agg(F.max("bin").alias("bin"))
+    last = last.where(F.col("before") < chars).groupBy("l").agg(F.min("bin").alias("least"), F.max("bin").alias("bin"))
     # One row per language: as many as there are distinct labels.
-    most = {r.l: r.bin for r in last.collect()}
+    most = {r.l: r.bin if r.least >= 4096 else min(r.bin, 4095) for r in last.collect()}
     if not most:
         return [], np.zeros((0, 0))
     keep = F.lit(False)
     for l, b in most.items():
-        keep = keep | ((F.col("l") == l) & (F.shiftrightunsigned("h", 52) <= b))
+        keep = keep | ((F.col("l") == l) & (F.col("bin") <= b))
     got = rows.where(keep).withColumn("before", F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("h", "t")) - F.length("t"))
     got = got.where(F.col("before") < chars).orderBy("l", "h", "t").select("l", "t").collect()
     langs = sorted(most)

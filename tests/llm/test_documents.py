@@ -262,3 +262,10 @@ def test_passages_odd_rows(odd, spark):
     want = brute_passages([(r.doc_id, r.text) for r in odd.where("doc_id in (6, 7)").collect()])
     assert {k: by[k].text.encode().split() for k in (6, 7)} == want
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string"), passages=True).collect() == []
+
+
+def test_language_of_long_documents_only(spark):
+    a, b = "the cat and the dog ", "der hund und die katze "
+    rows = [(i, a * 3, "en") for i in range(40)] + [(i, b * 2000, "de") for i in range(100, 110)] + [(i, b * 3, None) for i in range(200, 205)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in out if r.doc_id < 100} == {"en"} and {r.lang_pred for r in out if r.doc_id >= 100} == {"de"}
