@@ -2,12 +2,16 @@
 
 Markup is stripped into lines, one per block element, in page order; what can't be an article
 (scripts, menus, headers, footers, sidebars, notices, adverts, forms, comments) leaves no line.
-A line's length is its text outside links; a line of the page's article element counts for at
-least a whole window. Lengths are summed over sliding windows of WINDOW lines. Where the sum first
-exceeds SURGE the text begins (a surge point), where it falls to nothing it ends (a dive point).
-All stretches so found are the main text, and every line in them is kept. A box (div, section, cell;
-else the page) whose own text makes up a stretch is kept from its first to its last line of text,
-so links inside an article, and short lines before and after, don't cut it.
+A line's length is its text outside links. Lengths are summed over sliding windows of WINDOW lines.
+Where the sum first exceeds SURGE a stretch begins (a surge point), where it falls to nothing it
+ends (a dive point). The stretches are the main text, and every line in them is kept. A box (div,
+section, cell; else the page) whose own text makes up a stretch is kept from its first to its last
+line of text, so links inside an article, and short lines before and after, don't cut it.
+
+An article or main element, or a box named like one, adds weight only: its lines count WEIGHT times,
+for the windows and when stretches are held against each other. One without a surge is an ordinary
+box. Text of less weight a line goes if a box of more weight a line holds as much; all boxes of the
+greatest weight that surge are kept. All work is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -25,9 +29,12 @@ from lorewright.store import small_batches
 
 WINDOW = 3
 SURGE = 120
+#: How often a line counts outside any such box, in a main element or a box named like one, and in an article element.
+WEIGHT = (1, 2, 4)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_NAME = re.compile(r"</?+([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r">|=\s*+([\"'])")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 _RAW = frozenset("script style noscript template svg math iframe object textarea title select canvas audio video".split())
@@ -104,17 +111,65 @@ def _kind(tag: str, raw: str) -> str:
     return ""
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, whether it closes, name, attributes) of all markup in order; comments and declarations have no name.
+
+    A quote after = protects what is in it. Where that leaves a tag without an end, quotes count no
+    more from there on, so a page is read about twice at most.
+    """
+    at, n, last = 0, len(page), page.rfind(">")
+    gone, broken = set(), False
+    while (begin := page.find("<", at)) >= 0:
+        at = begin + 1
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            yield begin, at, False, "", ""
+        elif begin < last:
+            m = _NAME.match(page, begin)
+            if not m:
+                if page[at] in "!?/":
+                    at = page.find(">", begin) + 1
+                    yield begin, at, False, "", ""
+                continue
+            end, seek = -1, m.end()
+            while not broken and (stop := _STOP.search(page, seek)):
+                if not stop[1]:
+                    end = stop.start()
+                    break
+                seek = stop.end()
+                if stop[1] not in gone:
+                    close = page.find(stop[1], seek)
+                    if close < 0:
+                        gone.add(stop[1])
+                    else:
+                        seek = close + 1
+            if end < 0:
+                broken, end = True, page.find(">", m.end())
+            at = end + 1
+            yield begin, at, page[begin + 1] == "/", m[1].lower(), page[m.end() : end]
+
+
 class _Lines:
     """Blocks of text with their length outside links and the article, main element and box they are in."""
 
     def __init__(self) -> None:
         self.lines: list[tuple[str, int, int, int, int]] = []
-        #: Of each box, the one around it; box 0 is the page.
-        self.around = [-1]
+        #: Of each box, the one around it and the last one in it; box 0 is the page. Boxes are numbered as they open.
+        self.around, self.until = [-1], [0]
         self.box = 0
         self.parts: list[str] = []
         self.plain = 0
 
+    def open(self) -> None:
+        self.around.append(self.box)
+        self.until.append(0)
+        self.box = len(self.around) - 1
+
+    def close(self) -> None:
+        self.until[self.box] = len(self.around) - 1
+        self.box = self.around[self.box]
+
     def end(self, article: int, main: int) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
@@ -127,22 +182,48 @@ class _Lines:
             self.lines.append(("", 0, 0, 0, self.box))
 
 
+class _Open:
+    """The open elements, with the places of each tag and of those that are blocks."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str]] = []  # tag and kind
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, kind: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, kind))
+
+    def pop(self) -> tuple[str, str]:
+        tag, kind = self.stack.pop()
+        self.at[tag].pop()
+        if tag not in _INLINE:
+            self.blocks.pop()
+        return tag, kind
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+
 def lines(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]]:
-    """(text, length outside links, article, main, box) of each block; ("", 0, 0, 0, box) where a section changes. And the box around each box."""
-    out = _Lines()
-    stack: list[tuple[str, str]] = []  # tag and kind
-    dropped = heads = links = articles = mains = 0
+    """(text, length outside links, article, main, box) of each block; ("", 0, 0, 0, box) where a section changes.
+
+    And of each box the last one in it.
+    """
+    out, held = _Lines(), _Open()
+    dropped = heads = links = articles = mains = headings = 0
     article, main = [0], [0]
-    headings = 0
     at, n = 0, len(page)
 
     def pop() -> None:
         nonlocal dropped, heads, links, headings
-        tag, kind = stack.pop()
+        tag, kind = held.pop()
         if tag not in _INLINE:
             out.end(article[-1], main[-1])
             if tag not in _FLOW:
-                out.box = out.around[out.box]
+                out.close()
         if kind == "drop":
             dropped -= 1
         elif kind == "head":
@@ -156,47 +237,43 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]]:
         if tag in _HEADING:
             headings -= 1
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
+    for begin, end, closes, tag, raw in tags(page):
+        if begin < at:
+            continue  # inside a script
+        text = page[at:begin]
         if text and not dropped and (not heads or (headings and (article[-1] or main[-1]))):
             out.parts.append(text)
             if not links:
                 out.plain += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if not m[1]:
+        if not closes:
             if tag in _RAW:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else n
+                close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                at = (page.find(">", close.end()) + 1 or n) if close else n
                 out.parts.append(" ")
                 continue
             if tag == "br":
                 out.parts.append(" ")
-            if tag in _ENDS_P and any(x[0] == "p" for x in stack):
-                while stack[-1][0] in _INLINE or stack[-1][0] == "p":
-                    last = stack[-1][0]
+            if tag in _ENDS_P and held.at.get("p"):
+                while held.top() in _INLINE or held.top() == "p":
+                    last = held.top()
                     pop()
-                    if last == "p" or not stack:
+                    if last == "p":
                         break
             if tag not in _INLINE:
                 out.end(article[-1], main[-1])
                 if tag in _SECTION:
                     out.gap()
-            if tag in _VOID or m[3].endswith("/") and tag in ("path", "use"):
+            if tag in _VOID or raw.endswith("/") and tag in ("path", "use"):
                 continue
-            if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
+            if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and held.top() == tag:
                 pop()
-            kind = _kind(tag, m[3])
-            stack.append((tag, kind))
+            kind = _kind(tag, raw)
+            held.push(tag, kind)
             if tag not in _INLINE and tag not in _FLOW:
-                out.around.append(out.box)
-                out.box = len(out.around) - 1
+                out.open()
             dropped += kind == "drop"
             heads += kind == "head"
             links += tag == "a"
@@ -208,96 +285,106 @@ def lines(page: str) -> tuple[list[tuple[str, int, int, int, int]], list[int]]:
             elif kind == "main":
                 mains += 1
                 main.append(main[-1] or mains)
-        elif any(x[0] == tag for x in stack):
-            if tag in _INLINE and stack[-1][0] != tag:
+        elif held.at.get(tag):
+            if tag in _INLINE and held.blocks and held.blocks[-1] > held.at[tag][-1]:
                 # A stray end of an inline element doesn't close blocks opened in it.
-                up = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
-                if any(x[0] not in _INLINE for x in stack[up:]):
-                    continue
-            while stack[-1][0] != tag:
+                continue
+            while held.top() != tag:
                 pop()
             pop()
             if tag in _SECTION:
                 out.gap()
-    while stack:
+    text = page[at:]
+    if text and not dropped and (not heads or (headings and (article[-1] or main[-1]))):
+        out.parts.append(text)
+        if not links:
+            out.plain += len(text.strip())
+    while held.stack:
         pop()
     out.end(0, 0)
-    return out.lines, out.around
+    out.until[0] = len(out.around) - 1
+    return out.lines, out.until
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks joined by two newlines; empty for null, empty or text-less pages."""
-    found, around = lines(page) if page else ([], [])
-    whole: dict[tuple[int, int], int] = {}
-    for text, _, a, m, _ in found:
-        for key in ((0, a), (1, m)):
-            if key[1]:
-                whole[key] = whole.get(key, 0) + len(text)
-    # The longest article element, else the main element, stands for the page.
-    best = max((k for k in whole if k[0] == 0), key=lambda k: (whole[k], -k[1]), default=None) or max((k for k in whole if k[0] == 1), key=whole.get, default=None)
-    if best:
-        found = [x for x in found if x[2 + best[0]] == best[1]]
-        lengths = [max(x[1], SURGE + 1) for x in found]
-    else:
-        lengths = [0 if _COPYRIGHT.match(x[0]) else x[1] for x in found]
-    return "\n\n".join(x[0] for x in _stretches(found, lengths, around) if x[0])
-
-
-def _stretches(found: list, lengths: list[int], around: list[int]) -> list:
-    """The lines between surge and dive points, and those that belong with them."""
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    spans, begin = [], None
+def surges(lengths: list[int]) -> list[tuple[int, int]]:
+    """The stretches: from each surge point to the dive point behind it."""
+    total = np.concatenate(([0], np.cumsum(np.array([*lengths, *[0] * WINDOW], np.int64))))
+    sums = (total[WINDOW:] - total[:-WINDOW])[: len(lengths)].tolist()
+    out, begin = [], None
     for i, s in enumerate([*sums, 0]):
         if begin is None and s > SURGE and lengths[i]:
             begin = i
         elif begin is not None and not s:
-            spans.append((begin, i))
+            out.append((begin, i))
             begin = None
-    if not spans and any(lengths):
-        # A page too short for any surge: all its text outside links.
-        return [x for x, n in zip(found, lengths, strict=True) if n]
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks joined by two newlines; empty for null, empty or text-less pages."""
+    found, until = lines(page) if page else ([], [])
+    regions: dict[tuple[int, int], list[int]] = {}
+    for i, (_, _, a, m, _) in enumerate(found):
+        if a or m:
+            regions.setdefault((2, a) if a else (1, m), []).append(i)
+    # A box without a surge of its own is like any other; if nothing surges it is the best there is.
+    grown = {key: at for key, at in regions.items() if surges([WEIGHT[key[0]] * found[i][1] for i in at])}
+    inside = {i for at in grown.values() for i in at}
+    rest = [("", 0, 0, 0, x[4]) if i in inside else x for i, x in enumerate(found)]
+    lengths = [0 if _COPYRIGHT.match(x[0]) else x[1] for x in rest]
+    spans = surges(lengths)
+    if not grown and not spans:
+        top = max((key[0] for key in regions), default=0)
+        short = sorted(i for key, at in regions.items() if key[0] == top for i in at)
+        return "\n\n".join(found[i][0] for i in short or range(len(found)) if found[i][0] and (short or lengths[i]))
+    mass = {key: WEIGHT[key[0]] * sum(found[i][1] for i in at) for key, at in grown.items()}
+    best = [max((m for key, m in mass.items() if key[0] > k), default=-1) for k in range(3)]
+    keep = _stretches(rest, lengths, until, [(a, z) for a, z in spans if sum(lengths[a:z]) > best[0]])
+    for key, at in grown.items():
+        if mass[key] > best[key[0]]:
+            some = [i for i in at if found[i][1]]
+            for i in at:
+                keep[i] = some[0] <= i <= some[-1]
+    return "\n\n".join(x[0] for x, k in zip(found, keep, strict=True) if k and x[0])
+
+
+def _stretches(found: list, lengths: list[int], until: list[int], spans: list[tuple[int, int]]) -> list[bool]:
+    """Which lines stand between surge and dive points, or belong with such."""
     ends: dict[int, tuple[int, int]] = {}
     for i, x in enumerate(found):
         if lengths[i]:
             ends[x[4]] = ends.get(x[4], (i, i))[0], i + 1
     kept = np.zeros(len(found) + 1, np.int64)
+    before = 0
     for a, z in spans:
         own: dict[int, int] = {}
         for x, n in zip(found[a:z], lengths[a:z], strict=True):
             own[x[4]] = own.get(x[4], 0) + n
-        for first, last in [(_opening(found, lengths, around, a), z), *(ends[k] for k, n in own.items() if n > SURGE)]:
+        for first, last in [(_opening(found, lengths, until, a, before), z), *(ends[k] for k, n in own.items() if n > SURGE)]:
             kept[first] += 1
             kept[last] -= 1
-    keep = (np.cumsum(kept) > 0)[:-1].tolist()
-    return [x for x, k in zip(found, _bridged(found, keep, around), strict=True) if k]
-
-
-def _outer(box: int, around: list[int]) -> set[int]:
-    """A box and all around it."""
-    out = set()
-    while box >= 0:
-        out.add(box)
-        box = around[box]
-    return out
+        before = z
+    return _bridged(found, (np.cumsum(kept) > 0)[:-1].tolist(), until)
 
 
-def _opening(found: list, lengths: list[int], around: list[int], at: int) -> int:
+def _opening(found: list, lengths: list[int], until: list[int], at: int, stop: int) -> int:
     """Where a stretch from *at* on begins with the lines directly before it in the boxes around it: headline, byline."""
-    outer, first = _outer(found[at][4], around), at
-    for i in range(at - 1, -1, -1):
-        if not found[i][0] or found[i][4] not in outer:
+    box, first = found[at][4], at
+    for i in range(at - 1, stop - 1, -1):
+        if not found[i][0] or not found[i][4] <= box <= until[found[i][4]]:
             break
         if lengths[i]:
             first = i
     return first
 
 
-def _bridged(found: list, keep: list[bool], around: list[int]) -> list[bool]:
+def _bridged(found: list, keep: list[bool], until: list[int]) -> list[bool]:
     """*keep*, with the lines between two kept ones that stand in a box around both."""
     at = [i for i, k in enumerate(keep) if k and found[i][0]]
     for a, z in zip(at, at[1:]):
-        between = {found[i][4] for i in range(a + 1, z) if found[i][0]}
-        if between and between <= _outer(found[a][4], around) & _outer(found[z][4], around):
+        lo, hi = sorted((found[a][4], found[z][4]))
+        between = [found[i][4] for i in range(a + 1, z) if found[i][0]]
+        if between and all(b <= lo and hi <= until[b] for b in between):
             keep[a + 1 : z] = [True] * (z - a - 1)
     return keep
 

@@ -1,5 +1,6 @@
 """URL filter, HTML, top-k, chat and embeddings."""
 
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -232,3 +233,71 @@ NAMES = ["One", "Two", "Three", "Four"]
 )
 def test_stretches_of_pages_without_an_article(page, want):
     assert main_text(page) == "\n\n".join(x.strip() for x in want)
+
+
+def brute_blocks(boxes):
+    """Texts kept of a page of boxes of (text, length outside links) lines, by the definition, line by line."""
+    rows = [(b, t, n) for b, box in enumerate(boxes) for t, n in box]
+    kept = set()
+    i = 0
+    spans = []
+    while i < len(rows):
+        if rows[i][2] and sum(r[2] for r in rows[i : i + 3]) > 120:
+            j = i + 1
+            while j < len(rows) and sum(r[2] for r in rows[j : j + 3]):
+                j += 1
+            spans.append((i, j))
+            i = j
+        else:
+            i += 1
+    if not spans:
+        return [t for _, t, n in rows if n]
+    for n, (i, j) in enumerate(spans):
+        kept |= set(range(i, j))
+        k = i - 1
+        while k >= (spans[n - 1][1] if n else 0) and rows[k][0] == rows[i][0]:
+            if rows[k][2]:
+                kept |= set(range(k, i))
+            k -= 1
+        for b in {rows[x][0] for x in range(i, j)}:
+            if sum(rows[x][2] for x in range(i, j) if rows[x][0] == b) > 120:
+                own = [x for x, r in enumerate(rows) if r[0] == b and r[2]]
+                kept |= set(range(own[0], own[-1] + 1))
+    at = sorted(kept)
+    for a, z in zip(at, at[1:]):
+        if rows[a][0] == rows[z][0]:
+            kept |= set(range(a, z))
+    return [rows[x][1] for x in sorted(kept)]
+
+
+def test_line_blocks_against_brute_force():
+    r = np.random.default_rng(8)
+    cut = 0
+    for _ in range(400):
+        boxes = []
+        for _ in range(r.integers(1, 6)):
+            box = []
+            for _ in range(r.integers(1, 9)):
+                text = "x" * int(r.choice([3, 20, 45, 90, 200]))
+                box.append((text, 0 if r.random() < 0.45 else len(text)))
+            boxes.append(box)
+        page = "<body>" + "".join("<div>" + "".join(f"<p>{t}</p>" if n else f"<p><a href=u>{t}</a></p>" for t, n in box) + "</div>" for box in boxes) + "</body>"
+        want = brute_blocks(boxes)
+        cut += len(want) < sum(map(len, boxes))
+        assert main_text(page) == "\n\n".join(want), boxes
+    assert cut > 200
+
+
+def test_named_boxes_add_weight_only():
+    body = "A sentence. " * 30
+    assert main_text(f"<div class='content'><p>One.</p></div><p>{body}</p>") == f"One.\n\n{body.strip()}"
+    assert main_text(f"<article><p>{body}</p></article><article><p>B {body}</p></article>") == f"{body.strip()}\n\nB {body.strip()}"
+    assert main_text(f"<div><p>{body}</p></div><article><p>B {body}</p></article>") == f"B {body.strip()}"
+    assert main_text(f"<div class='main'><p>{body}</p></div><div><p>{body * 3}</p></div>").count(body.strip()) == 4
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 1_000_000, "<a " * 350_000, "<a x='" * 170_000 + ">", "<div>" * 200_000 + "x", "<script>" + "</script " * 110_000, "<!" * 500_000, "<i><div>" * 100_000 + "</i>" * 90_000, '<a "' * 250_000 + ">"])
+def test_broken_markup_takes_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 3
