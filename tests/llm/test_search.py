@@ -122,6 +122,29 @@ def test_topk_repeated_ids(spark):
     assert top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == want
 
 
+def test_topk_large_components(spark):
+    r = np.random.default_rng(6)
+    size = [1.0, 1e6, 3e7, 1e9, 1e15, 1e18, 1e200, 2e307]
+    rows = [(i, [float(x) for x in r.standard_normal(5) * size[int(r.integers(1 + i % len(size)))]]) for i in range(200)]
+    rows += [(300, [1e25, -1e25, 1.0, 0.0, 0.0]), (350, [1e25, 1e25, 3.0, 0.0, 0.0]), (351, [1e25, 1e25, 4.0, 0.0, 0.0])]
+    big = np.finfo(np.float64).max
+    v = {i: [int(max(-big, min(big, np.floor(np.float64(y) * 256)))) for y in x] for i, x in rows}
+    most = (1 << 63) - 1
+    want = {}
+    for q in v:
+        if q % 50 == 0:
+            best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v[q], x, strict=True)))), i) for i, x in v.items() if i != q)[:5]
+            want[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for some in (rows, [(i, [y / abs(y) * 1e6 if y else 0.0 for y in x]) for i, x in rows[:120]]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>")
+        assert top(df) == (want if some is rows else brute_ints(some))
+
+
+def brute_ints(rows):
+    v = {i: [int(np.floor(y * 256)) for y in x] for i, x in rows}
+    return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], x, strict=True)), i) for i, x in v.items() if i != q)[:5])] for q in v if q % 50 == 0}
+
+
 def test_chat(spark):
     a, b, c = ("user", "hi"), ("assistant", "yes"), ("user", "more")
     logs = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [a, c], 6: [b], 7: [("user", None)], 8: [("user", ""), b]}
