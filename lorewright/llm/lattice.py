@@ -7,9 +7,10 @@ least certain coordinates. Vectors of one label that share a cell are compared b
 double precision.
 
 Identical vectors are first made one row with a count. A cell is split into blocks of bounded size,
-and pairs of blocks are compared as matrix products in separate task units. A pair that meets in
-several cells counts in the smallest only. No pair leaves a task: each unit gives its vectors'
-numbers of new links and the components among them.
+and pairs of blocks are compared as matrix products in separate task units; the pairs of all small
+cells of a batch are compared at once. A pair that meets in several cells counts in the smallest
+only. No pair leaves a task: each unit gives its vectors' numbers of new links and the components
+among them. Vectors are scaled by their largest component first, so no norm overflows or vanishes.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.llm.components import components
+from lorewright.llm.skew import join_keyed
+from lorewright.llm.texts import U, constants, mix, whole_groups
 from lorewright.store import stored
-from lorewright.llm.texts import U, constants, groups, mix
 from lorewright.llm.topk import usable
 
 COSINE = 0.98
 TABLES, PROBES = 4, 2
 SCALE = 4.0
-BLOCK = 1024
+#: Numbers in a block of vectors of one cell, and vectors at most.
+BLOCK_NUMBERS, BLOCK = 1 << 19, 8192
+#: Units of at most so many vectors are compared together, so many pairs at a time.
+SMALL, PAIRS = 48, 1 << 15
 SEED = 20240
 
 
@@ -76,10 +81,17 @@ def cells(x: np.ndarray) -> np.ndarray:
     return np.rint(2 * np.take_along_axis(points, order[:, :, None], axis=0)).astype(np.int64)
 
 
+def units_of(v: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in double precision."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
 def cell_keys(v: np.ndarray, label: np.ndarray) -> np.ndarray:
     """[rows, TABLES * (1 + PROBES)] 64-bit keys of label, length, table and cell, in order."""
     maps, shifts = _maps(v.shape[1])
-    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    unit = units_of(v)
     c = constants(8, 61)
     out = []
     for t in range(TABLES):
@@ -98,7 +110,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not dim:
                 continue
             v = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            keys = cell_keys(v.astype(np.float64), part.column(2).to_numpy())
+            keys = cell_keys(v, part.column(2).to_numpy())
             at = np.arange(len(v) + 1, dtype=np.int32) * keys.shape[1]
             yield pa.record_batch(
                 [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())), pa.array([x.tobytes() for x in v], pa.binary())],
@@ -108,32 +120,60 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(batches: Iterator[pa.RecordBatch], kind: type = np.float64) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, part, vec, copies, keys, v) by unit: (vec, links, root) of vectors with links."""
-    for t in groups(batches, 3):
-        key, i, j = t["key"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
-        part, vec, copies = t["part"].to_numpy(), t["vec"].to_numpy(), t["copies"].to_numpy()
-        v = np.frombuffer(b"".join(t["v"].to_pylist()), kind).reshape(len(vec), -1).astype(np.float64)
-        v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    for t, at in whole_groups(batches, 3):
+        key, i, j, part, vec, copies = (t[n].to_numpy() for n in ("key", "i", "j", "part", "vec", "copies"))
         keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(vec), -1)
-        mine, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
         links, root = np.zeros(len(vec), np.int64), np.arange(len(vec))
-        for lo in range(0, len(mine), 256):
-            rows = mine[lo : lo + 256]
-            a, b = np.nonzero(v[rows] @ v[other].T >= COSINE)
-            a, b = rows[a], other[b]
-            ok = a < b if i == j else a != b
-            a, b = a[ok], b[ok]
-            if not len(a):
-                continue
-            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
-            _settle(root, a, b)
-            new = ~_met_before(keys[a], keys[b], key)
-            np.add.at(links, a[new], copies[b[new]])
-            np.add.at(links, b[new], copies[a[new]])
+        blob = t["v"].to_pylist()
+        size = np.fromiter(map(len, blob), np.int64, len(blob))
+        # A unit's vectors have one length; a batch can hold several.
+        for dim in np.unique(size).tolist():
+            of = np.flatnonzero(size == dim)
+            v = units_of(np.frombuffer(b"".join(blob[x] for x in of.tolist()), kind).reshape(len(of), -1))
+            place = np.full(len(vec), -1)
+            place[of] = np.arange(len(of))
+            for a, b in _pairs(at, size, dim, part, i, j):
+                x, y = place[a], place[b]
+                # A matrix product for the blocks of a large unit, else pair by pair.
+                if x.ndim == 2:
+                    a, b = a.ravel(), b.ravel()
+                    p, q = np.nonzero(v[x[:, 0]] @ v[y[0]].T >= COSINE)
+                    a, b = a[p], b[q]
+                    ok = (a < b) | (i[a] != j[a])
+                else:
+                    ok = np.einsum("ij,ij->i", v[x], v[y]) >= COSINE
+                a, b = a[ok], b[ok]
+                if len(a):
+                    np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+                    _settle(root, a, b)
+                    new = ~_met_before(keys[a], keys[b], key[a])
+                    np.add.at(links, a[new], copies[b[new]])
+                    np.add.at(links, b[new], copies[a[new]])
         hit = (links > 0) | (root != np.arange(len(vec)))
         if hit.any():
             yield pa.record_batch([pa.array(vec[hit]), pa.array(links[hit]), pa.array(vec[root[hit]])], names=["vec", "links", "root"])
 
 
+def _pairs(at: np.ndarray, size: np.ndarray, dim: int, part: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows to compare of the units that begin at *at*: two arrays of rows, or a column and a row of them."""
+    n = np.diff(at)
+    mine = size[at[:-1]] == dim
+    small = mine & (n <= SMALL) & (i[at[:-1]] == j[at[:-1]])
+    for m in np.unique(n[small]).tolist():
+        a, b = np.triu_indices(m, 1)
+        first = at[:-1][small & (n == m)]
+        step = max(1, PAIRS // max(1, len(a)))
+        for lo in range(0, len(first) if m > 1 else 0, step):
+            begin = first[lo : lo + step, None]
+            yield (begin + a).ravel(), (begin + b).ravel()
+    for u in np.flatnonzero(mine & ~small).tolist():
+        rows = np.arange(at[u], at[u + 1])
+        left, right = rows[part[rows] == i[at[u]]], rows[part[rows] == j[at[u]]]
+        for lo in range(0, len(left), 256):
+            if len(right):
+                yield left[lo : lo + 256, None], right[None, :]
+
+
 def _settle(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Gives the ends of all pairs (a, b) one root, the smallest."""
     while True:
@@ -146,8 +186,8 @@ def _settle(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(root, root[b], low)
 
 
-def _met_before(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
-    """Whether two vectors share a key smaller than *key*."""
+def _met_before(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether two vectors share a key smaller than their *key*."""
     out = np.zeros(len(a), dtype=bool)
     for x in range(a.shape[1]):
         k = a[:, x]
@@ -160,11 +200,11 @@ def _met_before(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Per row: vec_id, n_links long, component_id long, kept boolean.
 
-    Only vectors with equal labels that aren't null, and of one length, link. Vectors that are null,
-    empty or zero, or hold null or non-finite components, have no links and are their own
-    component. Repeated rows of one id and vector are one vector; an id with several vectors has
-    the links of any of them. A null id takes no part: 0 links, component and kept null. An empty
-    table gives an empty result.
+    Only vectors with equal labels that aren't null, and of one length, link; labels are of any type.
+    Vectors that are null, empty or zero, or hold null or non-finite components, have no links and
+    are their own component. Repeated rows of one id and vector are one vector; an id with several
+    vectors has the links of any of them. A null id takes no part: 0 links, component and kept null.
+    An empty table gives an empty result.
     """
     v = F.col(vector)
     good = usable(vector) & F.exists(v, lambda x: x != 0) & F.col(label).isNotNull() & F.col(id).isNotNull()
@@ -173,25 +213,33 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     single = "float" if vectors.select(v).schema[0].dataType.simpleString() == "array<float>" else "double"
     kind = np.float32 if single == "float" else np.float64
     hashed = [F.when(norm, F.xxhash64(F.lit(s), label, vector)).alias(f"h{s}") for s in (1, 2)]
-    rows = stored(vectors.select(F.col(id).cast("long").alias("vec"), F.when(norm, F.col(label).cast("long")).alias("label"), F.when(norm, v.cast(f"array<{single}>")).alias("v"), *hashed), "vectors")
-    ids = rows.where("h1 is not null").select("vec", "label", "h1", "h2").distinct()
-    classes = stored(ids.groupBy("label", "h1", "h2").agg(F.min("vec").alias("rep"), F.count("*").alias("copies")), "classes")
-    first = rows.where("h1 is not null").join(classes.withColumnRenamed("rep", "vec"), ["vec", "label", "h1", "h2"]).select("vec", "copies", "label", "v").distinct()
+    rows = stored(vectors.select(F.col(id).cast("long").alias("vec"), F.when(norm, F.xxhash64(F.lit(3), label)).alias("label"), F.when(norm, v.cast(f"array<{single}>")).alias("v"), *hashed), "vectors")
+    class_ = ["label", "h1", "h2"]
+    ids = stored(rows.where("h1 is not null").groupBy("vec", *class_).agg(F.count("*").alias("n")), "ids")
+    classes = stored(ids.groupBy(*class_).agg(F.min("vec").alias("rep"), F.count("*").alias("copies"), F.min_by("n", "vec").alias("n")), "classes")
+    total = rows.count()
+    # Of each class the rows of its smallest id, and of these, which are alike, one.
+    first = join_keyed(rows.where("h1 is not null"), classes.withColumnRenamed("rep", "vec"), ["vec", *class_], total, "n")
+    first = first.groupBy("vec", "copies", *class_).agg(F.any_value("v").alias("v")).select("vec", "copies", "label", "v")
     table = stored(first.mapInArrow(_keyed, "vec long, copies long, keys array<bigint>, v binary"), "keyed")
 
-    dealt = table.select(F.explode(F.array_distinct("keys")).alias("key"), "vec")
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    units = dealt.join(sizes, "key").withColumn("cuts", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # A cell's vectors have one length, given here by their bytes.
+    long_ = F.length("v") / (4 if single == "float" else 8)
+    dealt = table.select(F.explode(F.array_distinct("keys")).alias("key"), "vec", F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.lit(BLOCK_NUMBERS) / long_)).alias("block"))
+    sizes = stored(dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("block").alias("block")).where("members > 1"), "cells")
+    n = sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    units = join_keyed(dealt.drop("block"), sizes, ["key"], n, "members").withColumn("cuts", F.ceil(F.col("members") / F.col("block")).cast("int"))
     units = units.withColumn("part", F.pmod(F.xxhash64("vec"), "cuts").cast("int")).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     units = units.join(table, "vec").select("key", F.least("part", "against").alias("i"), F.greatest("part", "against").alias("j"), "part", "vec", "copies", "keys", "v")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "vec")
     found = stored(units.mapInArrow(lambda b: _compared(b, kind), "vec long, links long, root long"), "links")
 
-    same = ids.join(classes.where("copies > 1"), ["label", "h1", "h2"]).where("vec <> rep").select(F.col("vec").alias("a"), F.col("rep").alias("b"))
+    same = join_keyed(ids.select("vec", *class_), classes.where("copies > 1"), class_, total, "copies").where("vec <> rep").select(F.col("vec").alias("a"), F.col("rep").alias("b"))
     parts = stored(components(same.unionByName(found.select(F.col("vec").alias("a"), F.col("root").alias("b")))), "parts")
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    each = classes.join(links, F.col("rep") == F.col("vec"), "left").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    per = ids.join(each, ["label", "h1", "h2"]).groupBy("vec").agg(F.sum("n").alias("n_links"))
+    each = classes.join(links, F.col("rep") == F.col("vec"), "left").select(*class_, "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    each = stored(each.withColumnRenamed("n", "of"), "each")
+    per = join_keyed(ids.select("vec", *class_), each, class_, total, "copies").groupBy("vec").agg(F.sum("of").alias("n_links"))
     out = rows.select("vec").join(per, "vec", "left").join(parts.withColumnRenamed("node", "vec"), "vec", "left")
     component = F.coalesce("component", "vec")
     return out.select(F.col("vec").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec") == component).alias("kept"))

@@ -144,3 +144,40 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             held.append(b.slice(x, y - x))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, the consecutive rows that agree in the first *keys* columns, and where each begins and the last ends.
+
+    A table is about a batch; a larger group is a table with those before it.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        cut = np.zeros(b.num_rows, dtype=bool)
+        for c in cols:
+            cut[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        at = int(np.flatnonzero(cut)[-1]) if cut.any() else 0
+        if held and (at or first != last):
+            yield _with_starts([*held, b.slice(0, at)], keys)
+            held = []
+        elif at:
+            yield _with_starts([b.slice(0, at)], keys)
+        held.append(b.slice(at))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield _with_starts(held, keys)
+
+
+def _with_starts(parts: list[pa.RecordBatch], keys: int) -> tuple[pa.Table, np.ndarray]:
+    t = pa.Table.from_batches(parts)
+    cut = np.zeros(t.num_rows + 1, dtype=bool)
+    cut[[0, -1]] = True
+    for i in range(keys):
+        c = t.column(i).to_numpy()
+        cut[1:-1] |= c[1:] != c[:-1]
+    return t, np.flatnonzero(cut)

@@ -324,3 +324,33 @@ def test_broken_markup_takes_linear_time(page):
     start = time.process_time()
     main_text(page)
     assert time.process_time() - start < 3
+
+
+def test_lattice_extreme_norms_and_labels(spark):
+    r = np.random.default_rng(9)
+    v = r.standard_normal(64)
+    far = r.standard_normal(64)
+    rows = [(k, (v * s).tolist(), "a") for k, s in enumerate([1e200, 3e200, 1e-200, 1e-290, 1.0, 1e307])] + [(10, (far * 1e200).tolist(), "a"), (11, (far * 1e-200).tolist(), "a"), (20, (v * 2e200).tolist(), "b"), (21, v.tolist(), "")]
+    out = {x.vec_id: (x.n_links, x.component_id) for x in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert out == {**{k: (5, 0) for k in range(6)}, 10: (1, 10), 11: (1, 10), 20: (0, 20), 21: (0, 21)}
+
+
+@pytest.mark.parametrize("block", [8, 8192])
+def test_lattice_large_cells(spark, monkeypatch, block):
+    """Cells of many vectors, cut into blocks or not, hot ones joined apart or not."""
+    from lorewright.llm import skew
+
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    monkeypatch.setattr(lattice, "BLOCK_NUMBERS", 64 * block)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    r = np.random.default_rng(4)
+    base = r.standard_normal(64)
+    vs = [(base + r.standard_normal(64) * 0.04) for _ in range(150)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*vs, *vs[:40], *[vs[3]] * 60])] + [(7, vs[7].tolist(), 1)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    m = np.array([v for _, v, _ in rows[:250]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = (m @ m.T >= 0.98).sum(axis=1) - 1
+    out = {x.vec_id: x for x in lattice.near_duplicates(df).collect()}
+    assert all(out[i].component_id == 0 for i in range(250))
+    assert [out[i].n_links for i in range(250)] == want.tolist()
