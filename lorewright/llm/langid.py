@@ -13,6 +13,7 @@ text is scored whole; a table of words already seen only saves time and is empti
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,16 +28,37 @@ from lorewright.store import small_batches
 VOCABULARY = "piece_bpe_32k.model"
 #: Bound of the training sample: characters of text per language; longer documents are not sampled.
 TRAIN_CHARS, TRAIN_DOC_CHARS = 400_000, 40_000
+#: A sample is drawn to hold so many times TRAIN_CHARS, and so many times more if it falls short.
+DRAWN, AGAIN = 4, 16
 ROUNDS = 2
 #: Words longer than this are scored in segments of this length.
 SEGMENT = 32
 PIECE = 12
 KNOWN_WORDS = 150_000
 FOLDS = 5
-_LETTERS = re.compile(rf"[^\W\d_]{{1,{SEGMENT}}}")
 _UNKNOWN = 1e-7
 
 
+def _letters(last: int) -> re.Pattern:
+    """Segments of words up to code point *last*: letters (Unicode L) and the marks (M) that follow them."""
+
+    def ranges(which: str) -> str:
+        out, at = [], None
+        for c in range(last + 2):
+            if c <= last and unicodedata.category(chr(c))[0] in which:
+                at = c if at is None else at
+            elif at is not None:
+                out.append(f"\\U{at:08x}-\\U{c - 1:08x}")
+                at = None
+        return "".join(out)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]{{0,{SEGMENT - 1}}}")
+
+
+#: By whether a text has code points beyond 16 bits: the shorter list is faster.
+_LETTERS = {last > 0xFFFF: _letters(last) for last in (0xFFFF, 0x3FFFF)}
+
+
 def vocabulary(path: str | None = None) -> dict[str, int]:
     """Piece to row: the lower-cased pieces of letters of a public sentencepiece vocabulary.
 
@@ -58,8 +80,9 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """The lower-cased runs of letters, each in segments of at most SEGMENT characters."""
-    return _LETTERS.findall(text.lower())
+    """The lower-cased runs of letters with their marks, each in segments of at most SEGMENT characters."""
+    text = text.lower()
+    return _LETTERS[len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)].findall(text)
 
 
 class Pieces:
@@ -175,34 +198,42 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
     """Languages by code point and their piece probabilities, from rows outside the held-out fold.
 
     The sample is bounded: of each language, whole documents of at most TRAIN_DOC_CHARS characters,
-    smallest first by a hash of the id, until they have *chars* characters. A language that has
-    only longer documents is learned from their first TRAIN_DOC_CHARS characters. No labelled rows:
-    no languages.
-    The pre-selection by hash keeps what a window has to order small for any size of input.
+    smallest first by a hash of id and text, until they have *chars* characters; repeated rows count
+    once. A language that has only longer documents is learned from their first TRAIN_DOC_CHARS
+    characters. No labelled rows: no languages.
+
+    What is ordered is bounded too: a share of the hashes that holds DRAWN times *chars* by the
+    language's size. Should copies make it fall short, a larger share is drawn. The driver holds one
+    row per language; the model has a column for each anyway.
     """
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(id)).alias("h"), held_out(id).alias("out"))
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.shiftrightunsigned(F.xxhash64(F.col(id), F.col(text)), 1).alias("h"), held_out(id).alias("out"))
     longer = F.length("t") > TRAIN_DOC_CHARS
-    # Longer documents come behind the 4096 bins of the others.
-    bin_ = F.shiftrightunsigned("h", 52) + F.when(longer, 4096).otherwise(0)
-    rows = rows.where("t is not null and l is not null and not coalesce(out, false)")
-    rows = rows.select("l", "h", bin_.alias("bin"), F.when(longer, F.substring("t", 1, TRAIN_DOC_CHARS)).otherwise(F.col("t")).alias("t"))
-    bits = rows.select("l", "h", F.length("t").alias("n"), "bin")
-    w = Window.partitionBy("l").orderBy("bin")
-    last = bits.groupBy("l", "bin").agg(F.sum("n").alias("n")).select("l", "bin", (F.sum("n").over(w) - F.col("n")).alias("before"))
-    last = last.where(F.col("before") < chars).groupBy("l").agg(F.min("bin").alias("least"), F.max("bin").alias("bin"))
-    # One row per language: as many as there are distinct labels.
-    most = {r.l: r.bin if r.least >= 4096 else min(r.bin, 4095) for r in last.collect()}
-    if not most:
+    rows = rows.where("t is not null and l is not null and not coalesce(out, false)").withColumn("longer", longer)
+    least = F.least(F.length("t"), F.lit(TRAIN_DOC_CHARS))
+    sizes = rows.groupBy("l").agg(F.sum(F.when(~longer, least)).alias("short"), F.sum(least).alias("every")).collect()
+    if not sizes:
         return [], np.zeros((0, 0))
-    keep = F.lit(False)
-    for l, b in most.items():
-        keep = keep | ((F.col("l") == l) & (F.col("bin") <= b))
-    got = rows.where(keep).withColumn("before", F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("h", "t")) - F.length("t"))
-    got = got.where(F.col("before") < chars).orderBy("l", "h", "t").select("l", "t").collect()
+    most = {r.l: r.every if r.short is None else r.short for r in sizes}
+    only = {r.l: r.short is None for r in sizes}
+    share = {l: min(1.0, DRAWN * chars / max(n, 1)) for l, n in most.items()}
+    got: dict[str, list[str]] = {}
+    while open_ := [l for l in most if l not in got]:
+        limit = [(l, min((1 << 63) - 1, int(share[l] * (1 << 53)) << 10), only[l]) for l in open_]
+        limits = F.broadcast(docs.sparkSession.createDataFrame(limit, "l string, most long, longer boolean"))
+        drawn = rows.join(limits, ["l", "longer"]).where("h <= most").groupBy("l", "h").agg(F.min(F.substring("t", 1, TRAIN_DOC_CHARS)).alias("t"))
+        before = F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("h")) - F.length("t")
+        found: dict[str, list[str]] = {l: [] for l in open_}
+        for r in drawn.withColumn("before", before).where(F.col("before") < chars).orderBy("l", "h").select("l", "t").collect():
+            found[r.l].append(r.t)
+        for l, texts in found.items():
+            if share[l] >= 1 or sum(map(len, texts)) >= chars:
+                got[l] = texts
+            share[l] = min(1.0, share[l] * AGAIN)
     langs = sorted(most)
     counts = [Counter() for _ in langs]
-    for r in got:
-        counts[langs.index(r.l)].update(words_of(r.t))
+    for c, l in enumerate(langs):
+        for t in got[l]:
+            counts[c].update(words_of(t))
     return langs, learn(counts, Pieces(vocabulary()))
 
 

@@ -42,6 +42,65 @@ def test_forward_sums_all_segmentations():
             assert out[i, c] == pytest.approx(np.log(a[-1]), abs=1e-9)
 
 
+def cuts(word, v):
+    """All ways to cut a word into pieces of the vocabulary or single characters."""
+    if not word:
+        return [[]]
+    return [[word[:n], *rest] for n in range(1, len(word) + 1) if n == 1 or word[:n] in v for rest in cuts(word[n:], v)]
+
+
+def test_learning_and_posteriors_against_all_segmentations(spark):
+    """Probabilities after EM, and each text's language and posterior, by listing every segmentation."""
+    v = langid.vocabulary()
+    texts = {"en": ["the cat and the dog", "and then there"], "de": ["der hund und die", "über straße und"]}
+    counts = [Counter(w for t in texts[l] for w in t.split()) for l in sorted(texts)]
+    p = np.empty((len(v) + 1, 2))
+    for c, count in enumerate(counts):
+        now = np.full(len(v) + 1, 1 / (len(v) + 1))
+        for _ in range(langid.ROUNDS):
+            use = np.zeros(len(v) + 1)
+            for w, n in count.items():
+                ways = [[v.get(x, len(v)) for x in way] for way in cuts("^" + w, v)]
+                odds = [np.prod(now[way]) for way in ways]
+                for way, o in zip(ways, odds, strict=True):
+                    np.add.at(use, way, n * o / sum(odds))
+            now = (use + 0.01) / (use.sum() + 0.01 * len(use))
+        now[-1] = 1e-7
+        p[:, c] = now
+    got = langid.learn(counts, langid.Pieces(v))
+    assert got == pytest.approx(p)
+    rows = [(i, t, l) for l in texts for i, t in enumerate(["the hund", "die und Cat", "über² the", "x", "ö1a"] + texts[l], 100 * (l == "de"))]
+    fold = [r for r in rows if langid.crc_fold(r[0])]
+    counts = [Counter(w for _, t, x in fold if x == l for w in langid.words_of(t)) for l in sorted(texts)]
+    p = langid.learn(counts, langid.Pieces(v))
+    for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), carry=("text",)).collect():
+        total = [sum(np.log(sum(np.prod([p[v.get(x, len(v)), c] for x in way]) for way in cuts("^" + w, v))) for w in langid.words_of(r.text)) for c in range(2)]
+        odds = np.exp(np.array(total) - max(total))
+        assert r.score == pytest.approx(odds.max() / odds.sum()) and r.lang_pred == sorted(texts)[int(np.argmax(total))]
+
+
+def test_letters(spark):
+    assert langid.words_of("x²y ½ Ⅷ① naïve i\u0307stan 𝐀b2c_d " + "e" * 40) == ["x", "y", "naïve", "i\u0307stan", "𝐀b", "c", "d", "e" * 32, "e" * 8]
+    rows = [(i, "the cat", "en") for i in range(8)] + [(9, "½ ² ①", "en"), (10, "Ⅷ 12 \u0301", "en"), (11, "𝐀", "en")]
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert out[9] == out[10] == ("und", 0.0) and out[11] == ("en", 1.0)
+
+
+def test_repeated_rows_are_learned_once(spark, monkeypatch):
+    """One row of which there are very many does not fill the sample, nor stand for its language."""
+    taken = []
+    monkeypatch.setattr(langid, "learn", lambda counts, pieces: taken.append(counts[0]) or np.ones((2, 1)))
+    copies = [(1, "same text again and again " * 4, "en")] * 3000
+    rows = [(i, f"word{chr(97 + i % 26)} " * 10 + chr(97 + i // 26 % 26) * 5, "en") for i in range(2, 400)]
+    shape = "doc_id long, text string, lang string"
+    for chars in (3000, 10**6):
+        for some in (copies + rows, copies[:1] + rows):
+            assert langid.train(spark.createDataFrame(some, shape), chars=chars)[0] == ["en"]
+    # Drawn again as often as needed, the sample is the same: the smallest hashes up to its bound.
+    assert taken[0] == taken[1] and taken[2] == taken[3]
+    assert 3000 <= sum(n * (len(w) + 1) for w, n in taken[0].items()) < 3200 and taken[2]["again"] == 8
+
+
 def test_language_odd_rows(odd, spark):
     rows = langid.identify(odd).collect()
     assert len(rows) == odd.count()
@@ -165,7 +224,6 @@ def test_mix_odd_rows(odd, spark):
 def round_trip(df):
     rows = pack(df).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = defaultdict(list)
     for r in df.collect():
         ids[r.doc_id].append(np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4"))
@@ -204,10 +262,9 @@ def test_packing_odd_rows(odd, spark):
 
 def test_encoder_equals_tokenizers():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     e = Encoder()
     for x in ("", " ", "Hello  world\n\n\tx", "naïve café — 123,456 ½ 😀👍🏽", "it's they'LL I'd", "\u3000全角\u00a0x\u200b", "a\r\nb\x00c", "<|endoftext|>", "ǅ ß Ⅻ ²"):
-        assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+        assert e.encode(x, added=True).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 def test_packing_gives_added_tokens_their_ids(spark):
