@@ -6,8 +6,9 @@ its size, longest tier first; the gap behind a document is filled from shorter t
 first, and closed by cutting the next document. The few tokens that a task has left at its end are
 cut into powers of two. So no sequence is padded, and most documents stay in one piece.
 
-A task holds at most BUFFER_TOKENS tokens besides one document. Full windows are ordered by size
-and dealt into step groups of STEP_TOKENS tokens each, so every step of a trainer sees as many.
+A task holds at most BUFFER_TOKENS tokens besides one document. Full windows are dealt, largest
+first, to the step group that has the fewest tokens, so every group of STEP_TOKENS tokens is full
+and holds the same mix of tiers.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -139,21 +141,26 @@ class Packer:
                 size //= 2
 
     def drain(self, last: bool = False) -> list[tuple]:
-        """Rows of full step groups; with *last*, of all. Sizes fall, so powers of two fill a group exactly."""
+        """Rows of full step groups; with *last*, of all. Sizes fall, so powers of two fill the groups exactly."""
         self.ready.sort(key=lambda x: -x[0])
-        total = sum(t for t, _ in self.ready)
-        most = total if last else total // STEP_TOKENS * STEP_TOKENS
+        full = sum(t for t, _ in self.ready) // STEP_TOKENS
+        groups = [(0, g) for g in range(full)]  # tokens, group: a heap
         out, at, n = [], 0, 0
         for tier, rows in self.ready:
-            if at + tier > most:
+            if at + tier <= full * STEP_TOKENS:
+                held, group = groups[0]
+                heapreplace(groups, (held + tier, group))
+            elif last:
+                group = full
+            else:
                 break
             s = (self.task << 32) + self.sequences
-            out += [(*r[:5], s, r[5], tier, (self.task << 32) + self.steps + at // STEP_TOKENS) for r in rows]
+            out += [(*r[:5], s, r[5], tier, (self.task << 32) + self.steps + group) for r in rows]
             self.sequences += 1
             at += tier
             n += 1
         self.ready = self.ready[n:]
-        self.steps += -(-at // STEP_TOKENS)
+        self.steps += full + (at > full * STEP_TOKENS)
         return out
 
 
@@ -166,6 +173,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def pack(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
+    tier is the sequence's size: one of *tiers*, or a smaller power of two at the end of a task.
+
     Null text counts as empty; an empty text has the one id 1. Repeated rows are packed each for
     itself, and rows with a null id too (their pieces carry null). Any length is packed whole. An
     empty table gives an empty result. sequence_id and step_group hold the number of the scan's

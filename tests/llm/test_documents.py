@@ -248,9 +248,15 @@ def round_trip(df):
 
 def test_packing_round_trip(documents):
     rows = round_trip(documents)
-    groups = Counter()
+    groups, mixed = Counter(), defaultdict(Counter)
     for r in rows:
         groups[r.step_group] += r.length
+        mixed[r.step_group][r.tier] += r.offset == 0
+    full = [g for g, n in groups.items() if n == 16 * 2048]
+    # Dealt together, the groups hold as many of the longest windows, but for one, and windows of every tier.
+    assert len(full) == 5 and documents.rdd.getNumPartitions() == 1
+    assert max(mixed[g][2048] for g in full) <= min(mixed[g][2048] for g in full) + 1
+    assert all(mixed[g][t] for g in full for t in TIERS)
     assert sum(n != 16 * 2048 for n in groups.values()) <= documents.rdd.getNumPartitions()
 
 
