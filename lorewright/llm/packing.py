@@ -7,8 +7,8 @@ first, and closed by cutting the next document. The few tokens that a task has l
 cut into powers of two. So no sequence is padded, and most documents stay in one piece.
 
 A task holds at most BUFFER_TOKENS tokens besides one document. Full windows are dealt, largest
-first, to the step group that has the fewest tokens, so every group of STEP_TOKENS tokens is full
-and holds the same mix of tiers.
+first, to the step group that lacks most, so every group of STEP_TOKENS tokens is full and holds
+the same mix of tiers.
 """
 
 from __future__ import annotations
@@ -141,26 +141,29 @@ class Packer:
                 size //= 2
 
     def drain(self, last: bool = False) -> list[tuple]:
-        """Rows of full step groups; with *last*, of all. Sizes fall, so powers of two fill the groups exactly."""
+        """Rows of full step groups; with *last*, of all. What fills no group is a mix of tiers too.
+
+        Sizes fall, so powers of two fill the groups exactly, in whatever order they take turns.
+        """
         self.ready.sort(key=lambda x: -x[0])
-        full = sum(t for t, _ in self.ready) // STEP_TOKENS
+        full, rest = divmod(sum(t for t, _ in self.ready), STEP_TOKENS)
         groups = [(0, g) for g in range(full)]  # tokens, group: a heap
-        out, at, n = [], 0, 0
+        out, kept, left = [], [], rest
         for tier, rows in self.ready:
-            if at + tier <= full * STEP_TOKENS:
-                held, group = groups[0]
-                heapreplace(groups, (held + tier, group))
-            elif last:
+            if left >= tier and (not full or left * STEP_TOKENS >= (STEP_TOKENS - groups[0][0]) * rest or groups[0][0] == STEP_TOKENS):
+                left -= tier
                 group = full
+                if not last:
+                    kept.append((tier, rows))
+                    continue
             else:
-                break
+                held, group = groups[0]
+                heapreplace(groups, (held + tier, group))
             s = (self.task << 32) + self.sequences
             out += [(*r[:5], s, r[5], tier, (self.task << 32) + self.steps + group) for r in rows]
             self.sequences += 1
-            at += tier
-            n += 1
-        self.ready = self.ready[n:]
-        self.steps += full + (at > full * STEP_TOKENS)
+        self.ready = kept
+        self.steps += full + (last and rest > 0)
         return out
 
 
