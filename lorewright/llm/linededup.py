@@ -8,14 +8,17 @@ words that stands in two places holds the same windows in both, so it has a comm
 Positions are joined by fingerprint; those found once go. What remains is extended both ways: the
 windows that reach from a fingerprint forwards and backwards are held against each other by a hash
 of all their lines, so a match grows, window by window, to the whole repeated run. The first place
-of a window, by (doc_id, line), keeps its lines; in every later place they are deleted. Work is
-linear in the number of places: a passage in thousands of documents needs no pairs.
+of a window, by (doc_id, line), keeps its lines; in every later place they are deleted, but for
+lines that belong to the first place too, where a run repeats within itself. Work is linear in the
+number of places: a passage in thousands of documents needs no pairs, and fingerprints and windows
+that very many rows share are aggregated before they are dealt.
 
 With *passages* the units are words instead of lines, so runs that begin or end inside a line are
 found too. Hashes of GRAM words are winnowed so that any MIN_WORDS words hold a chosen one; where a
 chosen one stands twice, every window of MIN_WORDS words around it is held against the others. To
-keep that small, longer spans between chosen ones are compared first: what stands in a span that
-stood earlier goes at once, and only windows that reach out of such spans are left to compare.
+keep that small, a match is first extended from each chosen one over the next: what stands in such a
+span that stood earlier goes at once, and only windows that reach out of such spans, to either side,
+are left to compare.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.llm.skew import several_places
 from lorewright.store import small_batches, stored
 from lorewright.llm.texts import _P, _PINV, _SPACE, _power, U, buffers, constants, mix, slices, word_hashes
 
@@ -35,6 +39,8 @@ from lorewright.llm.texts import _P, _PINV, _SPACE, _power, U, buffers, constant
 MIN_WORDS = 50
 #: Words of a fingerprint of passages.
 GRAM = 20
+#: At most so many runs, or keys of documents (16 bytes each), are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,24 +89,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc", "body", "first", "last", "print", "content"]
     for b in batches:
         out: list[list] = [[], [], [], [], [], []]
-        for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            raw = (t.as_py() or "").encode()
-            _, h, w = _lines(raw)
+        for d, body, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            _, h, w = _lines(t.as_py().encode())
             first, last, low, content = windows(h, w)
             n = len(first)
             if n:
-                for k, v in enumerate((np.full(n, d, np.int64), np.full(n, xxhash.xxh3_64_intdigest(raw), U).view(np.int64), first.astype(np.int32), last.astype(np.int32), low.view(np.int64), content.view(np.int64))):
+                for k, v in enumerate((np.full(n, d, np.int64), np.full(n, body, np.int64), first.astype(np.int32), last.astype(np.int32), low.view(np.int64), content.view(np.int64))):
                     out[k].append(v)
         if out[0]:
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in out], names=names)
 
 
-def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        body = np.array([xxhash.xxh3_64_intdigest((t.as_py() or "").encode()) for t in b.column(0)], U)
-        yield pa.RecordBatch.from_arrays([*b.columns, _signed(body)], names=[f"c{i}" for i in range(b.num_columns + 1)])
-
-
 def strip_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
     """The text without the lines of *runs* (among its lines that aren't blank), its lines before, and those deleted.
 
@@ -198,18 +197,17 @@ def _spans(words: np.ndarray, at: np.ndarray, use: np.ndarray, row: np.ndarray)
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc", "body", "spot", "print", "words", "first", "last", "content"]
     for b in batches:
-        offsets, raw = buffers(b.column(1))
-        docs = b.column(0).to_numpy(zero_copy_only=False)
+        offsets, raw = buffers(b.column(2))
+        docs, bodies = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         for first, last in slices(offsets):
             words, at = word_hashes(offsets[first : last + 1], raw, exact=True)
             use, g = chosen(words, at)
             if len(use):
                 row = np.searchsorted(at, use, "right") - 1
                 a, z, content = _spans(words, at, use, row)
-                body = np.array([xxhash.xxh3_64_intdigest(raw[offsets[i] : offsets[i + 1]].tobytes()) for i in range(first, last)], U)
                 places = [pa.array((x - at[row]).astype(np.int32)) for x in (use, at[row + 1], a, z)]
                 span = pa.array(content.view(np.int64), mask=z - a < MIN_WORDS)
-                yield pa.record_batch([pa.array(docs[first + row]), _signed(body[row]), places[0], _signed(g), *places[1:], span], names=names)
+                yield pa.record_batch([pa.array(docs[first + row]), pa.array(bodies[first + row]), places[0], _signed(g), *places[1:], span], names=names)
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +287,8 @@ def strip_passages(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, in
 def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: tuple[str, ...] = (), passages: bool = False) -> DataFrame:
     """Per row: doc_id, text (without repeated runs), n_lines long, n_removed long, kept_in array<bigint>.
 
-    kept_in lists the documents that hold the first place of what was deleted. Null text stays
-    null with 0 lines; empty text has one empty line. Runs of fewer than MIN_WORDS words stay.
+    kept_in lists the documents that hold the first place of what was deleted. A run that repeats
+    within itself keeps its first window. Null text stays null with 0 lines; empty text has one empty line. Runs of fewer than MIN_WORDS words stay.
     Repeated rows (same id and text) are one document and are rewritten alike. Rows with a null id
     stay as they are. Lines are compared without the white space at their ends. *carry* names
     further columns to keep; an empty table gives an empty result. With *passages*, runs of words
@@ -298,66 +296,77 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: t
     the lines that lost words.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text"))
+    # A document is an id with a text; the text is known by its hash.
+    body = F.xxhash64(text)
+    base = docs.select(F.col(id).cast("long").alias("doc"), body.alias("body"), F.col(text).alias("text"))
     base = base.where("doc is not null and text is not null")
-    place = F.struct("doc", "body", "first")
     if passages:
         later = _later_passages(base)
     else:
         rows = base.mapInArrow(_windows, "doc long, body long, first int, last int, print long, content long")
         rows = stored(rows, "windows")
-        found = rows.join(_repeated(rows, "print", place).select("print"), "print", "left_semi").drop("print").distinct()
-        found = stored(found, "found")
-        later = found.join(_repeated(found, "content", place).select("content", "lo"), "content").where(place != F.col("lo")).withColumn("kept", F.col("lo.doc"))
+        found = several_places(rows, "print", F.struct("doc", "body", "first")).select("doc", "body", "first", "last", "content").distinct()
+        later = _later(stored(found.withColumn("last", F.col("last") + 1), "found"))
+        later = later.withColumn("last", F.col("last") - 1)
     runs = later.groupBy("doc", "body").agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
-    if passages:
-        # What found them has much to give back before the texts move.
-        runs = stored(runs, "runs")
+    runs = stored(runs.toDF("run_doc", "run_body", "runs", "kept_in"), "runs")
 
-    named = [F.col(text), F.col(id), *(F.col(c) for c in carry)]
-    named = docs.select(*(c.alias(f"i{i}") for i, c in enumerate(named)))
+    # Documents that lose nothing stay where they are, and the others too if what they lose can be sent to them.
+    named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate((text, id, *carry))))
     kinds = [f.dataType.simpleString() for f in named.schema]
-    marked = named.mapInArrow(_body, ", ".join(f"c{i} {k}" for i, k in enumerate([*kinds, "long"])))
-    same = (F.col("c1").cast("long") == F.col("doc")) & (F.col(f"c{len(kinds)}") == F.col("body"))
-    kept_in = F.coalesce("kept_in", F.array().cast("array<bigint>"))
-    ready = marked.join(runs.hint("shuffle_hash"), same, "left").select("c0", "runs", "c1", kept_in.alias("kept_in"), *(f"c{i}" for i in range(2, len(kinds))))
+    rest = [f"c{i}" for i in range(2, len(kinds))]
+    same = (F.col("c1").cast("long") == F.col("run_doc")) & (F.xxhash64("c0") == F.col("run_body"))
+    n, size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs") + F.size("kept_in")), F.lit(0))).first()
+    keys = runs.select("run_doc", "run_body")
+    how = "broadcast" if n <= BROADCAST_ROWS else "shuffle_hash"
+    lines = F.length("c0") - F.length(F.translate("c0", "\n", "")) + 1
+    whole = named.join(keys.hint(how), same, "left_anti")
+    whole = whole.select("c1", "c0", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<bigint>").alias("kept_in"), *rest)
+    if size > BROADCAST_ROWS and how == "broadcast":
+        named = named.join(keys.hint(how), same, "left_semi")
+    ready = named.join(runs.hint("broadcast" if size <= BROADCAST_ROWS else "shuffle_hash"), same).select("c0", "runs", "c1", "kept_in", *rest)
     shape = [kinds[1], "string", "long", "long", "array<bigint>", *kinds[2:]]
-    out = ready.mapInArrow(_rewrite(strip_passages if passages else strip_runs), ", ".join(f"o{i} {k}" for i, k in enumerate(shape)))
-    return out.toDF("doc_id", "text", "n_lines", "n_removed", "kept_in", *carry)
-
+    cut = ready.mapInArrow(_rewrite(strip_passages if passages else strip_runs), ", ".join(f"o{i} {k}" for i, k in enumerate(shape)))
+    names = ["doc_id", "text", "n_lines", "n_removed", "kept_in", *carry]
+    # By place: carried columns may have these names too.
+    return whole.toDF(*(f"o{i}" for i in range(len(names)))).unionAll(cut).toDF(*names)
 
-def _repeated(rows: DataFrame, key: str, place: F.Column) -> DataFrame:
-    """(key, lo, hi): keys found in several places, with the first and the last one."""
-    return rows.groupBy(key).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
 
+def _later(rows: DataFrame, part: bool = True) -> DataFrame:
+    """(doc, body, first, last, kept): what stands at an earlier place, last excluded, and the document of the first.
 
-def _later(rows: DataFrame) -> DataFrame:
-    """(doc, body, first, last, kept): rows whose content stands at an earlier place, and the document of the first."""
-    w = Window.partitionBy("content").orderBy("doc", "body", "first")
-    out = rows.withColumns({"place": F.rank().over(w), "kept": F.first("doc").over(w)}).where("place > 1")
-    return out.select("doc", "body", "first", "last", "kept")
+    *rows* is a written table of (doc, body, first, last, content). Where a place overlaps the
+    first one, only what lies behind that goes; without *part*, such a place is left out.
+    """
+    out = several_places(rows, "content", F.struct("doc", "body", "first")).where(F.struct("doc", "body", "first") != F.col("lo"))
+    own = (F.col("doc") == F.col("lo.doc")) & (F.col("body") == F.col("lo.body"))
+    behind = F.col("lo.first") + F.col("last") - F.col("first")
+    first = F.when(own, F.greatest("first", behind)).otherwise(F.col("first"))
+    if not part:
+        out = out.where(~own | (behind <= F.col("first")))
+    return out.select("doc", "body", first.alias("first"), "last", F.col("lo.doc").alias("kept"))
 
 
 def _twice(rows: DataFrame) -> DataFrame:
     """The rows whose print stands at several places."""
-    at = F.xxhash64("doc", "body", "spot")
-    return rows.join(rows.groupBy("print").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("print"), "print", "left_semi")
+    return several_places(rows, "print", F.xxhash64("doc", "body", "spot")).drop("lo")
 
 
 def _later_passages(base: DataFrame) -> DataFrame:
     """(doc, body, first, last, kept): runs of words, last excluded, that stand at an earlier place."""
     shape = "doc long, body long, spot int, print long, words int, first int, last int, content long"
     rows = stored(base.mapInArrow(_prints, shape), "prints")
-    spans = rows.where("content is not null").select("doc", "body", "first", "last", "content")
-    spans = stored(_later(spans), "spans")
+    spans = stored(rows.where("content is not null").select("doc", "body", "first", "last", "content"), "spans")
+    # Spans that overlap their first place are left to the windows.
+    spans = stored(_later(spans, part=False), "later")
     spots = _twice(rows).select("doc", "body", F.struct("spot", "print", "words").alias("s"), F.lit(None).cast("struct<first:int,last:int>").alias("r"))
     both = spots.unionByName(spans.select("doc", "body", F.lit(None).cast("struct<spot:int,print:bigint,words:int>").alias("s"), F.struct("first", "last").alias("r")))
     both = both.groupBy("doc", "body").agg(F.collect_set("s").alias("spots"), F.collect_set("r").alias("spans"))
     left = stored(both.mapInArrow(_open, "doc long, body long, spot int, print long"), "open")
     left = stored(_twice(left).groupBy("doc", "body").agg(F.collect_set("spot").alias("spots")), "spots")
-    texts = base.select(F.col("text").alias("c0"), F.col("doc").alias("c1")).mapInArrow(_body, "c0 string, c1 long, c2 long")
-    same = (F.col("c1") == F.col("doc")) & (F.col("c2") == F.col("body"))
-    near = texts.join(left.hint("shuffle_hash"), same).select("c0", "doc", "body", "spots")
-    found = stored(near.mapInArrow(_passages, "doc long, body long, first int, content long"), "found")
-    found = found.withColumn("last", F.col("first") + MIN_WORDS)
-    return spans.unionByName(_later(found))
+    if left.count() <= BROADCAST_ROWS:
+        base = base.join(F.broadcast(left.select("doc", "body")), ["doc", "body"], "left_semi")
+    # Repeated rows are one before they are dealt.
+    near = base.groupBy("doc", "body").agg(F.any_value("text").alias("text")).join(left.hint("shuffle_hash"), ["doc", "body"])
+    found = near.select("text", "doc", "body", "spots").mapInArrow(_passages, "doc long, body long, first int, content long")
+    return spans.unionByName(_later(stored(found.withColumn("last", F.col("first") + MIN_WORDS), "found")))

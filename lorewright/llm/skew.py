@@ -1,12 +1,16 @@
-"""Joins of rows with a table of unique keys, of which some may stand in very many rows."""
+"""Rows by a key that a large share of them may have."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is hot from so many rows on, or from one in HOT_SHARE of all rows: at most HOT_SHARE keys are hot.
-HOT_ROWS, HOT_SHARE = 1000, 10_000
+from lorewright.store import stored
+
+#: A key is hot from so many rows on, and from a HOT_SHARE-th of all rows: at most HOT_SHARE keys are hot.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
+#: Bins in which rows are counted to find hot keys.
+BIN_BITS = 18
 
 
 def hot_from(total: int) -> int:
@@ -28,3 +32,36 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int, c
         return rows.join(table, keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(count) < most), keys)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def split_hot(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """*rows*, a written table, without those of hot keys, these (None if there are none), and the number of all.
+
+    *key* is a 64-bit hash. Its first bits count rows in bins; a bin with many rows more than
+    another may hold a hot key and goes as a whole, so no key left has more than that. At most
+    HOT_SHARE bins are broadcast.
+    """
+    bin_ = F.shiftrightunsigned(key, 64 - BIN_BITS)
+    counts = stored(rows.groupBy(bin_.alias("hot_bin")).agg(F.count("*").alias("n")), "bins")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") >= 2 * (total >> BIN_BITS) + hot_from(total)).select("hot_bin")
+    if hot.isEmpty():
+        return rows, None, total
+    marked = rows.withColumn("hot_bin", bin_)
+    return tuple(marked.join(F.broadcast(hot), "hot_bin", how).drop("hot_bin") for how in ("left_anti", "left_semi")) + (total,)
+
+
+def several_places(rows: DataFrame, key: str, place: F.Column) -> DataFrame:
+    """The rows of keys that stand at several places, with the first one as ``lo``.
+
+    *rows* is a written table. Rows of ordinary keys are dealt by key once. Hot keys are aggregated
+    before they are dealt, and their places joined back where the rows are.
+    """
+    cold, hot, total = split_hot(rows, key)
+    w = Window.partitionBy(key)
+    out = cold.withColumns({"lo": F.min(place).over(w), "hi": F.max(place).over(w)}).where("lo <> hi").drop("hi")
+    if hot is None:
+        return out
+    first = hot.groupBy(key).agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("rows_of_key"))
+    first = stored(first.where("lo <> hi").drop("hi"), "hot")
+    return out.unionByName(join_keyed(hot, first, [key], total, "rows_of_key").drop("rows_of_key"))

@@ -113,7 +113,7 @@ def test_language_odd_rows(odd, spark):
 
 def brute_lines(rows):
     """doc -> kept lines, by windows of 50 words from and to every line, compared as text."""
-    seen, gone, lines = set(), defaultdict(set), {}
+    seen, gone, lines = {}, defaultdict(set), {}
     for k, t in sorted(rows):
         ls = [y.strip() for y in t.split("\n") if y.split()]
         n, spans = [len(y.split()) for y in ls], set()
@@ -130,8 +130,9 @@ def brute_lines(rows):
         for a, b in sorted(spans):
             key = tuple(ls[a : b + 1])
             if key in seen:
-                gone[k] |= set(range(a, b + 1))
-            seen.add(key)
+                d, first = seen[key]
+                gone[k] |= set(range(max(a, first + b + 1 - a) if d == k else a, b + 1))
+            seen.setdefault(key, (k, a))
     return {k: [y for i, y in enumerate(ls) if i not in gone[k]] for k, ls in lines.items()}
 
 
@@ -287,20 +288,71 @@ def test_packing_gives_added_tokens_their_ids(spark):
 
 
 def brute_passages(rows):
-    """doc -> words left when every 50 words that stand at an earlier place are gone."""
-    seen, left = set(), {}
+    """doc -> words left: a word goes if 50 words around it stand earlier, outside of which place it is."""
+    seen, left = {}, {}
     for k, t in sorted(rows):
         w = t.encode().split()
         gone = set()
         for i in range(len(w) - 49):
-            key = tuple(w[i : i + 50])
-            if key in seen:
-                gone.update(range(i, i + 50))
-            seen.add(key)
+            d, first = seen.setdefault(tuple(w[i : i + 50]), (k, i))
+            if (d, first) != (k, i):
+                gone.update(range(i if d != k else max(i, first + 50), i + 50))
+        left[k] = [x for i, x in enumerate(w) if i not in gone]
+    return left
+
+
+def matched_words(rows):
+    """doc -> words left, by extending matches of single words both ways, pair by pair of places, without windows or hashes."""
+    docs = [(k, t.encode().split()) for k, t in sorted(rows)]
+    left = {}
+    for n, (k, w) in enumerate(docs):
+        gone = set()
+        for m, (_, v) in enumerate(docs[: n + 1]):
+            for shift in range(-len(v) + 1, len(w)):
+                # Places i of w and i - shift of v; within one document only earlier places.
+                if m == n and shift <= 0:
+                    continue
+                i = max(0, shift)
+                while i < len(w) and i - shift < len(v):
+                    j = i
+                    while j < len(w) and j - shift < len(v) and w[j] == v[j - shift]:
+                        j += 1
+                    if j - i >= 50:
+                        gone.update(range(i if m < n else max(i, i - shift + 50), j))
+                    i = j + 1
         left[k] = [x for i, x in enumerate(w) if i not in gone]
     return left
 
 
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_passages_against_extended_matches(spark, monkeypatch, hot):
+    from lorewright.llm import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    r = np.random.default_rng(11)
+    word = [f"w{i}" for i in range(300)]
+    runs = [[word[i] for i in r.integers(0, 300, n)] for n in (50, 51, 64, 75, 120)]
+    rows = []
+    for k in range(40):
+        w = [word[i] for i in r.integers(0, 300, r.integers(0, 60))]
+        for _ in range(r.integers(0, 4)):
+            run = runs[r.integers(len(runs))]
+            a = int(r.integers(0, 20)) if r.random() < 0.5 else 0
+            w += run[a:] + [word[i] for i in r.integers(0, 300, r.integers(0, 30))]
+        seps = np.array([" ", "\n", "  \n"])[r.integers(0, 3, len(w))]
+        rows.append((k, "".join(a + b for a, b in zip(w, seps, strict=True))))
+    rows += [(50, "a b c d e f g h i j\n" * 20), (51, " ".join("xyz"[i % 3] for i in range(170))), (52, rows[3][1])]
+    out = {x.doc_id: x.text.encode().split() for x in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
+    assert out == matched_words(rows) == brute_passages(rows)
+    assert b"".join(out[50]) == b"abcdefghij" * 5 and len(out[51]) == 50
+
+
+def test_a_line_that_repeats_keeps_its_first_window(spark):
+    rows = [(1, "a b c d e f g h i j\n" * 20)]
+    (r,) = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert r.text.split() == [*"abcdefghij"] * 5 and r.n_removed == 15 and r.kept_in == [1]
+
+
 def test_passages_against_brute_force(documents):
     want = brute_passages([(r.doc_id, r.text) for r in documents.collect()])
     for r in line_dedup(documents, passages=True).collect():
