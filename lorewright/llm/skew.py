@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorewright.store import stored
 
 #: A key is hot from so many rows on, and from a HOT_SHARE-th of all rows: at most HOT_SHARE keys are hot.
-HOT_ROWS, HOT_SHARE = 1000, 100_000
+HOT_ROWS, HOT_SHARE = 100_000, 100_000
 #: Bins in which rows are counted to find hot keys.
 BIN_BITS = 18
 
