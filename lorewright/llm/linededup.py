@@ -319,7 +319,7 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: t
     n, size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs") + F.size("kept_in")), F.lit(0))).first()
     keys = runs.select("run_doc", "run_body")
     how = "broadcast" if n <= BROADCAST_ROWS else "shuffle_hash"
-    lines = F.length("c0") - F.length(F.translate("c0", "\n", "")) + 1
+    lines = F.length("c0") - F.length(F.replace("c0", F.lit("\n"), F.lit(""))) + 1
     whole = named.join(keys.hint(how), same, "left_anti")
     whole = whole.select("c1", "c0", F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<bigint>").alias("kept_in"), *rest)
     if size > BROADCAST_ROWS and how == "broadcast":
@@ -356,7 +356,7 @@ def _later_passages(base: DataFrame) -> DataFrame:
     """(doc, body, first, last, kept): runs of words, last excluded, that stand at an earlier place."""
     shape = "doc long, body long, spot int, print long, words int, first int, last int, content long"
     rows = stored(base.mapInArrow(_prints, shape), "prints")
-    spans = stored(rows.where("content is not null").select("doc", "body", "first", "last", "content"), "spans")
+    spans = rows.where("content is not null").select("doc", "body", "first", "last", "content")
     # Spans that overlap their first place are left to the windows.
     spans = stored(_later(spans, part=False), "later")
     spots = _twice(rows).select("doc", "body", F.struct("spot", "print", "words").alias("s"), F.lit(None).cast("struct<first:int,last:int>").alias("r"))

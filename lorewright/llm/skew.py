@@ -9,8 +9,8 @@ from lorewright.store import stored
 
 #: A key is hot from so many rows on, and from a HOT_SHARE-th of all rows: at most HOT_SHARE keys are hot.
 HOT_ROWS, HOT_SHARE = 100_000, 100_000
-#: Bins in which rows are counted to find hot keys.
-BIN_BITS = 18
+#: Rows are counted in at most so many bins (2 to this power) to find hot keys.
+BIN_BITS = 20
 
 
 def hot_from(total: int) -> int:
@@ -35,16 +35,19 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int, c
 
 
 def split_hot(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, int]:
-    """*rows*, a written table, without those of hot keys, these (None if there are none), and the number of all.
+    """*rows*, of a written table, without those of hot keys, these (None if there are none), and the number of all.
 
-    *key* is a 64-bit hash. Its first bits count rows in bins; a bin with many rows more than
-    another may hold a hot key and goes as a whole, so no key left has more than that. At most
+    *key* is a 64-bit hash. Its first bits count rows in bins of about HOT_ROWS; a bin with many
+    more may hold a hot key and goes as a whole, so no key left has more than that. At most
     HOT_SHARE bins are broadcast.
     """
-    bin_ = F.shiftrightunsigned(key, 64 - BIN_BITS)
+    total = rows.count()
+    bits = min(BIN_BITS, (total // HOT_ROWS).bit_length())
+    if not bits:
+        return rows, None, total
+    bin_ = F.shiftrightunsigned(key, 64 - bits)
     counts = stored(rows.groupBy(bin_.alias("hot_bin")).agg(F.count("*").alias("n")), "bins")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("n") >= 2 * (total >> BIN_BITS) + hot_from(total)).select("hot_bin")
+    hot = counts.where(F.col("n") >= 2 * (total >> bits) + hot_from(total)).select("hot_bin")
     if hot.isEmpty():
         return rows, None, total
     marked = rows.withColumn("hot_bin", bin_)
