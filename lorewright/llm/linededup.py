@@ -305,7 +305,7 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: t
     else:
         rows = base.mapInArrow(_windows, "doc long, body long, first int, last int, print long, content long")
         rows = stored(rows, "windows")
-        found = several_places(rows, "print", F.struct("doc", "body", "first")).select("doc", "body", "first", "last", "content").distinct()
+        found = several_places(rows, "print", ["doc", "body", "first"]).select("doc", "body", "first", "last", "content").distinct()
         later = _later(stored(found.withColumn("last", F.col("last") + 1), "found"))
         later = later.withColumn("last", F.col("last") - 1)
     runs = later.groupBy("doc", "body").agg(F.collect_set(F.struct("first", "last")).alias("runs"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
@@ -338,7 +338,7 @@ def _later(rows: DataFrame, part: bool = True) -> DataFrame:
     *rows* is a written table of (doc, body, first, last, content). Where a place overlaps the
     first one, only what lies behind that goes; without *part*, such a place is left out.
     """
-    out = several_places(rows, "content", F.struct("doc", "body", "first")).where(F.struct("doc", "body", "first") != F.col("lo"))
+    out = several_places(rows, "content", ["doc", "body", "first"], later=True)
     own = (F.col("doc") == F.col("lo.doc")) & (F.col("body") == F.col("lo.body"))
     behind = F.col("lo.first") + F.col("last") - F.col("first")
     first = F.when(own, F.greatest("first", behind)).otherwise(F.col("first"))
@@ -349,7 +349,7 @@ def _later(rows: DataFrame, part: bool = True) -> DataFrame:
 
 def _twice(rows: DataFrame) -> DataFrame:
     """The rows whose print stands at several places."""
-    return several_places(rows, "print", F.xxhash64("doc", "body", "spot")).drop("lo")
+    return several_places(rows, "print", ["doc", "body", "spot"])
 
 
 def _later_passages(base: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int, c
 
 
 def split_hot(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, int]:
-    """*rows*, of a written table, without those of hot keys, these (None if there are none), and the number of all.
+    """*rows*, of a written table, without those of hot keys, these, written (None if there are none), and the number of all.
 
     *key* is a 64-bit hash. Its first bits count rows in bins of about HOT_ROWS; a bin with many
     more may hold a hot key and goes as a whole, so no key left has more than that. At most
@@ -51,20 +51,26 @@ def split_hot(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, i
     if hot.isEmpty():
         return rows, None, total
     marked = rows.withColumn("hot_bin", bin_)
-    return tuple(marked.join(F.broadcast(hot), "hot_bin", how).drop("hot_bin") for how in ("left_anti", "left_semi")) + (total,)
+    hot = F.broadcast(hot)
+    return marked.join(hot, "hot_bin", "left_anti").drop("hot_bin"), stored(marked.join(hot, "hot_bin", "left_semi").drop("hot_bin"), "hot"), total
 
 
-def several_places(rows: DataFrame, key: str, place: F.Column) -> DataFrame:
-    """The rows of keys that stand at several places, with the first one as ``lo``.
+def several_places(rows: DataFrame, key: str, place: list[str], later: bool = False) -> DataFrame:
+    """The rows of keys that stand at several places; with *later*, those not at the first one, which is ``lo``.
 
-    *rows* is a written table. Rows of ordinary keys are dealt by key once. Hot keys are aggregated
-    before they are dealt, and their places joined back where the rows are.
+    *rows* is of a written table. Rows of ordinary keys are dealt by key once. Hot keys are
+    aggregated before they are dealt, and their places joined back where the rows are.
     """
     cold, hot, total = split_hot(rows, key)
-    w = Window.partitionBy(key)
-    out = cold.withColumns({"lo": F.min(place).over(w), "hi": F.max(place).over(w)}).where("lo <> hi").drop("hi")
-    if hot is None:
-        return out
-    first = hot.groupBy(key).agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("rows_of_key"))
-    first = stored(first.where("lo <> hi").drop("hi"), "hot")
-    return out.unionByName(join_keyed(hot, first, [key], total, "rows_of_key").drop("rows_of_key"))
+    at = F.struct(*place)
+    if later:
+        out = cold.withColumn("lo", F.first(at).over(Window.partitionBy(key).orderBy(*place)))
+    else:
+        w, mark = Window.partitionBy(key), F.xxhash64(*place)
+        out = cold.withColumns({"lo": F.min(mark).over(w), "hi": F.max(mark).over(w)}).where("lo <> hi").drop("lo", "hi")
+    if hot is not None:
+        first = hot.groupBy(key).agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("rows_of_key"))
+        first = stored(first.where("lo <> hi").drop("hi"), "first")
+        many = join_keyed(hot, first, [key], total, "rows_of_key").drop("rows_of_key")
+        out = out.unionByName(many if later else many.drop("lo"))
+    return out.where(at != F.col("lo")) if later else out
