@@ -37,15 +37,15 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int, c
 def split_hot(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, int]:
     """*rows*, of a written table, without those of hot keys, these, written (None if there are none), and the number of all.
 
-    *key* is a 64-bit hash. Its first bits count rows in bins of about HOT_ROWS; a bin with many
-    more may hold a hot key and goes as a whole, so no key left has more than that. At most
-    HOT_SHARE bins are broadcast.
+    The first bits of a hash of *key* count rows in bins of about HOT_ROWS; a bin with many more may
+    hold a hot key and goes as a whole, so no key left has more than that. At most HOT_SHARE bins
+    are broadcast.
     """
     total = rows.count()
     bits = min(BIN_BITS, (total // HOT_ROWS).bit_length())
     if not bits:
         return rows, None, total
-    bin_ = F.shiftrightunsigned(key, 64 - bits)
+    bin_ = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     counts = stored(rows.groupBy(bin_.alias("hot_bin")).agg(F.count("*").alias("n")), "bins")
     hot = counts.where(F.col("n") >= 2 * (total >> bits) + hot_from(total)).select("hot_bin")
     if hot.isEmpty():
