@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def settle(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the ends of all pairs (a, b) one root, the smallest."""
+    while True:
+        while (root[root] != root).any():
+            root[:] = root[root]
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            return
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)

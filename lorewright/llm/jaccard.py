@@ -14,10 +14,14 @@ by half; a document also joins the next band if a partner can be there.
 2. Block keys of each class are dealt out; a bucket pairs every member with its smallest member.
    Pairs pass the size and Hamming bounds, then exact Jaccard on the whole texts. Links join
    components.
-3. A bucket whose members are still in several components is searched again, in blocks of bounded
-   size, by the Hamming bound; members with a possible partner in another component are verified
-   exactly in place. So no link between two components is lost, and a group whose members all
-   link to one of them costs one verification per member.
+3. A bucket whose members are still in several components is searched again by the Hamming bound,
+   and members with a possible partner in another component are verified exactly. Both are done in
+   units of two blocks of bounded size; the largest component of a bucket is not held against
+   itself. So no link between two components is lost, and a group whose members all link to one of
+   them costs one verification per member.
+
+Keys that very many documents have are aggregated before they are dealt; a member with very many
+partners meets them in several units.
 
 A block is empty with small probability; a document with too few filled blocks for the pigeonhole
 adds prefix keys (its n - ceil(0.8 n) + 1 smallest shingle hashes), which two such documents share.
@@ -32,12 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.components import components
-from lorewright.store import small_batches, stored
+from lorewright.llm.components import components, settle
+from lorewright.llm.skew import join_keyed, split_hot
 from lorewright.llm.texts import U, constants, groups, mix, shingle_sets
+from lorewright.store import small_batches, stored
 
-#: Members of a bucket compared in one task unit.
-BLOCK = 2048
+#: Members of a bucket in a block, and bits of their sketches; members and shingles in a block of texts.
+BLOCK, BLOCK_BITS = 2048, 1 << 28
+TEXT_BLOCK, TEXT_SHINGLES = 256, 1 << 22
+#: Partners of one document verified in a unit.
+PARTNERS = 512
 #: At most so many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 2_000_000
 _SEED = constants(64, 101)
@@ -187,17 +195,19 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text of a, text of b) rows whose sets link. Rows with the same b come together."""
-    last, kept = None, None
-    for b in batches:
-        ids, texts = b.column(1).to_pylist(), b.column(3)
-        keep = []
-        for i, s in enumerate(shingle_sets(b.column(2))):
-            text = texts[i].as_py()
-            if kept is None or last != (ids[i], text):
-                last, kept = (ids[i], text), next(shingle_sets(pa.array([text], pa.string())))
-            keep.append(_linked(s, kept))
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    """Of rows (b, s, kind, a, text) by unit (b, s), the texts of b (kind 0) first: the (a, b) of texts that link with one of them."""
+    last, held = None, []
+    for batch in batches:
+        units = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        kinds, keep = batch.column(2).to_pylist(), []
+        for unit, kind, x in zip(units, kinds, shingle_sets(batch.column(4)), strict=True):
+            if unit != last:
+                last, held = unit, []
+            if not kind:
+                held.append(x)
+            keep.append(kind == 1 and any(_linked(x, y) for y in held))
+        found = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.record_batch([found.column(3), found.column(0)], names=["a", "b"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,21 +236,46 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([t["key"].combine_chunks().filter(pa.array(hit)), pa.array(doc[hit]), pa.array(comp[hit])], names=["key", "doc", "component"])
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of each of *x* with each of *y* (None: with each other of *x*), as products of incidence matrices."""
+    sets = x + (y or [])
+    all_, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    _, at, n = np.unique(all_, return_inverse=True, return_counts=True)
+    # What stands in one set only is in no intersection.
+    column = np.cumsum(n > 1) - 1
+    use = n[at] > 1
+    own, at = own[use], column[at[use]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    out = np.zeros((len(x), len(y or x)))
+    width = max(256, (1 << 21) // len(sets))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, z = np.searchsorted(at, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[own[a:z], at[a:z] - lo] = 1
+        out += m[: len(x)] @ (m[len(x) :] if y else m).T
+    return out
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact links across components among the members (key, doc, component, text) of a bucket."""
-    for t in groups(batches, 1):
-        doc, comp = t["doc"].to_numpy(), t["component"].to_numpy().copy()
+    """Exact links across components of the units (key, i, j, part, doc, component, text): each linked document with the smallest it leads to."""
+    for t in groups(batches, 3):
+        part, i, j = t["part"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        doc, comp = t["doc"].to_numpy(), t["component"].to_numpy()
+        order = np.argsort(doc, kind="stable")
+        doc, comp, part = doc[order], comp[order], part[order]
         sets = list(shingle_sets(t["text"].combine_chunks()))
-        a, b = [], []
-        for x in range(len(doc)):
-            for y in range(x):
-                p, q = len(sets[x]), len(sets[y])
-                if comp[x] != comp[y] and 5 * min(p, q) >= 4 * max(p, q) and _linked(sets[x], sets[y]):
-                    a.append(doc[x])
-                    b.append(doc[y])
-                    comp[comp == comp[x]] = comp[y]
-        if a:
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        sets = [sets[x] for x in order.tolist()]
+        mine, other = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        if not len(mine) or not len(other):
+            continue
+        n = np.array([len(x) for x in sets])
+        both = _common([sets[x] for x in mine], [sets[x] for x in other] if i != j else None)
+        a, b = np.nonzero((100 * both >= 80 * (n[mine][:, None] + n[other][None, :] - both)) & (comp[mine][:, None] != comp[other][None, :]))
+        a, b, root = mine[a], other[b], np.arange(len(doc))
+        settle(root, a, b)
+        hit = np.flatnonzero(root != np.arange(len(doc)))
+        yield pa.record_batch([pa.array(doc[hit]), pa.array(doc[root[hit]])], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -255,8 +290,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     pair = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs = stored(pair.mapInArrow(_signature, "doc_id long, n long, h1 long, h2 long"), "sigs")
     known = sigs.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    same = known.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> rep")
+    classes = stored(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    same = join_keyed(known, classes.where("copies > 1"), ["n", "h1", "h2"], sigs.count(), "copies").where("doc_id <> rep")
     same = stored(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
     # Copies go; an id with several texts stays if one of them stands for a class.
     copies = same.select(F.col("a").alias("doc_id")).distinct().join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
@@ -265,8 +300,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 
     texts = pair.where("doc_id is not null").join(copies.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_anti")
     table = stored(texts.mapInArrow(_keys, "doc long, band int, n int, bits binary, keys array<bigint>"), "keys")
-    dealt = table.select(F.explode("keys").alias("key"), "doc").repartition("key").sortWithinPartitions("key")
-    bucket = stored(dealt.mapInArrow(_buckets, "key long, doc long, low long, members long"), "buckets")
+    total = table.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    cold, hot, _ = split_hot(table.select(F.explode("keys").alias("key"), "doc"), "key", total)
+    bucket = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "key long, doc long, low long, members long")
+    if hot is not None:
+        hot = hot.distinct()
+        low = stored(hot.groupBy("key").agg(F.min("doc").alias("low"), F.count("*").alias("members")).where("members > 1"), "hot")
+        bucket = bucket.unionByName(join_keyed(hot, low, ["key"], total, "members"))
+    bucket = stored(bucket, "buckets")
     band = F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)")
     stars = bucket.where("doc <> low").select(F.col("doc").alias("a"), F.col("low").alias("b"), band.alias("band")).distinct()
     of = table.select("doc", "band", "n", "bits")
@@ -279,29 +320,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     parts = stored(components(links), "parts")
     # Buckets of two are settled by their one pair.
     open_ = bucket.where("members > 2").join(parts.toDF("doc", "component"), "doc", "left")
-    open_ = open_.select("key", "doc", "members", F.coalesce("component", "doc").alias("component"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = open_.join(mixed, "key").withColumn("band", band).join(of, ["doc", "band"])
-    cuts = F.ceil(F.col("members") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("doc"), cuts).cast("int")
-    open_ = open_.withColumn("part", part).withColumn("against", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    open_ = open_.select("key", F.least("part", "against").alias("i"), F.greatest("part", "against").alias("j"), "part", "doc", "component", "n", "bits")
-    open_ = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    close = stored(open_.mapInArrow(_near, "key long, doc long, component long").distinct(), "close")
+    open_ = stored(open_.select("key", "doc", F.coalesce("component", "doc").alias("component")), "open")
+    units = _units(open_, BLOCK, BLOCK_BITS).withColumn("band", band).join(of, ["doc", "band"])
+    units = units.select("key", "i", "j", "part", "doc", "component", "n", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    close = stored(units.mapInArrow(_near, "key long, doc long, component long").distinct(), "close")
     if not close.isEmpty():
-        texts = close.join(_some(pair, close.select(F.col("doc").alias("doc_id")).distinct()).toDF("doc", "text"), "doc").repartition("key").sortWithinPartitions("key")
-        second = stored(texts.select("key", "doc", "component", "text").mapInArrow(_joined, "a long, b long").distinct(), "links")
+        texts = _some(pair, close.select(F.col("doc").alias("doc_id")).distinct()).toDF("doc", "text")
+        units = _units(close, TEXT_BLOCK, TEXT_SHINGLES).join(texts, "doc")
+        units = units.select("key", "i", "j", "part", "doc", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        second = stored(units.mapInArrow(_joined, "a long, b long").distinct(), "links")
         parts = stored(components(links.unionByName(second)), "parts")
 
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _units(rows: DataFrame, block: int, size: int) -> DataFrame:
+    """(key, doc, component, part, i, j): *rows* (key, doc, component), written, of keys with several components, in units of two blocks.
+
+    Blocks have about *block* members, or fewer where a band's sets are so large that they would
+    hold more than *size* shingles. Part i is to be held against part j; the parts of a key's largest
+    component come last and meet the others only.
+    """
+    total = rows.count()
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    most = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("members"), F.count("*").alias("components"))
+    most = most.where("components > 1").select("key", "members", F.col("m.component").alias("major"), F.col("m.n").alias("d"))
+    rows = join_keyed(rows, stored(most, "mixed"), ["key"], total, "members")
+    band = F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)")
+    limit = F.element_at(F.array(*(F.lit(max(4, min(block, size // b))) for b in [*BANDS[1:], 4 * BANDS[-1]])), band + 1)
+    rb, db = F.ceil((F.col("members") - F.col("d")) / limit).cast("int"), F.ceil(F.col("d") / limit).cast("int")
+    rows = rows.withColumns({"rb": rb, "db": db, "is_major": F.col("component") == F.col("major")})
+    h = F.xxhash64("doc")
+    rows = rows.withColumn("part", F.when(F.col("is_major"), F.col("rb") + F.pmod(h, "db")).otherwise(F.pmod(h, "rb")).cast("int"))
+    rows = rows.withColumn("against", F.explode(F.sequence(F.lit(0), F.when(F.col("is_major"), F.col("rb")).otherwise(F.col("rb") + F.col("db")) - 1)))
+    return rows.select("key", "doc", "component", "part", F.least("part", "against").alias("i"), F.greatest("part", "against").alias("j"))
+
+
 def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link."""
+    """The pairs (a, b), a written table, whose texts link. A b with many partners meets them in several units, each with its text once."""
     texts = _some(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    t = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return t.sortWithinPartitions("b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long").distinct()
+    hubs = stored(pairs.groupBy("b").agg(F.count("*").alias("partners")), "hubs").withColumn("cuts", F.ceil(F.col("partners") / PARTNERS).cast("int"))
+    members = join_keyed(pairs, hubs, ["b"], pairs.count(), "partners").withColumn("s", F.pmod(F.xxhash64("a"), "cuts").cast("int"))
+    members = members.join(texts.toDF("a", "text"), "a").select("b", "s", F.lit(1).alias("kind"), "a", "text")
+    hubs = hubs.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).join(texts.toDF("b", "text"), "b")
+    rows = members.unionByName(hubs.select("b", "s", F.lit(0).alias("kind"), F.col("b").alias("a"), "text"))
+    return rows.repartition("b", "s").sortWithinPartitions("b", "s", "kind").mapInArrow(_verified, "a long, b long").distinct()
 
 
 def _some(texts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.components import components
+from lorewright.llm.components import components, settle
 from lorewright.llm.skew import join_keyed
 from lorewright.llm.texts import U, constants, mix, whole_groups
 from lorewright.store import stored
@@ -144,8 +144,7 @@ def _compared(batches: Iterator[pa.RecordBatch], kind: type = np.float64) -> Ite
                     ok = np.einsum("ij,ij->i", v[x], v[y]) >= COSINE
                 a, b = a[ok], b[ok]
                 if len(a):
-                    np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
-                    _settle(root, a, b)
+                    settle(root, a, b)
                     new = ~_met_before(keys[a], keys[b], key[a])
                     np.add.at(links, a[new], copies[b[new]])
                     np.add.at(links, b[new], copies[a[new]])
@@ -174,18 +173,6 @@ def _pairs(at: np.ndarray, size: np.ndarray, dim: int, part: np.ndarray, i: np.n
                 yield left[lo : lo + 256, None], right[None, :]
 
 
-def _settle(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Gives the ends of all pairs (a, b) one root, the smallest."""
-    while True:
-        while (root[root] != root).any():
-            root[:] = root[root]
-        low = np.minimum(root[a], root[b])
-        if (root[a] == low).all() and (root[b] == low).all():
-            return
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-
-
 def _met_before(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether two vectors share a key smaller than their *key*."""
     out = np.zeros(len(a), dtype=bool)

@@ -34,14 +34,14 @@ def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], total: int, c
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
-def split_hot(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None, int]:
+def split_hot(rows: DataFrame, key: str, total: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
     """*rows*, of a written table, without those of hot keys, these, written (None if there are none), and the number of all.
 
     The first bits of a hash of *key* count rows in bins of about HOT_ROWS; a bin with many more may
     hold a hot key and goes as a whole, so no key left has more than that. At most HOT_SHARE bins
     are broadcast.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     bits = min(BIN_BITS, (total // HOT_ROWS).bit_length())
     if not bits:
         return rows, None, total

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -127,3 +128,54 @@ def test_an_id_with_several_texts(spark):
     near = b + " more"
     rows = [(1, a), (2, a), (2, b), (3, near), (4, near), (5, "other words that stand alone here")]
     assert {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
+def test_a_template_family_that_does_not_link(spark):
+    """2,000 documents of one bucket at a Jaccard index of about 0.78, and two that link across."""
+    r = random.Random(3)
+    common = [f"c{i}" for i in range(180)]
+    rows = [(i, " ".join([*common, *(f"d{i}_{k}" for k in range(25))])) for i in range(2000)]
+    rows += [(5000, rows[700][1] + " more"), (5001, rows[1300][1] + " and more words")]
+    r.shuffle(rows)
+    a, b = (shingles(t) for _, t in rows[:2])
+    assert 0.74 < len(a & b) / len(a | b) < 0.8
+    start = time.time()
+    out = got(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert time.time() - start < 120
+    assert out == {d: (len(shingles(t)), {5000: 700, 5001: 1300}.get(d, d)) for d, t in rows}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_blocks_and_hot_keys(spark, monkeypatch, small):
+    """Chains, hubs and families in tiny blocks and with hot keys, as in large ones."""
+    from lorewright.llm import jaccard, skew
+
+    if small:
+        for name, n in (("BLOCK", 7), ("TEXT_BLOCK", 5), ("PARTNERS", 3)):
+            monkeypatch.setattr(jaccard, name, n)
+        monkeypatch.setattr(skew, "HOT_ROWS", 6)
+    r = random.Random(9)
+    word = [f"w{i}" for i in range(400)]
+    rows = []
+    for f in range(6):
+        base = r.choices(word, k=r.choice([30, 80, 200]))
+        for k in range(45):
+            text = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, len(text) // 40, len(text) // 20])):
+                text[r.randrange(len(text))] = r.choice(word)
+            rows.append((1000 * r.randrange(50) + 60 * f + k, " ".join(text)))
+            base = text if r.random() < 0.2 else base
+    rows = list(dict(rows).items())
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) > 20
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_common_counts():
+    from lorewright.llm.jaccard import _common
+
+    r = np.random.default_rng(2)
+    x, y = ([np.unique(r.integers(0, 3000, n).astype(np.uint64)) for n in r.integers(0, 900, 20)] for _ in range(2))
+    assert _common(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    own = _common(x, None)
+    assert all(own[i, j] == len(np.intersect1d(x[i], x[j])) for i in range(20) for j in range(20) if i != j)
