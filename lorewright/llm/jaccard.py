@@ -270,9 +270,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(mine) or not len(other):
             continue
         n = np.array([len(x) for x in sets])
-        both = _common([sets[x] for x in mine], [sets[x] for x in other] if i != j else None)
-        a, b = np.nonzero((100 * both >= 80 * (n[mine][:, None] + n[other][None, :] - both)) & (comp[mine][:, None] != comp[other][None, :]))
-        a, b, root = mine[a], other[b], np.arange(len(doc))
+        p, q = n[mine][:, None], n[other][None, :]
+        may = (comp[mine][:, None] != comp[other][None, :]) & (5 * np.minimum(p, q) >= 4 * np.maximum(p, q))
+        if i == j:
+            may = np.triu(may)
+        a, b = np.nonzero(may)
+        if len(a) > len(doc):
+            both = _common([sets[x] for x in mine], [sets[x] for x in other] if i != j else None)[a, b]
+            ok = 100 * both >= 80 * (n[mine[a]] + n[other[b]] - both)
+        else:
+            ok = np.array([_linked(sets[mine[x]], sets[other[y]]) for x, y in zip(a, b, strict=True)], bool)
+        a, b, root = mine[a[ok]], other[b[ok]], np.arange(len(doc))
         settle(root, a, b)
         hit = np.flatnonzero(root != np.arange(len(doc)))
         yield pa.record_batch([pa.array(doc[hit]), pa.array(doc[root[hit]])], names=["a", "b"])
@@ -340,12 +348,14 @@ def _units(rows: DataFrame, block: int, size: int) -> DataFrame:
 
     Blocks have about *block* members, or fewer where a band's sets are so large that they would
     hold more than *size* shingles. Part i is to be held against part j; the parts of a key's largest
-    component come last and meet the others only.
+    component come last and meet the others only. Of keys with the same members one is taken.
     """
     total = rows.count()
-    per = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    most = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("members"), F.count("*").alias("components"))
-    most = most.where("components > 1").select("key", "members", F.col("m.component").alias("major"), F.col("m.n").alias("d"))
+    marks = ("mark0", "mark1")
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(m), "doc")).alias(m) for m in marks))
+    most = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("members"), F.count("*").alias("components"), *(F.bit_xor(m).alias(m) for m in marks))
+    most = most.where("components > 1").groupBy("members", *marks).agg(F.min(F.struct("key", "m")).alias("one"))
+    most = most.select("one.key", "members", F.col("one.m.component").alias("major"), F.col("one.m.n").alias("d"))
     rows = join_keyed(rows, stored(most, "mixed"), ["key"], total, "members")
     band = F.expr(f"cast(key & {(1 << _BAND_BITS) - 1} as int)")
     limit = F.element_at(F.array(*(F.lit(max(4, min(block, size // b))) for b in [*BANDS[1:], 4 * BANDS[-1]])), band + 1)
