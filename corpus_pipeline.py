@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.llm import jaccard, langid, linededup, mixing, packing
-from lorewright.store import stored
+from lorewright.store import drop_stored, n_stored, stored
 
 #: A document whose most likely language has a smaller posterior is rejected.
 LEAST_SCORE = 0.5
@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that earlier documents have; documents of which nothing is left go."""
-    out = linededup.line_dedup(docs, carry=tuple(docs.columns))
+    """Texts without passages that earlier documents have; documents of which nothing is left go."""
+    out = linededup.line_dedup(docs, carry=tuple(docs.columns), passages=True)
     out = out.toDF("id", "left_text", "n_lines", "n_removed", "kept_in", *(f"c{i}" for i in range(len(docs.columns))))
     out = out.where((F.col("n_removed") == 0) | (F.trim("left_text") != ""))
     put = {"text": F.col("left_text"), "n_chars": F.length("left_text")}
@@ -33,16 +33,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the one with the smallest doc_id, of each group of near duplicates."""
     found = jaccard.near_duplicates(docs)
     gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    few = gone.count() <= jaccard.BROADCAST_IDS
-    kept = docs.join(gone.hint("broadcast" if few else "shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    # Repeated rows of the document that stays.
-    again = F.row_number().over(_same("doc_id"))
-    many = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(_hinted(gone), "doc_id", "left_anti").select(*docs.columns)
+    many = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     many = stored(many, "repeated")
     if many.isEmpty():
         return kept
-    once = kept.join(many, "doc_id").withColumn("__again", again).where("__again = 1").drop("__again")
-    return kept.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    # Of repeated rows of a document that stays, one; they are one per task before they are dealt.
+    row = F.struct(*docs.columns)
+    once = kept.join(_hinted(many), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), row.alias("row"), F.xxhash64(*docs.columns).alias("mark"))
+    once = once.groupBy("id").agg(F.min_by("row", "mark").alias("row")).select("row.*")
+    return kept.join(_hinted(many), "doc_id", "left_anti").select(*docs.columns).unionAll(once)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +61,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-def _same(id: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(id).orderBy(F.col("text").asc_nulls_last())
+def _hinted(ids: DataFrame) -> DataFrame:
+    """Written ids, to be broadcast if they are few, else dealt."""
+    return ids.hint("broadcast" if ids.count() <= jaccard.BROADCAST_IDS else "shuffle_hash")
 
 
 STAGES = [
@@ -80,8 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each written and read again."""
+    """The stages in order over ``documents``, each written and read again; all other tables go when the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = n_stored()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(spark, first, keep=docs)
     return docs

@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new local one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process, a new local one.
+
+    On a cluster executors write to disks of their own, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lorewright_")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,17 +53,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Deletes all tables that stored() wrote in this process, and returns their number.
+def drop_stored(spark: SparkSession, first: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes the tables that stored() wrote in this process from the *first* one on, but *keep*, and returns their number.
 
     For callers that have written their results: what was returned before can't be read any more.
     """
-    n = len(_written)
+    kept = {p for f in (keep.inputFiles() if keep is not None else []) for p in _written[first:] if f"/{p.rsplit('/', 1)[1]}/" in f}
+    gone = [p for p in _written[first:] if p not in kept]
+    _written[first:] = kept
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = hadoop(_written.pop())
+    for p in gone:
+        path = hadoop(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
+
+
+def n_stored() -> int:
+    """How many tables stored() has written and not deleted."""
+    return len(_written)
 
 
 def small_batches(spark: SparkSession, rows: int = 100_000, size: str = "4m") -> None:
