@@ -6,8 +6,8 @@ import pytest
 
 import corpus_pipeline as P
 from lorewright.llm import langid
-from lorewright.store import stored
-from tests.llm.test_documents import brute_lines
+from lorewright.store import n_stored, stored
+from tests.llm.test_documents import brute_passages
 from tests.llm.test_jaccard import brute
 
 SF = "/root/testdata/sf0.001"
@@ -29,8 +29,8 @@ def test_language(steps):
 
 
 def test_lines(steps):
-    want = {k: v for k, v in brute_lines([(r.doc_id, r.text) for r in steps[1].collect()]).items() if v}
-    got = {r.doc_id: [x.strip() for x in r.text.split("\n") if x.split()] for r in steps[2].collect()}
+    want = {k: v for k, v in brute_passages([(r.doc_id, r.text) for r in steps[1].collect()]).items() if v}
+    got = {r.doc_id: r.text.encode().split() for r in steps[2].collect()}
     assert got == want and steps[2].columns == steps[0].columns
     assert all(r.n_chars == len(r.text) for r in steps[2].collect())
 
@@ -79,3 +79,15 @@ def test_clashing_columns_and_nulls(spark, odd):
     empty = odd.limit(0)
     for _, f in P.STAGES:
         assert f(spark, empty, SF).collect() == []
+
+
+def test_a_run_leaves_only_its_result(spark):
+    first = n_stored()
+    out = P.run(spark, SF)
+    assert n_stored() == first + 1 and out.count() > 0
+
+
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "a b c d e f", None)] * 50 + [(2, "other words here", "x"), (2, "other words here", "x"), (None, "no id", "y")]
+    out = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, mark string"), SF)
+    assert sorted((r.doc_id or 0, r.text, r.mark) for r in out.collect()) == [(0, "no id", "y"), (1, "a b c d e f", None), (2, "other words here", "x")]
