@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lorewright.functions.text import normalize_punctuation, normalize_whitespace
 from lorewright.operators import knowledge, normalize, rdf
 from lorewright.operators.entries import split_entries
-from lorewright.operators.ner import AUTOMATON_CHARS
 from lorewright.operators.relations import RULES, Rule, extract_relations
 
 
@@ -18,7 +17,7 @@ def preprocess(files: DataFrame, file: str = "file", text: str = "text") -> Data
     return split_entries(files.select(F.col(file), clean.alias(text)), file, text)
 
 
-def rule_facts(entries: DataFrame, known: list[str], aliases: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def rule_facts(entries: DataFrame, known: list[str] | DataFrame, aliases: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Facts by rules: names by their standard, predicates in schema form, inverses added.
 
     *aliases* is (alias, standard, etype) of persons. Objects are taken for persons only where the
@@ -38,13 +37,9 @@ def rule_facts(entries: DataFrame, known: list[str], aliases: DataFrame, rules:
 def build(entries: DataFrame, people: DataFrame, aliases: DataFrame, known_facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(facts, triples) of a corpus: rules, known facts that are missing, validation, writing.
 
-    *people* is the dictionary of persons (name), of checked size as the rules need it in every task.
+    *people* is the dictionary of persons (name), of any size.
     """
-    names_ = people.select("name").distinct()
-    if (names_.agg(F.sum(F.length("name"))).first()[0] or 0) > AUTOMATON_CHARS:
-        raise ValueError("the dictionary of persons is too large for every task; match it with ner.dictionary_entities first")
-    names = [r.name for r in names_.collect()]
-    facts = knowledge.merge_known(rule_facts(entries, names, aliases, rules), known_facts)
+    facts = knowledge.merge_known(rule_facts(entries, people, aliases, rules), known_facts)
     ends = known_facts.select(F.explode(F.array("subject", "object")).alias("name"))
     standard = people.unionByName(ends).unionByName(aliases.select(F.col("standard").alias("name"))).distinct()
     personal = tuple(p for p in normalize.RDF if p.startswith(("education:", "kinship:", "social:")))

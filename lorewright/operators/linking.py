@@ -36,13 +36,15 @@ def score(candidate: Column, name: Column, style: Column, hao: Column, dynasty:
     return F.least(total, F.lit(CAP))
 
 
-def candidates(people: DataFrame, records: DataFrame, block: str) -> DataFrame:
-    """People joined with external records of the same *block*, one row per (person, source, external_id).
+def candidates(people: DataFrame, records: DataFrame, keys: str = "keys") -> DataFrame:
+    """People joined with external records that share one of their *keys* (arrays of strings), one row per (person, source, external_id).
 
-    An equi-join on the blocking key, so a person never meets the whole register.
+    Keys are what the score looks at: names, style and hao. An equi-join, so a person never meets
+    the whole register; null and empty keys meet nothing.
     """
-    j = people.join(records, block)
-    return j.dropDuplicates(["person", "source", "external_id"])
+    a = people.withColumn("__key", F.explode(F.array_distinct(keys))).where("__key <> ''").drop(keys)
+    b = records.withColumn("__key", F.explode(F.array_distinct(keys))).where("__key <> ''").drop(keys)
+    return a.join(b, "__key").drop("__key").dropDuplicates(["person", "source", "external_id"])
 
 
 def ranked(scored: DataFrame) -> DataFrame:

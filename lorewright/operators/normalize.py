@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.functions.text import cascade
+
 # Free predicates and their schema names.
 SCHEMA = {
     "styleName": "attribute:hasStyleName", "hao": "attribute:hasHao", "fatherOf": "kinship:fatherOf", "sonOf": "kinship:sonOf",
@@ -31,7 +33,15 @@ KNOWN_SCHOOLS = {
     "吳門印派": "吳門印派", "吴门印派": "吳門印派", "吴门派": "吳門印派", "吳門派": "吳門印派",
 }
 # Simplified characters of school names and their traditional forms.
-TRADITIONAL = dict(zip("吴门娄东闽国会师长号庐庆齐苏兴学华风马云凤显变观记", "吳門婁東閩國會師長號廬慶齊蘇興學華風馬雲鳳顯變觀記", strict=True))
+TRADITIONAL = {
+    "吴": "吳", "门": "門", "娄": "婁", "东": "東", "闽": "閩", "国": "國", "会": "會", "师": "師", "长": "長", "号": "號", "庐": "廬", "庆": "慶", "齐": "齊",
+    "苏": "蘇", "兴": "興", "学": "學", "华": "華", "风": "風", "马": "馬", "云": "雲", "凤": "鳳", "显": "顯", "变": "變", "观": "觀", "记": "記",
+}
+# Words in a name that tell its school, in the order of the search.
+SCHOOL_KEYWORDS = {
+    "浙派": ("浙", "錢塘", "杭州"), "皖派": ("皖", "婺源", "徽州", "新安", "休寧"), "吳門印派": ("吳門", "蘇州"), "吳門": ("吳門", "蘇州"),
+    "漳海派": ("漳海", "漳浦"), "莆田派": ("莆田", "福州"), "婁東派": ("婁東",), "秦漢印風": ("秦漢",),
+}
 
 
 def lookup(pairs: dict[str, str], key: Column) -> Column:
@@ -53,6 +63,11 @@ def is_school(name: Column, known: dict[str, str] = KNOWN_SCHOOLS) -> Column:
     return lookup(known, name).isNotNull() | lookup(known, F.translate(name, "".join(TRADITIONAL), "".join(TRADITIONAL.values()))).isNotNull()
 
 
+def infer_school(name: Column, keywords: dict[str, tuple[str, ...]] = SCHOOL_KEYWORDS) -> Column:
+    """The first school one of whose keywords is in a name; null if none is, or for a null name."""
+    return cascade(name, [(words, label) for label, words in keywords.items()], None)
+
+
 def object_kind(pred: Column) -> Column:
     return F.coalesce(lookup(OBJECT_KIND, predicate(pred, RDF)), F.lit("person"))
 

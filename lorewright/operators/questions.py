@@ -6,12 +6,15 @@ answered by one plan; each template is a join with the triples.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import cascade, holds
+from lorewright.operators.models import ask
+from lorewright.operators.sparql import SparqlError, select
 from lorewright.operators.templates import NOT_GENERAL, RELATIONS
 from lorewright.store import stored
 
@@ -93,6 +96,89 @@ def stripped(question: Column) -> Column:
     return F.regexp_replace(q, f"^(?:{_any(HEADS)})", "")
 
 
+# What a rewritten question may begin with, its length at most, and marks around it.
+REWRITE_HEADS = ("改写:", "改写：", "答:", "答：", "输出:", "输出：")
+REWRITE_CHARS, REWRITE_MARKS = 100, "\"'「」"
+# Ends of school names that are cut off, in this order.
+SCHOOL_ENDS = ("流派", "印派", "门", "派别")
+
+
+def rewritten(question: Column, answer: Column) -> Column:
+    """A model's rewriting of a question: without known beginnings, its first line, without marks around it.
+
+    The question itself where the answer is null, empty or longer than REWRITE_CHARS.
+    """
+    a = F.trim(answer, F.lit(" \t\r\n"))
+    for head in REWRITE_HEADS:
+        a = F.regexp_replace(a, f"(?s)^{head}\\s*", "")
+    a = F.trim(F.trim(F.regexp_extract(a, r"^([^\n]*)", 1), F.lit(" \t\r")), F.lit(REWRITE_MARKS))
+    return F.when((a != "") & (F.length(a) <= REWRITE_CHARS), a).otherwise(question)
+
+
+def normalized(rows: DataFrame, question: str, model: Callable[[list[str]], list[str | None]], prompt: str = "原句: \"{question}\"\n改写:") -> DataFrame:
+    """*rows* with normalized_question. A distinct question is asked once; null ones stay null."""
+    once = rows.where(F.col(question).isNotNull()).select(F.col(question).alias("__q")).distinct()
+    asked = ask(once, F.replace(F.lit(prompt), F.lit("{question}"), F.col("__q")), model, "__a")
+    answers_ = asked.select("__q", rewritten(F.col("__q"), F.col("__a")).alias("normalized_question"))
+    return rows.join(answers_, F.col(question) == F.col("__q"), "left").drop("__q")
+
+
+def school_names(entities: Column) -> Column:
+    """Entities of a question about schools without the ends of SCHOOL_ENDS, one after the other; nothing becomes empty."""
+
+    def cut(x: Column) -> Column:
+        for end in SCHOOL_ENDS:
+            x = F.when(F.endswith(x, F.lit(end)) & (F.length(x) > len(end)), F.substring(x, F.lit(1), F.length(x) - len(end))).otherwise(x)
+        return x
+
+    return F.transform(entities, cut)
+
+
+def sparql_in(answer: Column) -> Column:
+    """The query in a model's answer: from PREFIX, else SELECT, to the last brace; null without one."""
+    t = F.trim(answer, F.lit(" \t\r\n"))
+    begin = F.when(F.instr(t, F.lit("PREFIX")) > 0, F.instr(t, F.lit("PREFIX"))).otherwise(F.instr(t, F.lit("SELECT")))
+    brace = F.instr(F.reverse(t), F.lit("}"))
+    end = F.when(brace > 0, F.length(t) - brace + 1).otherwise(F.length(t))
+    return F.when(begin > 0, F.trim(F.substring(t, begin, F.greatest(end - begin + 1, F.lit(0))), F.lit(" \t\r\n")))
+
+
+def generated_query(triples: DataFrame, answer: str | None) -> tuple[DataFrame | None, str]:
+    """(rows, error) of a model's answer: rows of the query in it, or null and what is wrong with it.
+
+    Only what the SPARQL subset reads is run; nothing else of the answer is.
+    """
+    found = None if answer is None else triples.sparkSession.range(1).select(sparql_in(F.lit(answer)).alias("q")).first().q
+    if not found:
+        return None, "no query"
+    try:
+        return select(triples, found), ""
+    except SparqlError as e:
+        return None, str(e)
+
+
+# How a failure is told to a model, and how long a passage it gets.
+FAILURES = {"NO_RESULT": "查询执行成功，但图谱中未找到匹配数据", "NO_ENTITY": "未能从问题中识别人物实体"}
+PASSAGE_CHARS = 300
+
+
+def fallback_prompt(question: Column, person: Column, error: Column, detail: Column, passages: Column) -> Column:
+    """The prompt for a question without an answer: the question, its person, what went wrong, and passages (array) found for it."""
+    d = F.coalesce(detail, F.lit(""))
+    told = _label(error, FAILURES)
+    told = F.when(error == "SPARQL_SYNTAX_ERROR", F.concat(F.lit("SPARQL 查询语法错误："), d)).when(error == "SPARQL_EXEC_ERROR", F.concat(F.lit("查询执行错误："), d)).when(error.isin(*FAILURES), told)
+    named = F.when(F.coalesce(person, F.lit("")) != "", F.concat(F.lit("已识别人物："), person))
+    found = F.when(F.size(passages) > 0, F.concat(F.lit("【原文摘录】\n"), F.array_join(F.transform(passages, lambda x: F.substring(x, 1, PASSAGE_CHARS)), "\n")))
+    return F.concat_ws("\n\n", F.concat(F.lit("用户问题："), question), named, F.concat(F.lit("情况说明："), told), found)
+
+
+def with_fallback(rows: DataFrame, model: Callable[[list[str]], list[str | None]], corpus: str = "知识图谱") -> DataFrame:
+    """rows(question, name, error_type, detail, passages, ...) with the model's answer, or the rule's message where it has none."""
+    asked = ask(rows, fallback_prompt(*(F.col(c) for c in ("question", "name", "error_type", "detail", "passages"))), model)
+    said = F.trim("answer", F.lit(" \t\r\n"))
+    return asked.withColumn("answer", F.when(said != "", said).otherwise(fallback_message(F.col("error_type"), F.col("name"), F.col("detail"), corpus)))
+
+
 def entity_spans(question: Column) -> Column:
     """The distinct runs of 2 to 4 CJK characters of a stripped question that can be names."""
     spaced = F.regexp_replace(question, "[和与及、，,]+", " ")

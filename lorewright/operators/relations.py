@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.operators.ner import AUTOMATON_CHARS
+from lorewright.store import stored
+
 _N = "[一-龥]"
 
 
@@ -59,22 +62,34 @@ def detect_school(text: str) -> str:
     return next((school for word, school in SCHOOL_WORDS if word in text), "")
 
 
-def names_in(text: str, names: list[str]) -> list[str]:
-    """Names in *text* by place; *names* come longest first, and a taken place isn't used again."""
-    taken, found = [False] * len(text), []
-    for name in names:
-        at = text.find(name)
-        while at >= 0:
-            if not any(taken[at : at + len(name)]):
-                taken[at : at + len(name)] = [True] * len(name)
+class Names:
+    """A dictionary of names as an automaton, so a text is searched once whatever their number."""
+
+    def __init__(self, names: list[str]):
+        import ahocorasick
+
+        self.machine, self.some = ahocorasick.Automaton(), False
+        for n in names:
+            if n:
+                self.machine.add_word(n, n)
+                self.some = True
+        if self.some:
+            self.machine.make_automaton()
+
+    def found(self, text: str) -> list[str]:
+        """Names in *text* by place; longer names take their places first, and a taken place isn't used again."""
+        taken, found = [False] * len(text), []
+        hits = [(-len(n), n, end - len(n) + 1) for end, n in self.machine.iter(text)] if self.some else []
+        for size, name, at in sorted(hits):
+            if not any(taken[at : at - size]):
+                taken[at : at - size] = [True] * -size
                 found.append((at, name))
-            at = text.find(name, at + 1)
-    return [n for _, n in sorted(found)]
+        return [n for _, n in sorted(found)]
 
 
-def apply_rules(text: str, title: str, names: list[str], rules: tuple[Rule, ...] = RULES) -> list[tuple[str, str, str, float, str]]:
+def apply_rules(text: str, title: str, names: list[str] | Names, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, str, str, float, str]]:
     """(subject, predicate, object, confidence, evidence); of equal statements the first."""
-    names = sorted({n for n in names if n}, key=lambda n: (-len(n), n))
+    names = names if isinstance(names, Names) else Names(names)
     out: dict[tuple, tuple] = {}
 
     def say(s: str, p: str, o: str, c: float, place: int) -> None:
@@ -82,7 +97,7 @@ def apply_rules(text: str, title: str, names: list[str], rules: tuple[Rule, ...]
 
     for rule in rules:
         for m in re.finditer(rule.pattern, text):
-            found = names_in(m[0], names)
+            found = names.found(m[0])
             if not found:
                 continue
             subject, value = found[0], None
@@ -109,28 +124,58 @@ def apply_rules(text: str, title: str, names: list[str], rules: tuple[Rule, ...]
     return list(out.values())
 
 
-def extract_relations(entries: DataFrame, known: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def extract_relations(entries: DataFrame, known: list[str] | DataFrame, rules: tuple[Rule, ...] = RULES, limit: int = AUTOMATON_CHARS) -> DataFrame:
     """(chapter, title, subject, predicate, object, confidence, evidence) over entries(chapter, title, content).
 
-    *known* is a dictionary of checked size: its names go to every task.
+    *known* is the dictionary of names, a list or the column ``name`` of a table. Up to *limit*
+    characters it goes to every task; a larger table is joined with the entries' n-grams first, and
+    an entry goes with the names that are in it.
     """
+    rows, every = entries.select("chapter", "title", "content"), None
+    if not isinstance(known, DataFrame):
+        every = known
+    else:
+        names = known.select("name").where("name <> ''").distinct()
+        if (names.agg(F.sum(F.length("name"))).first()[0] or 0) <= limit:
+            every = [r.name for r in names.collect()]
+        else:
+            rows = stored(rows.withColumn("entry", F.expr("uuid()")), "entries")
+            rows = rows.join(names_in_entries(rows, names), "entry", "left").select("chapter", "title", "content", "names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None if every is None else Names(every)
         for b in batches:
-            rows = [(c, t, *x) for c, t, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for x in apply_rules(text or "", t or "", known, rules)]
+            some = [whole] * b.num_rows if whole else [Names(x or []) for x in b.column(3).to_pylist()]
+            rows = [(c, t, *x) for c, t, text, names in zip(*(b.column(i).to_pylist() for i in range(3)), some, strict=True) for x in apply_rules(text or "", t or "", names, rules)]
             if rows:
                 kinds = [pa.string()] * 5 + [pa.float64(), pa.string()]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chapter", "title", "subject", "predicate", "object", "confidence", "evidence"])
 
     shape = "chapter string, title string, subject string, predicate string, object string, confidence double, evidence string"
-    return entries.select("chapter", "title", "content").mapInArrow(run, shape)
+    return rows.mapInArrow(run, shape)
+
+
+def names_in_entries(entries: DataFrame, names: DataFrame) -> DataFrame:
+    """(entry, names): all names that stand anywhere in an entry's content, by an equi-join on n-grams."""
+    lengths = [r[0] for r in names.select(F.length("name")).distinct().collect()]
+    at = entries.select("entry", "content", F.explode(F.sequence(F.lit(1), F.greatest(F.length("content"), F.lit(1)))).alias("at"))
+    grams = at.select("entry", F.explode(F.array(*(F.expr(f"substring(content, at, {n})") for n in sorted(lengths)))).alias("name")).distinct()
+    return grams.join(names, "name").groupBy("entry").agg(F.collect_list("name").alias("names"))
 
 
 def pair_relations(docs: DataFrame, id: str, text: str, rules: dict[str, tuple[str, float]]) -> DataFrame:
-    """(id, subject, predicate, object, confidence) of patterns with two groups, all inside the JVM."""
+    """(id, subject, predicate, object, confidence) of patterns with two groups, all inside the JVM.
+
+    A pattern goes over a text once; the two groups are taken from each match, which fits it from end to end.
+    """
+
     def matches(predicate: str, pattern: str, confidence: float) -> F.Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("subject"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("object"))
-        return F.transform(pairs, lambda x: F.struct(x["subject"].alias("subject"), F.lit(predicate).alias("predicate"), x["object"].alias("object"), F.lit(confidence).alias("confidence")))
+        def pair(x: F.Column) -> F.Column:
+            s, o = (F.regexp_extract(x, f"^(?:{pattern})$", n) for n in (1, 2))
+            return F.struct(s.alias("subject"), F.lit(predicate).alias("predicate"), o.alias("object"), F.lit(confidence).alias("confidence"))
+
+        # Equal matches say the same; few are left to be split.
+        return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), pair)
 
     found = [matches(k, p, c) for k, (p, c) in rules.items()]
     return docs.select(F.col(id).alias("id"), F.explode(F.concat(*found)).alias("x")).select("id", "x.*").where("subject <> object").distinct()

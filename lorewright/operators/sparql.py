@@ -180,7 +180,16 @@ def _match(triples: DataFrame, s: tuple, p: tuple, o: tuple) -> DataFrame:
 
 def _join(a: DataFrame, b: DataFrame) -> DataFrame:
     shared = [c for c in a.columns if c in b.columns]
-    return a.join(b, shared) if shared else a.crossJoin(b)
+    if shared:
+        return a.join(b, shared)
+    # Without a shared variable only a side of at most one row may be combined with the other.
+    for one, other in ((a, b), (b, a)):
+        few = one.limit(2).collect()
+        if len(few) < 2:
+            values = [F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(one.schema, few[0], strict=True)] if few else [F.lit(None).cast(f.dataType).alias(f.name) for f in one.schema]
+            out = other.select(*other.columns, *values)
+            return out if few else out.where(F.lit(False))
+    raise SparqlError("two parts of the query share no variable")
 
 
 def _apply(rows: DataFrame, f: tuple) -> DataFrame:

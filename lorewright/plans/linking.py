@@ -7,47 +7,51 @@ from pyspark.sql import functions as F
 from lorewright.operators import linking as L
 from lorewright.plans.registry import query, table
 
-# A person's name is the number in the supplier's name; a record's name holds number, style or place.
-_PEOPLE = "pe as (select s_name as person, lpad(cast(s_suppkey as varchar), 4, '0') as name, 'st' || (s_suppkey % 7) as style, case when s_suppkey % 2 = 0 then 'hao' || (s_suppkey % 5) end as hao, 'D' || (s_suppkey % 3) as dynasty, 'N' || s_nationkey as place, s_suppkey % 50 as block from supplier)"
-_RECORDS = """re as (select 'A' as source, 'A' || c_custkey as external_id, lpad(cast(c_custkey % 200 as varchar), 4, '0') || case when c_custkey % 3 = 0 then ' st' || (c_custkey % 7) else '' end || ' D' || (c_custkey % 3) || case when c_custkey % 4 = 0 then ' N' || c_nationkey else '' end as cand, c_custkey % 50 as block from customer
-  union all select 'B', 'B' || p_partkey, lpad(cast(p_partkey % 300 as varchar), 4, '0') || case when p_partkey % 5 = 0 then ' hao' || (p_partkey % 5) else '' end, p_partkey % 50 from part)"""
+# A person's name is the number in the supplier's name; a record's name holds a number and perhaps style, dynasty or place.
+_PEOPLE = """pe as (select s_name as person, lpad(cast(s_suppkey as varchar), 7, '0') as name, case when s_suppkey % 3 <> 0 then 'st' || (s_suppkey // 3) end as style, case when s_suppkey % 2 = 0 then 'hao' || (s_suppkey // 2) end as hao,
+  'D' || (s_suppkey % 5) as dynasty, 'N' || s_nationkey as place from supplier)"""
+_RECORDS = """re as (select 'A' as source, 'A' || c_custkey as external_id, lpad(cast(c_custkey // 10 as varchar), 7, '0') || case when c_custkey % 3 = 0 then ' st' || (c_custkey // 40) else '' end || ' D' || (c_custkey % 3) || case when c_custkey % 4 = 0 then ' N' || c_nationkey else '' end as cand from customer
+  union all select 'B', 'B' || p_partkey, lpad(cast(p_partkey // 15 as varchar), 7, '0') || case when p_partkey // 15 % 4 = 0 then '' else ' W' end || case when p_partkey % 5 = 0 then ' hao' || (p_partkey // 50) else '' end from part)"""
 _SCORED = f"""{_PEOPLE}, {_RECORDS}, sc as (select person, source, external_id, cand, least(10.0,
   case when cand = name then 4.0 when contains(cand, name) or contains(name, cand) then 2.0 else 0.0 end + case when contains(cand, style) then 4.0 else 0.0 end
   + case when hao is not null and contains(cand, hao) then 4.0 else 0.0 end
   + case when (case when contains(cand, 'D0') then 'D0' when contains(cand, 'D1') then 'D1' when contains(cand, 'D2') then 'D2' end) = dynasty then 1.0 else 0.0 end
-  + case when contains(cand, place) then 1.0 else 0.0 end) as score from pe join re on pe.block = re.block)"""
+  + case when contains(cand, place) then 1.0 else 0.0 end) as score
+  from pe join re on list_contains(string_split(cand, ' '), name) or list_contains(string_split(cand, ' '), style) or list_contains(string_split(cand, ' '), hao))"""
 
 
 def people(spark, sf_dir):
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_name").alias("person"), F.lpad(k.cast("string"), 4, "0").alias("name"), F.concat(F.lit("st"), k % 7).alias("style"), F.when(k % 2 == 0, F.concat(F.lit("hao"), k % 5)).alias("hao"),
-        F.concat(F.lit("D"), k % 3).alias("dynasty"), F.concat(F.lit("N"), "s_nationkey").alias("place"), (k % 50).alias("block"),
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("person"), F.lpad(k.cast("string"), 7, "0").alias("name"), F.when(k % 3 != 0, F.concat(F.lit("st"), F.expr("s_suppkey div 3"))).alias("style"), F.when(k % 2 == 0, F.concat(F.lit("hao"), F.expr("s_suppkey div 2"))).alias("hao"),
+        F.concat(F.lit("D"), k % 5).alias("dynasty"), F.concat(F.lit("N"), "s_nationkey").alias("place"),
     )
+    return rows.withColumn("keys", F.array("name", "style", "hao"))
 
 
 def records(spark, sf_dir):
     def opt(cond, text, value):
         return F.when(cond, F.concat(F.lit(text), value)).otherwise(F.lit(""))
 
+    def number(expr):
+        return F.lpad(F.expr(expr).cast("string"), 7, "0")
+
     c, p = F.col("c_custkey"), F.col("p_partkey")
-    a = table(spark, sf_dir, "customer").select(
-        F.lit("A").alias("source"), F.concat(F.lit("A"), c).alias("external_id"),
-        F.concat(F.lpad((c % 200).cast("string"), 4, "0"), opt(c % 3 == 0, " st", c % 7), F.lit(" D"), c % 3, opt(c % 4 == 0, " N", F.col("c_nationkey"))).alias("cand"), (c % 50).alias("block"),
-    )
-    b = table(spark, sf_dir, "part").select(F.lit("B").alias("source"), F.concat(F.lit("B"), p).alias("external_id"), F.concat(F.lpad((p % 300).cast("string"), 4, "0"), opt(p % 5 == 0, " hao", p % 5)).alias("cand"), (p % 50).alias("block"))
-    return a.unionByName(b)
+    name = F.concat(number("c_custkey div 10"), opt(c % 3 == 0, " st", F.expr("c_custkey div 40")), F.lit(" D"), c % 3, opt(c % 4 == 0, " N", F.col("c_nationkey")))
+    a = table(spark, sf_dir, "customer").select(F.lit("A").alias("source"), F.concat(F.lit("A"), c).alias("external_id"), name.alias("cand"))
+    b = table(spark, sf_dir, "part").select(F.lit("B").alias("source"), F.concat(F.lit("B"), p).alias("external_id"), F.concat(number("p_partkey div 15"), F.when(F.expr("p_partkey div 15 % 4") == 0, "").otherwise(" W"), opt(p % 5 == 0, " hao", F.expr("p_partkey div 50"))).alias("cand"))
+    return a.unionByName(b).withColumn("keys", F.split("cand", " "))
 
 
 def scored(spark, sf_dir):
-    rows = L.candidates(people(spark, sf_dir), records(spark, sf_dir), "block")
+    rows = L.candidates(people(spark, sf_dir), records(spark, sf_dir))
     s = L.score(*(F.col(x) for x in ("cand", "name", "style", "hao", "dynasty", "place")), dynasties=("D0", "D1", "D2"))
     return rows.withColumn("score", s)
 
 
 @query(f"with {_SCORED} select person, source, count(*) as n from sc group by all")
 def link_candidates(spark, sf_dir):
-    return L.candidates(people(spark, sf_dir), records(spark, sf_dir), "block").groupBy("person", "source").agg(F.count("*").alias("n"))
+    return L.candidates(people(spark, sf_dir), records(spark, sf_dir)).groupBy("person", "source").agg(F.count("*").alias("n"))
 
 
 @query(f"with {_SCORED} select person, external_id, cast(score as double) as score from sc")
@@ -81,7 +85,7 @@ def merged(spark, sf_dir):
         F.lit("A").alias("source"), F.concat(F.lit("A"), c).alias("external_id"), F.concat(F.lit("xs"), c).alias("ext_style"), F.concat(F.lit("xh"), c).alias("ext_hao"),
         F.when(c % 2 == 0, F.concat(F.lit("X"), "c_nationkey")).alias("ext_place"), (1500 + c % 300).alias("ext_year"),
     )
-    return L.merged(people(spark, sf_dir), L.disambiguate(scored(spark, sf_dir)), details)
+    return L.merged(people(spark, sf_dir).drop("keys"), L.disambiguate(scored(spark, sf_dir)), details)
 
 
 @query(f"with {_MERGED} select * from me")
@@ -110,8 +114,6 @@ def review_queue(spark, sf_dir):
     return merged(spark, sf_dir).where("needs_review").select("person", "confidence")
 
 
-
-
 @query(
     """with x as (select page_id as id, unnest(regexp_extract_all(html, '<li[^>]*>.*?<a[^>]*href=["'']([^"'']+)["''][^>]*>([^<]+)</a>.*?</li>', 1, 's')) as href,
   unnest(regexp_extract_all(html, '<li[^>]*>.*?<a[^>]*href=["'']([^"'']+)["''][^>]*>([^<]+)</a>.*?</li>', 2, 's')) as title,

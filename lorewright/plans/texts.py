@@ -125,19 +125,58 @@ def relation_rules(spark, sf_dir):
     return relations.pair_relations(table(spark, sf_dir, "documents"), "doc_id", "text", _RULES)
 
 
-_CORPUS = [
-    ("卷一", "何震", "千秋繼何震起。蘇宣，字爾宣。蘇宣得之文彭。文彭開吳門印派。梁千秋為婺源人。"),
-    ("卷一", "文彭", "陶碧從江高學印章。程原得文彭之傳。丁敬屬浙派。歸昌世師文彭。梁千秋仿何震。"),
-    ("卷二", "蘇宣", "自文彭開之，其後吳門皆宗之。嫡傳則獨有程原父子。何震受業於文彭。"),
-]
-_KNOWN = ["何震", "文彭", "蘇宣", "梁千秋", "千秋", "程原", "丁敬", "歸昌世", "江高", "陶碧"]
+# A sentence per rule, and what it says: predicate, object and confidence of the person {A}, and the inverse predicate.
+_SENTENCES = (
+    ("{A}繼{B}起。", "studentOf", "{B}", 0.93, "teacherOf"),
+    ("{A}，字abc", "styleName", "abc", 0.95, None),
+    ("{A}得之{B}。", "studentOf", "{B}", 0.91, "teacherOf"),
+    ("{A}從{B}討論。", "studentOf", "{B}", 0.90, "teacherOf"),
+    ("自{A}開之，其後浙派", "foundedSchool", "浙派", 0.90, None),
+    ("{A}開婁東派。", "foundedSchool", "婁東派", 0.88, None),
+    ("{A}為婺源人。", "nativePlace", "婺源人", 0.90, None),
+    ("{A}屬莆田派。", "belongsToSchool", "莆田派", 0.88, None),
+    ("{A}私淑{B}。", "studentOf", "{B}", 0.90, "teacherOf"),
+    ("{A}從{B}學印。", "studentOf", "{B}", 0.90, "teacherOf"),
+    ("{A}得{B}之傳。", "studentOf", "{B}", 0.90, "teacherOf"),
+    ("嫡傳則獨有{A}父子。", "studentOf", "{T}", 0.92, "teacherOf"),
+    ("{A}師{B}。", "studentOf", "{B}", 0.88, "teacherOf"),
+    ("{A}受業於{B}。", "studentOf", "{B}", 0.88, "teacherOf"),
+    ("{A}仿{B}。", "influencedBy", "{B}", 0.80, None),
+    ("{A}與{B}友善。", None, None, None, None),
+)
+_NAMES = ("何震", "文彭", "蘇宣", "程原", "丁敬", "江高", "陶碧", "趙璧", "吳邁", "胡正")
+_S = len(_SENTENCES)
 
 
-@query()
+def sentences(spark, sf_dir):
+    """One entry per customer: a sentence about two of the names."""
+    t = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    a = F.expr(f"(k div {_S}) % 10")
+    b = F.expr(f"((k div {_S}) % 10 + 1 + (k div {10 * _S}) % 9) % 10")
+    name = lambda i: F.element_at(F.array(*map(F.lit, _NAMES)), (i + 1).cast("int"))
+    text = F.element_at(F.array(*(F.lit(x[0]) for x in _SENTENCES)), (F.col("k") % _S + 1).cast("int"))
+    return t.select(F.col("c_mktsegment").alias("chapter"), F.col("c_name").alias("title"), F.replace(F.replace(text, F.lit("{A}"), name(a)), F.lit("{B}"), name(b)).alias("content"))
+
+
+def _says(x: int) -> str:
+    """SQL of the statements of a sentence: its own (x 0), or the inverse (x 1)."""
+    legs = []
+    for n, (text, predicate, object_, confidence, inverse) in enumerate(_SENTENCES):
+        if predicate and (not x or inverse):
+            o = {"{B}": "b", "{T}": "title"}.get(object_, f"'{object_}'")
+            s, p, o = (o, inverse, "a") if x else ("a", predicate, o)
+            legs.append(f"select chapter, title, {s} as subject, '{p}' as predicate, {o} as object, cast({confidence} as double) as confidence, replace(replace('{text}', '{{A}}', a), '{{B}}', b) as evidence from k where t = {n}")
+    return " union all ".join(legs)
+
+
+_SAID = f"""k as (select c_mktsegment as chapter, c_name as title, c_custkey % {_S} as t, list_extract({list(_NAMES)!r}, 1 + (c_custkey // {_S}) % 10) as a,
+  list_extract({list(_NAMES)!r}, 1 + ((c_custkey // {_S}) % 10 + 1 + (c_custkey // {10 * _S}) % 9) % 10) as b from customer), sa as ({_says(0)} union all {_says(1)})"""
+
+
+@query(f"with {_SAID} select * from sa")
 def relation_rules_cjk(spark, sf_dir):
-    """The rule table on sentences of its own language."""
-    corpus = spark.createDataFrame(_CORPUS, "chapter string, title string, content string")
-    return relations.extract_relations(corpus, _KNOWN)
+    """The rule table on sentences of its own language, one per rule and customer."""
+    return relations.extract_relations(sentences(spark, sf_dir), list(_NAMES))
 
 
 def _case(pairs: dict[str, str], column: str) -> str:
@@ -160,12 +199,12 @@ def object_kind_routing(spark, sf_dir):
     return p.select("id", "property", normalize.object_kind(F.col("property")).alias("kind"))
 
 
-_ALIASES = "al as (select c_name as alias, 'Supplier#' || lpad(cast(c_custkey % 97 as varchar), 9, '0') as standard, case c_custkey % 3 when 0 then 'PERSON' when 1 then 'PLACE' else 'SCHOOL' end as etype from customer where c_custkey % 2 = 0)"
+_ALIASES = "al as (select c_name as alias, 'Supplier#' || lpad(cast(c_custkey % 97 as varchar), 9, '0') as standard, case c_custkey % 3 when 0 then 'PERSON' when 1 then 'PLACE' else 'SCHOOL' end as etype from customer)"
 
 
 def aliases(spark, sf_dir):
     kind = F.when(F.col("c_custkey") % 3 == 0, "PERSON").when(F.col("c_custkey") % 3 == 1, "PLACE").otherwise("SCHOOL")
-    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("alias"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 97).cast("string"), 9, "0")).alias("standard"), kind.alias("etype"))
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("alias"), F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 97).cast("string"), 9, "0")).alias("standard"), kind.alias("etype"))
 
 
 @query(
@@ -186,10 +225,31 @@ def reverse_alias_lookup(spark, sf_dir):
     return normalize.all_aliases(aliases(spark, sf_dir))
 
 
-@query()
+# Names as they are written, and the school each goes by (null: none is known).
+_WRITTEN = {"浙派": "浙派", "吴门印派": "吳門印派", "吳門派": "吳門印派", "吴门派": "吳門印派", "娄东派": "婁東派", "婁東派": "婁東派", "漳海派": "漳海派", "無名派": None, "娄东": None}
+_SCHOOLS = f"sc as (select s_suppkey as id, list_extract({list(_WRITTEN)!r}, 1 + s_suppkey % {len(_WRITTEN)}) as name from supplier)"
+
+
+def _written(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.element_at(F.array(*map(F.lit, _WRITTEN)), (1 + F.col("s_suppkey") % len(_WRITTEN)).cast("int")).alias("name"))
+
+
+@query(f"with {_SCHOOLS}, k(name, school) as (values " + ", ".join(f"('{a}', '{b}')" for a, b in _WRITTEN.items() if b) + ") select id, sc.name, coalesce(school, sc.name) as school, school is not null as known from sc left join k on k.name = sc.name")
 def school_canonicalize(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in ("浙派", "吴门印派", "吳門派", "娄东派", "無名派")], "name string")
-    return names.select("name", normalize.school(F.col("name")).alias("school"), normalize.is_school(F.col("name")).alias("known"))
+    return _written(spark, sf_dir).select("id", "name", normalize.school(F.col("name")).alias("school"), normalize.is_school(F.col("name")).alias("known"))
+
+
+_PLACES = ("婺源何震", "錢塘丁敬", "蘇州", "徽州程原", "莆田", "文彭", "漳浦", "婁東", "秦漢", "福州浙人")
+
+
+@query(
+    f"with p as (select p_partkey as id, list_extract({list(_PLACES)!r}, 1 + p_partkey % {len(_PLACES)}) as name from part) select id, name, case "
+    + " ".join(f"when {' or '.join(f"strpos(name, '{w}') > 0" for w in words)} then '{k}'" for k, words in normalize.SCHOOL_KEYWORDS.items())
+    + " end as school from p"
+)
+def school_inference(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _PLACES)), (1 + F.col("p_partkey") % len(_PLACES)).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name")).withColumn("school", normalize.infer_school(F.col("name")))
 
 
 @query("select s_suppkey as id, case when s_suppkey % 5 = 0 then 'http://example.org/kg/unknown' else 'http://example.org/kg/person/' || replace(s_name, '#', '_') end as iri, case when s_suppkey % 5 = 0 then 'unknown' else replace(s_name, '#', '_') end as local from supplier")
@@ -205,20 +265,27 @@ def keep_first_per_group(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("line"))
 
 
-@query()
+_ALIAS = [("江高", "胡正", "PERSON"), ("陶", "陶碧", "PERSON"), ("文彭", "文三橋", "PLACE")]
+_MODE = "case predicate " + " ".join(f"when '{k}' then '{v}'" for k, v in normalize.SCHEMA.items()) + " else predicate end"
+
+
+@query(
+    f"""with {_SAID}, m as (select case subject when '江高' then '胡正' else subject end as subject, {_MODE} as predicate, object, confidence from sa),
+n as (select subject, predicate, case when object = '江高' and regexp_matches(predicate, '^(education|kinship|social):') then '胡正' else object end as object, confidence from m)
+select subject, predicate, object, max(confidence) as confidence from n where subject <> object group by all"""
+)
 def rule_mode_extraction(spark, sf_dir):
     """Rules, standard names, schema predicates and inverses together."""
-    corpus = spark.createDataFrame(_CORPUS, "chapter string, title string, content string")
-    names = spark.createDataFrame([("千秋", "梁千秋", "PERSON")], "alias string, standard string, etype string")
-    return build.rule_facts(corpus, _KNOWN, names).select("subject", "predicate", "object", "confidence")
+    names = spark.createDataFrame(_ALIAS, "alias string, standard string, etype string")
+    people = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    return build.rule_facts(sentences(spark, sf_dir), people, names).select("subject", "predicate", "object", "confidence")
 
 
 @query()
 def graph_build(spark, sf_dir):
-    """The whole chain from a corpus file to triples."""
-    text = "\n".join(f"{c}\n○{t}\n{x}" for c, t, x in _CORPUS)
-    files = spark.createDataFrame([("corpus", text)], "file string, text string")
-    people = spark.createDataFrame([(n,) for n in _KNOWN], "name string")
-    names = spark.createDataFrame([("千秋", "梁千秋", "PERSON")], "alias string, standard string, etype string")
+    """The whole chain from corpus files, one per customer, to triples."""
+    files = sentences(spark, sf_dir).select(F.col("title").alias("file"), F.concat(F.lit("卷一\n○"), "title", F.lit("\n"), "content").alias("text"))
+    people = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    names = spark.createDataFrame(_ALIAS, "alias string, standard string, etype string")
     known = spark.createDataFrame([("文彭", "social:friendOf", "何震", 0.95, "known", "", "")], "subject string, predicate string, object string, confidence double, method string, evidence string, chapter string")
     return build.build(build.preprocess(files), people, names, known)[1]

@@ -72,7 +72,8 @@ def test_rules(text, fact):
 
 
 def test_names_take_the_longest_first():
-    assert relations.names_in("梁千秋與千秋", sorted(NAMES, key=lambda n: (-len(n), n))) == ["梁千秋", "千秋"]
+    assert relations.Names(NAMES).found("梁千秋與千秋") == ["梁千秋", "千秋"]
+    assert relations.Names([]).found("梁千秋") == [] and relations.Names(["ab", "bc", "abc"]).found("abcbc") == ["abc", "bc"]
 
 
 def test_schools(spark):
@@ -266,3 +267,35 @@ def test_stored_tables_can_be_dropped(spark):
     with pytest.raises(Exception, match="(?i)not.exist|PATH|File"):
         df.collect()
     store._written = kept
+
+
+def test_tails_in_list_order_and_longest_first_agree():
+    """Of two ends that fit, the longer one comes first in the list, so both orders cut the same."""
+    for i, a in enumerate(questions.TAILS):
+        assert not any(b.endswith(a) for b in questions.TAILS[i + 1 :]), a
+
+
+def test_relations_with_a_large_dictionary(spark):
+    """A dictionary beyond the limit is joined by n-grams, with the same result."""
+    rows = [("c", "t", "千秋繼何震起。蘇宣得之文彭。"), ("c", "u", "梁千秋仿何震。"), ("c", "v", None), ("c", "w", "")]
+    entries = spark.createDataFrame(rows, "chapter string, title string, content string")
+    known = spark.createDataFrame([(n,) for n in [*NAMES, *NAMES, None, ""]], "name string")
+    small, large = (sorted(relations.extract_relations(entries, known, limit=n).collect()) for n in (10**6, 3))
+    assert small == large == sorted(relations.extract_relations(entries, list(NAMES)).collect()) and len(small) >= 5
+
+
+def test_products_of_query_parts(spark):
+    t = spark.createDataFrame([("a", "p", "1", "literal"), ("b", "p", "2", "literal"), ("c", "q", "3", "literal")], "s string, p string, o string, o_kind string")
+    x = "http://example.org/inkperson/"
+    got = sparql.select(t, f"PREFIX ex: <{x}> SELECT ?a ?v WHERE {{ ?a ex:p ?o . ?b ex:q ?v }}").collect()
+    assert sorted((r.a, r.v) for r in got) == [("a", "3"), ("b", "3")]
+    with pytest.raises(sparql.SparqlError):
+        sparql.select(t, f"PREFIX ex: <{x}> SELECT ?a ?b WHERE {{ ?a ex:p ?o . ?b ex:p ?v }}").collect()
+
+
+def test_generated_queries(spark):
+    t = spark.createDataFrame([("a", "personName", "n", "literal")], "s string, p string, o string, o_kind string")
+    rows, error = questions.generated_query(t, "好：PREFIX ex: <http://x/> SELECT ?o WHERE { ?s ex:personName ?o } 完")
+    assert [r.o for r in rows.collect()] == ["n"] and error == ""
+    assert questions.generated_query(t, None) == questions.generated_query(t, "nothing") == (None, "no query")
+    assert questions.generated_query(t, "SELECT ?s WHERE { DROP }")[0] is None
