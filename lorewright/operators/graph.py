@@ -172,23 +172,24 @@ def lineage(pairs: DataFrame, of: str, up: bool = True, most: int = 7) -> DataFr
     return levels(e, start, most).where("d > 0").select("id", F.col("d").alias("depth"))
 
 
-def generations(pairs: DataFrame, membership: DataFrame, most: int = 12) -> DataFrame:
-    """(id, grp, generation int): the most members of one's own group on any chain of teachers, up to *most* long.
+def generations(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """(id, grp, generation int): the most members of one's own group on any chain of teachers, however long.
 
     Teachers of other groups are passed through without being counted; a chain never repeats a node.
+    Of chains over the same nodes to the same one, one is followed.
     """
-    m = membership.select("id", "grp")
+    m = stored(membership.select("id", "grp"), "membership")
+    up = stored(pairs.select(F.col("student").alias("at"), "teacher").distinct().join(m.toDF("teacher", "tg"), "teacher", "left"), "teachers")
     front = m.select("id", "grp", F.col("id").alias("at"), F.lit(0).alias("g"), F.array("id").alias("path"))
     out = front.select("id", "grp", "g")
-    for k in range(most):
-        step = front.join(pairs.select(F.col("student").alias("at"), "teacher"), "at").where(~F.array_contains("path", F.col("teacher")))
-        step = step.join(m.toDF("teacher", "tg"), "teacher", "left")
-        front = step.select("id", "grp", F.col("teacher").alias("at"), (F.col("g") + F.when(F.col("tg") == F.col("grp"), 1).otherwise(0)).alias("g"), F.concat("path", F.array("teacher")).alias("path"))
-        if k % 2:
-            front = stored(front, "front")
-            if front.isEmpty():
-                break
-        out = out.unionByName(front.select("id", "grp", "g"))
+    while True:
+        step = front.join(up, "at").where(~F.array_contains("path", F.col("teacher")))
+        g = (F.col("g") + F.when(F.col("tg") == F.col("grp"), 1).otherwise(0)).alias("g")
+        step = step.select("id", "grp", F.col("teacher").alias("at"), g, F.array_sort(F.concat("path", F.array("teacher"))).alias("path"))
+        front = stored(step.distinct(), "front")
+        if front.isEmpty():
+            break
+        out = out.unionByName(front.groupBy("id", "grp").agg(F.max("g").alias("g")))
     return out.groupBy("id", "grp").agg(F.max("g").alias("generation"))
 
 
@@ -215,38 +216,68 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return e.select("a", "b", F.lit(1.0).alias("w")).unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1.0).alias("w")))
 
 
-def communities(edges: DataFrame, rounds: int = 8, resolution: float = 1.0) -> DataFrame:
-    """(id, grp): communities by local moves of greatest modularity gain, over two levels.
+#: Turns without a gain in modularity after which a level is done.
+PATIENCE = 3
+
 
-    In a round only nodes on one side of a hash may move, so two neighbours never swap. Groups are
-    named by their smallest node, so the result doesn't depend on partitions.
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, grp): communities by local moves of greatest modularity gain, level by level until modularity stops growing.
+
+    At a time only nodes on one side of a hash may move, so most neighbours don't swap, and what
+    lowers modularity is taken back. Groups are named by their smallest node, so the result doesn't depend on partitions.
     """
     g = stored(_undirected(edges), "graph")
     names = None
-    for _ in range(2):
-        found = _local_moves(g, rounds, resolution)
+    while True:
+        found, better = _local_moves(g, resolution)
         names = found if names is None else stored(names.toDF("id", "mid").join(found.toDF("mid", "grp"), "mid").select("id", "grp"), "names")
+        if not better:
+            break
         g = stored(g.join(found.toDF("a", "ga"), "a").join(found.toDF("b", "gb"), "b").groupBy(F.col("ga").alias("a"), F.col("gb").alias("b")).agg(F.sum("w").alias("w")), "graph")
     least = names.groupBy("grp").agg(F.min("id").alias("name"))
     return names.join(least, "grp").select("id", F.col("name").alias("grp"))
 
 
-def _local_moves(g: DataFrame, rounds: int, resolution: float) -> DataFrame:
-    """(id, grp) on a weighted graph (a, b, w) with both directions of each edge."""
+def _quality(g: DataFrame, k: DataFrame, now: DataFrame, two_m: float, resolution: float) -> float:
+    """The modularity of now(id, grp) on a weighted graph (a, b, w) with node weights k(id, k)."""
+    inside = g.join(now.toDF("a", "ga"), "a").join(now.toDF("b", "gb"), "b").where("ga = gb").agg(F.sum("w")).first()[0] or 0.0
+    squares = now.join(k, "id").groupBy("grp").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+    return inside / two_m - resolution * squares / two_m**2
+
+
+def _local_moves(g: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
+    """(id, grp) on a weighted graph (a, b, w) with both directions of each edge, and whether modularity grew.
+
+    The nodes move in turn, each time dealt anew to two sides, until PATIENCE turns in a row give no more.
+    """
     k = stored(g.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "weights")
     two_m = k.agg(F.sum("k")).first()[0] or 1.0
-    now = k.select("id", F.col("id").alias("grp"))
-    for r in range(rounds):
-        total = now.join(k, "id").groupBy("grp").agg(F.sum("k").alias("total"))
-        links = g.where("a <> b").join(now.toDF("b", "grp"), "b").groupBy(F.col("a").alias("id"), "grp").agg(F.sum("w").alias("w"))
-        own = now.join(k, "id").select("id", F.col("grp").alias("own"), "k")
-        options = links.unionByName(now.select("id", "grp", F.lit(0.0).alias("w"))).groupBy("id", "grp").agg(F.sum("w").alias("w"))
-        options = options.join(total, "grp").join(own, "id")
-        rest = F.col("total") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0.0)
-        options = options.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / two_m, 9))
-        stay = F.max(F.when(F.col("grp") == F.col("own"), F.col("gain"))).alias("stay")
-        best = options.groupBy("id", "own").agg(F.min(F.struct((-F.col("gain")).alias("g"), "grp")).alias("x"), stay)
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        moved = best.select("id", F.when(turn & (-F.col("x.g") > F.col("stay")), F.col("x.grp")).otherwise(F.col("own")).alias("grp"))
-        now = stored(moved, "moves")
-    return now
+    best = now = stored(k.select("id", F.col("id").alias("grp")), "moves")
+    first = value = _quality(g, k, now, two_m, resolution)
+    turn = idle = 0
+    while idle < PATIENCE:
+        now = best
+        for side in (0, 1):
+            now = stored(_moved(g, k, now, two_m, resolution, turn, side), "moves")
+        turn += 1
+        reached = _quality(g, k, now, two_m, resolution)
+        if reached > value + 1e-9:
+            best, value, idle = now, reached, 0
+        else:
+            idle += 1
+    return best, value > first
+
+
+def _moved(g: DataFrame, k: DataFrame, now: DataFrame, two_m: float, resolution: float, turn: int, side: int) -> DataFrame:
+    """now(id, grp) after the nodes that a turn deals to one side have moved to the group of their greatest gain."""
+    total = now.join(k, "id").groupBy("grp").agg(F.sum("k").alias("total"))
+    links = g.where("a <> b").join(now.toDF("b", "grp"), "b").groupBy(F.col("a").alias("id"), "grp").agg(F.sum("w").alias("w"))
+    own = now.join(k, "id").select("id", F.col("grp").alias("own"), "k")
+    options = links.unionByName(now.select("id", "grp", F.lit(0.0).alias("w"))).groupBy("id", "grp").agg(F.sum("w").alias("w"))
+    options = options.join(total, "grp").join(own, "id")
+    rest = F.col("total") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0.0)
+    options = options.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / two_m, 9))
+    stay = F.max(F.when(F.col("grp") == F.col("own"), F.col("gain"))).alias("stay")
+    best = options.groupBy("id", "own").agg(F.min(F.struct((-F.col("gain")).alias("g"), "grp")).alias("x"), stay)
+    mine = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(2)) == side
+    return best.select("id", F.when(mine & (-F.col("x.g") > F.col("stay")), F.col("x.grp")).otherwise(F.col("own")).alias("grp"))

@@ -138,7 +138,7 @@ def student_lineage(spark, sf_dir):
 
 @query(
     f"""with recursive {EDGES}, {_TEACHES}, {_MEMBER}, ch as (select id, grp, id as at, 0 as g, [id] as path from mb
-  union all select ch.id, ch.grp, te.teacher, ch.g + case when m.grp = ch.grp then 1 else 0 end, list_append(path, te.teacher) from ch join te on te.student = ch.at left join mb m on m.id = te.teacher where len(path) <= 12 and not list_contains(path, te.teacher))
+  union all select ch.id, ch.grp, te.teacher, ch.g + case when m.grp = ch.grp then 1 else 0 end, list_append(path, te.teacher) from ch join te on te.student = ch.at left join mb m on m.id = te.teacher where not list_contains(path, te.teacher))
 select id, grp, max(g) as generation from ch group by id, grp"""
 )
 def generation_map(spark, sf_dir):
@@ -189,7 +189,7 @@ def evolution_tree(spark, sf_dir):
 
 @query(
     f"""with recursive {EDGES}, {_TEACHES}, {_MEMBER}, ch as (select id, grp, id as at, 0 as g, [id] as path from mb
-  union all select ch.id, ch.grp, te.teacher, ch.g + case when m.grp = ch.grp then 1 else 0 end, list_append(path, te.teacher) from ch join te on te.student = ch.at left join mb m on m.id = te.teacher where len(path) <= 12 and not list_contains(path, te.teacher)),
+  union all select ch.id, ch.grp, te.teacher, ch.g + case when m.grp = ch.grp then 1 else 0 end, list_append(path, te.teacher) from ch join te on te.student = ch.at left join mb m on m.id = te.teacher where not list_contains(path, te.teacher)),
 ge as (select id, grp, max(g) as generation from ch group by id, grp) select grp, generation, string_agg(id, ',' order by id) as members from ge group by grp, generation"""
 )
 def generation_members(spark, sf_dir):

@@ -299,3 +299,18 @@ def test_generated_queries(spark):
     assert [r.o for r in rows.collect()] == ["n"] and error == ""
     assert questions.generated_query(t, None) == questions.generated_query(t, "nothing") == (None, "no query")
     assert questions.generated_query(t, "SELECT ?s WHERE { DROP }")[0] is None
+
+
+def test_long_chains_of_teachers(spark):
+    pairs = spark.createDataFrame([(f"p{i:02}", f"p{i + 1:02}") for i in range(30)] + [("p30", "p00"), ("x", "p05")], "teacher string, student string")
+    members = spark.createDataFrame([(f"p{i:02}", "a") for i in range(31)] + [("x", "b")], "id string, grp string")
+    got = {r.id: r.generation for r in graph.generations(pairs, members).collect()}
+    assert got == {**{f"p{i:02}": 30 for i in range(31)}, "x": 0}
+
+
+def test_communities_of_a_long_ring(spark):
+    """Moves go on until modularity stops growing: groups of a ring come near the best size."""
+    n = 60
+    e = spark.createDataFrame([(f"n{i:03}", f"n{(i + 1) % n:03}", "r") for i in range(n)], "src string, dst string, relation string")
+    found = graph.communities(e)
+    assert found.count() == n and graph.modularity(e, found) > 0.68
