@@ -117,8 +117,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "
         k = (1.0 - F.pow(draw(F.col("own")), 1.0 / weight)).alias("k")
         return rows.select(*(c for c in ["row"] if kept), "source", "size", k, F.coalesce("own", F.lit((1 << 63) - 1)).alias("id"))
 
-    p = plan(keyed(), **rule).withColumnRenamed("source", "mix_source")
     rows = keyed(F.struct(F.col(id).alias("doc_id"), *(F.col(c) for c in carry)).alias("row"))
+    # Narrow rows are written, so words are counted once; with carried columns, which can be texts, they are counted again.
+    rows = rows if carry else stored(rows, "keyed")
+    p = plan(keyed() if carry else rows.drop("row"), **rule).withColumnRenamed("source", "mix_source")
     # One row per source: broadcast, as long as there are few; the texts then stay where they are.
     j = rows.join(F.broadcast(p) if p.count() <= BROADCAST_SOURCES else p, F.col("source").eqNullSafe(F.col("mix_source")))
     at, edge = F.struct("k", "id", "size"), F.struct("edge_k", "edge_id", "edge_size")
