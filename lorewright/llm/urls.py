@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewright.store import stored
+
 RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -26,6 +28,8 @@ BITS_PER_RULE = 16
 LANES = 8
 #: A filter of at most so many blocks (of 32 bytes) is broadcast; a larger one is joined by block.
 BROADCAST_BLOCKS = 1 << 20
+#: URLs that at least HOT_ROWS and one in HOT_URLS rows with a rule have are broadcast with their verdicts: at most HOT_URLS of HOT_CHARS each.
+HOT_ROWS, HOT_URLS, HOT_CHARS = 100_000, 10_000, 2048
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -43,9 +47,10 @@ def path_of(url: F.Column) -> F.Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: F.Column) -> F.Column:
-    """The host and its parents at dots: a.b.c, b.c, c; none for an empty host."""
-    labels = F.split(host, r"\.")
+def suffixes(host: F.Column, most: int) -> F.Column:
+    """The host and its parents at dots, as far as they have at most *most* labels: a.b.c, b.c, c; none for an empty host."""
+    labels = F.slice(F.split(host, r"\."), -most, most) if most > 0 else F.array().cast("array<string>")
+    labels = F.when(F.size(F.split(host, r"\.")) > most, labels).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(parts)
@@ -75,19 +80,20 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", carry: tuple[str
     *rules* has verdict, host, path. Of two rules alike in host and path, block wins. A URL without
     a fitting rule is allowed, its rule null; so is every URL without rules. Null URLs, and those
     without ``://``, have an empty host and path. Repeated rows stay; an empty table gives an empty
-    result. Each distinct URL is judged once and the verdict joined back.
+    result. Each distinct URL is judged once and the verdict joined back; rows of URLs that very many
+    rows have stay where they are for that.
     """
-    rules = rules.groupBy(F.concat("host", "path").alias("rule"), F.length("path").alias("n")).agg(F.max("verdict").alias("rule_verdict"))
-    count, most = rules.agg(F.count("*"), F.sort_array(F.collect_set("n"))).first()
+    rules = rules.groupBy(F.concat("host", "path").alias("rule"), F.length("path").alias("n")).agg(F.max("verdict").alias("rule_verdict"), F.max(F.size(F.split("host", r"\."))).alias("labels"))
+    count, most, labels = rules.agg(F.count("*"), F.sort_array(F.collect_set("n")), F.max("labels")).first()
     base = pages.select(*(F.col(c) for c in carry), F.col(url).alias("url"))
     base = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if not count:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-    urls = base.where("host <> ''").select("url", "host", "path").distinct()
+    urls = base.where("host <> ''").groupBy("url", "host", "path").agg(F.count("*").alias("rows"))
     lengths = F.filter(F.array(*map(F.lit, most)), lambda n: n <= F.length("path"))
-    asked = urls.select("url", "path", F.explode(suffixes(F.col("host"))).alias("suffix"))
-    asked = asked.select("url", "suffix", "path", F.explode(lengths).alias("n"))
-    asked = asked.select("url", "n", F.concat("suffix", F.expr("substring(path, 1, n)")).alias("key"))
+    asked = urls.select("url", "path", "rows", F.explode(suffixes(F.col("host"), labels)).alias("suffix"))
+    asked = asked.select("url", "suffix", "path", "rows", F.explode(lengths).alias("n"))
+    asked = asked.select("url", "n", "rows", F.concat("suffix", F.expr("substring(path, 1, n)")).alias("key"))
 
     table, blocks = bloom(rules.select(F.col("rule").alias("key")), count)
     table = F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table
@@ -97,6 +103,14 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", carry: tuple[str
     for i in range(4):
         passed = passed.where(F.col("words")[i].bitwiseAND(want[i]) == want[i])
     fits = passed.join(rules, (F.col("key") == F.col("rule")) & (passed["n"] == rules["n"]))
-    verdicts = fits.groupBy("url").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
-    out = base.join(verdicts.toDF("judged", "best"), F.col("url") == F.col("judged"), "left")
+    verdicts = fits.groupBy("url").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule")).alias("best"), F.max("rows").alias("rows"))
+    verdicts = stored(verdicts.toDF("judged", "best", "rows"), "verdicts")
+    total = verdicts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = verdicts.where((F.col("rows") >= max(HOT_ROWS, total // HOT_URLS)) & (F.length("judged") <= HOT_CHARS))
+    same = F.col("url") == F.col("judged")
+    if hot.isEmpty():
+        out = base.join(verdicts, same, "left")
+    else:
+        rest = base.join(F.broadcast(hot.select("judged")), same, "left_anti")
+        out = base.join(F.broadcast(hot), same).unionByName(rest.join(verdicts, same, "left"))
     return out.select(*carry, "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit("allow")).alias("verdict"))

@@ -28,12 +28,13 @@ def brute_rule(url, rules):
     return host, path, best[1], best[2]
 
 
-@pytest.mark.parametrize("limit", [urls.BROADCAST_BLOCKS, 0])
-def test_urls(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "hot"), [(urls.BROADCAST_BLOCKS, urls.HOT_ROWS), (0, 2)])
+def test_urls(spark, monkeypatch, limit, hot):
     monkeypatch.setattr(urls, "BROADCAST_BLOCKS", limit)
+    monkeypatch.setattr(urls, "HOT_ROWS", hot)
     rules = [*urls.RULES, ("block", "a.b", "/x"), ("allow", "a.b", "/xy/z"), *(("block", f"h{i}.org", "/") for i in range(500))]
-    given = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com/en/", "https://x.net/es/1", "http://net/fr/", "http://a.b/xy/z1", "http://q.a.b/xy", "http://a.b", "ftp://h7.org/?", "http://xh7.org/", "http://u:p@com/", "a://b://com/", "http://É.com/"]
-    given += given[:6]
+    given = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com/en/", "https://x.net/es/1", "http://net/fr/", "http://a.b/xy/z1", "http://q.a.b/xy", "http://a.b", "ftp://h7.org/?", "http://xh7.org/", "http://u:p@com/", "a://b://com/", "http://É.com/", "http://" + "x." * 3000 + "net/es/", "http://a..com/", "http://.com./"]
+    given += given[:6] + ["http://example.com/en/"] * 5
     df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(given)], "page_id long, url string, host string, verdict string")
     out = urls.judge(df, urls.rule_table(spark, rules), carry=("page_id",)).collect()
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out} == {i: brute_rule(u, rules) for i, u in enumerate(given)}
