@@ -109,8 +109,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", carry: tuple[str
     hot = verdicts.where((F.col("rows") >= max(HOT_ROWS, total // HOT_URLS)) & (F.length("judged") <= HOT_CHARS))
     same = F.col("url") == F.col("judged")
     if hot.isEmpty():
-        out = base.join(verdicts, same, "left")
+        out = base.join(verdicts.hint("merge"), same, "left")
     else:
         rest = base.join(F.broadcast(hot.select("judged")), same, "left_anti")
-        out = base.join(F.broadcast(hot), same).unionByName(rest.join(verdicts, same, "left"))
+        out = base.join(F.broadcast(hot), same).unionByName(rest.join(verdicts.hint("merge"), same, "left"))
     return out.select(*carry, "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit("allow")).alias("verdict"))
