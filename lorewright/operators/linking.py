@@ -10,6 +10,12 @@ EXACT, WITHIN, STYLE, HAO, PERIOD, DYNASTY, PLACE, CAP = 4.0, 2.0, 4.0, 4.0, 2.0
 SURE, LEAST, THRESHOLD = 6.0, 3.0, 0.85
 # Dynasties in the order in which they are looked for.
 DYNASTIES = ("明", "清", "元", "宋", "唐", "漢")
+# Words of a dynasty's periods.
+PERIODS = {
+    "明": ["明代", "明初", "明中期", "明末", "明末清初", "嘉靖", "萬曆", "天啟", "崇禎"],
+    "清": ["清代", "清初", "清中期", "清晚期", "康熙", "雍正", "乾隆", "光緒", "道光", "咸豐", "同治", "宣統"],
+    "元": ["元代", "元末"],
+}
 
 
 def _held(part: Column, whole: Column) -> Column:
@@ -18,12 +24,12 @@ def _held(part: Column, whole: Column) -> Column:
     return F.coalesce((part != "") & F.contains(whole, p), F.lit(False))
 
 
-def score(candidate: Column, name: Column, style: Column, hao: Column, dynasty: Column, place: Column, periods: dict[str, list[str]] | None = None, dynasties: tuple[str, ...] = DYNASTIES) -> Column:
+def score(candidate: Column, name: Column, style: Column, hao: Column, dynasty: Column, place: Column, periods: dict[str, list[str]] = PERIODS, dynasties: tuple[str, ...] = DYNASTIES) -> Column:
     """The weighted agreement of a candidate's name with a person's attributes, at most CAP."""
     c, t = F.trim(candidate), F.trim(name)
     total = F.when(c == t, EXACT).when(F.contains(c, t) | F.contains(t, c), WITHIN).otherwise(0.0)
     total = total + F.when(_held(style, c), STYLE).otherwise(0.0) + F.when(_held(hao, c), HAO).otherwise(0.0)
-    for d, words in (periods or {}).items():
+    for d, words in periods.items():
         hit = F.lit(False)
         for w in words:
             hit = hit | F.contains(c, F.lit(w))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorewright.functions.text import json_span
 
 ENTITY_TYPES = ("PERSON", "PLACE", "PERIOD", "STYLE", "SCHOOL")
-# A model sees so many characters, and what it doesn't say counts so much.
+# A model sees so many characters of a passage, and what it doesn't say counts so much.
 MOST_CHARS, DEFAULT_CONFIDENCE = 1500, 0.85
 _ENTITIES = "struct<entities:array<struct<name:string,type:string,confidence:double,evidence:string>>>"
 _RELATIONS = "struct<relations:array<struct<subject:string,predicate:string,object:string,confidence:double,evidence:string>>>"
@@ -39,6 +39,11 @@ def ask(rows: DataFrame, prompt: Column, model: Callable[[list[str]], list[str |
     return out.toDF(*kept, name)
 
 
+def seen(text: Column) -> Column:
+    """What a model is shown of a passage; the rules read all of it."""
+    return F.substring(text, 1, MOST_CHARS)
+
+
 def entities(answers: DataFrame, id: str, answer: str, types: tuple[str, ...] = ENTITY_TYPES) -> DataFrame:
     """(id, name, etype, confidence, evidence): the first of each (name, type) of an answer that can be read."""
     items = F.from_json(json_span(F.col(answer)), _ENTITIES)["entities"]

@@ -74,6 +74,28 @@ def _by_ngrams(rows: DataFrame, d: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(step.alias("m")).select("id", F.explode("m").alias("m")).select("id", "m.*")
 
 
+# Words of periods, in the order of the search, and of styles; what is found counts PATTERN_CONFIDENCE.
+PERIODS = (
+    "嘉靖", "萬曆", "天啟", "崇禎", "康熙", "雍正", "乾隆", "光緒", "咸豐", "道光", "宣統", "順治", "同治", "明初", "明末", "清初", "明中期", "明末清初",
+    "明代", "清代", "近代", "庚午", "辛未", "壬子", "丁亥", "戊申", "甲申", "辛亥", "丙子", "丁丑", "乙酉", "癸丑",
+)
+STYLES = (
+    "元朱文", "白文", "朱文", "朱砂文", "秦漢印風", "文人篆刻", "猛利", "和平", "離奇", "錯落", "婉秀", "纖弱", "蒼勁", "質樸",
+    "剛健", "婀娜", "古拙", "秀逸", "雄渾", "清新", "典雅", "洗鍊",
+)
+PATTERN_CONFIDENCE = 0.90
+
+
+def periods_and_styles(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, etype, name, n long, confidence): periods, each by itself so that they may overlap, and styles, which don't.
+
+    Null texts have none.
+    """
+    patterns = {f"PERIOD {p}": p for p in PERIODS} | {"STYLE": "|".join(STYLES)}
+    found = pattern_entities(docs, id, text, patterns)
+    return found.select("id", F.substring_index("label", " ", 1).alias("etype"), F.col("word").alias("name"), "n", F.lit(PATTERN_CONFIDENCE).alias("confidence"))
+
+
 def pattern_entities(docs: DataFrame, id: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """(id, label, word, n long): matches of each pattern by itself, so different ones may overlap."""
     found = F.array(*(F.struct(F.lit(k).alias("label"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("words")) for k, p in patterns.items()))

@@ -59,6 +59,24 @@ def link_score(spark, sf_dir):
     return scored(spark, sf_dir).select("person", "external_id", "score")
 
 
+_PERIOD_WORDS = ("明末清初", "康熙年", "元末", "萬曆", "清", "宋", "無", "明代元末", "乾隆御覽")
+_PERIOD_CASE = " ".join(f"when dynasty = '{d}' and ({' or '.join(f"contains(cand, '{w}')" for w in words)}) then 2.0" for d, words in L.PERIODS.items())
+
+
+@query(
+    f"""with x as (select c_custkey as id, list_extract({list(_PERIOD_WORDS)!r}, 1 + c_custkey % {len(_PERIOD_WORDS)}) as cand, list_extract(['明', '清', '元', '宋'], 1 + c_custkey // 3 % 4) as dynasty from customer)
+select id, cast(case {_PERIOD_CASE} else 0.0 end + case when (case """
+    + " ".join(f"when contains(cand, '{d}') then '{d}'" for d in L.DYNASTIES)
+    + """ end) = dynasty then 1.0 else 0.0 end as double) as score from x"""
+)
+def link_score_periods(spark, sf_dir):
+    """What periods and dynasties add to a score."""
+    c, none = F.col("c_custkey"), F.lit(None).cast("string")
+    cand = F.element_at(F.array(*map(F.lit, _PERIOD_WORDS)), (1 + c % len(_PERIOD_WORDS)).cast("int"))
+    dynasty = F.element_at(F.array(*map(F.lit, ("明", "清", "元", "宋"))), F.expr("cast(1 + c_custkey div 3 % 4 as int)"))
+    return table(spark, sf_dir, "customer").select(c.alias("id"), L.score(cand, F.lit("某"), none, none, dynasty, none).alias("score"))
+
+
 @query(f"with {_SCORED} select person, source, external_id, rank from (select *, cast(row_number() over (partition by person, source order by score desc, source, external_id) as integer) as rank from sc) where rank <= 3")
 def link_ranking(spark, sf_dir):
     return L.ranked(scored(spark, sf_dir)).where("rank_in_source <= 3").select("person", "source", "external_id", F.col("rank_in_source").alias("rank"))

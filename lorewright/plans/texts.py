@@ -111,6 +111,21 @@ def regex_style_ner(spark, sf_dir):
     return ner.pattern_entities(table(spark, sf_dir, "documents"), "doc_id", "text", _STYLES)
 
 
+_DATED = ("明末清初白文", "康熙庚午，元朱文蒼勁", "乾隆乾隆朱砂文", "近代古拙古拙", "無", None, "清代秦漢印風朱文白文")
+_DATED_SQL = f"select c_custkey as id, list_extract([{', '.join('null' if x is None else f"'{x}'" for x in _DATED)}], 1 + c_custkey % {len(_DATED)}) as t from customer"
+
+
+@query(
+    f"with x as ({_DATED_SQL}), p as (select id, unnest({list(ner.PERIODS)!r}) as name, t from x), s as (select id, unnest(regexp_extract_all(t, '{'|'.join(ner.STYLES)}')) as name from x) "
+    "select id, 'PERIOD' as etype, name, cast((length(t) - length(replace(t, name, ''))) / length(name) as bigint) as n, cast(0.9 as double) as confidence from p where contains(t, name) "
+    "union all select id, 'STYLE', name, count(*), cast(0.9 as double) from s group by id, name"
+)
+def period_style_ner(spark, sf_dir):
+    """Periods and styles in texts of the language, one text per customer."""
+    text = F.element_at(F.array(*map(F.lit, _DATED)), (1 + F.col("c_custkey") % len(_DATED)).cast("int"))
+    return ner.periods_and_styles(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.alias("t")), "k", "t")
+
+
 _RULES = {"partOf": ("([a-z]+) of ([a-z]+)", 0.93), "comesFrom": ("([a-z]+) from ([a-z]+)", 0.9), "joinedWith": ("([a-z]+) and ([a-z]+)", 0.88)}
 
 
