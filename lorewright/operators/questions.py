@@ -7,7 +7,6 @@ answered by one plan; each template is a join with the triples.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,34 +218,47 @@ def route(kind: Column, entities: Column) -> Column:
 
 
 def results(asked: DataFrame, triples: DataFrame) -> DataFrame:
-    """(qid, a, b, key_a, key_b): result rows of asked(qid, name, template); key_b null for one column."""
-    t = triples
-    # Written once: every template reads it, and the long cascades aren't copied into each filter.
-    asked = stored(asked, "asked")
-    named = t.where("p = 'personName'").select(F.col("s").alias("k"), F.col("o").alias("label"))
-    q = asked.join(named.toDF("person", "label"), F.col("name") == F.col("label")).select("qid", "template", "person")
-    none = F.lit(None).cast("string")
-    table = F.create_map(*(F.lit(x) for kv in _PREDICATE.items() for x in kv))
-
-    def two(template: str, out: str, back: str, column: str) -> DataFrame:
-        mine = q.where(F.col("template") == template)
-        a = mine.join(t.where(F.col("p") == out), F.col("person") == F.col("s")).select("qid", F.col("o").alias("k"), F.lit(out).alias("b"))
-        b = mine.join(t.where(F.col("p") == back), F.col("person") == F.col("o")).select("qid", F.col("s").alias("k"), F.lit(back).alias("b"))
-        return a.unionByName(b).join(named, "k").select("qid", F.col("label").alias("a"), "b", F.lit(column).alias("key_a"), F.lit("rel").alias("key_b"))
-
-    attr = q.withColumn("want", F.try_element_at(table, F.col("template"))).where("want is not null")
-    attr = attr.join(t, (F.col("person") == F.col("s")) & (F.col("want") == F.col("p"))).select("qid", F.col("o").alias("a"), none.alias("b"), F.col("p").alias("key_a"), none.alias("key_b"))
-    general = q.where("template = 'general'").join(t.where(~F.col("p").isin(*NOT_GENERAL)), F.col("person") == F.col("s")).select("qid", F.col("p").alias("a"), F.col("o").alias("b"), F.lit("p").alias("key_a"), F.lit("o").alias("key_b"))
-    school_names = t.where("p = 'schoolName'").select(F.col("s").alias("k"), F.col("o").alias("label"))
-    school = q.where("template = 'ask_school'").join(t.where("p in ('belongsToSchool', 'hasFounder')"), F.col("person") == F.col("s")).select("qid", F.col("o").alias("k")).join(school_names, "k")
-    school = school.select("qid", F.col("label").alias("a"), none.alias("b"), F.lit("schoolName").alias("key_a"), none.alias("key_b")).distinct()
-    related = q.where("template = 'ask_relation'")
-    edges = t.where(F.col("p").isin(*RELATIONS))
-    out = related.join(edges, F.col("person") == F.col("s")).select("qid", F.col("p").alias("r"), F.col("o").alias("k"))
-    out = out.unionByName(related.join(edges, F.col("person") == F.col("o")).select("qid", F.col("p").alias("r"), F.col("s").alias("k"))).join(named, "k")
-    out = out.select("qid", F.col("r").alias("a"), F.col("label").alias("b"), F.lit("rel").alias("key_a"), F.lit("targetName").alias("key_b"))
-    parts = [attr, general, school, out, two("ask_teacher", "hasTeacher", "hasStudent", "teacherName"), two("ask_student", "hasStudent", "hasTeacher", "studentName")]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """(qid, a, b, key_a, key_b): result rows of asked(qid, name, template); key_b null for one column.
+
+    All templates are answered by one join: a question's person meets the statements that it stands
+    in, as subject or (of relations) as object, and the template says which of them count.
+    """
+    p, outward, template = F.col("p"), F.col("outward"), F.col("template")
+    names = triples.where("p in ('personName', 'schoolName')").select(F.col("s").alias("k"), p.alias("kind"), F.col("o").alias("label"))
+    names = stored(names, "names")
+    persons, schools = (names.where(F.col("kind") == kind).select("k", "label") for kind in ("personName", "schoolName"))
+    q = asked.join(persons.toDF("person", "label"), F.col("name") == F.col("label")).select("qid", "template", "person")
+
+    end = lambda person, other, out: F.struct(F.col(person).alias("person"), F.col(other).alias("k"), F.lit(out).alias("outward"))
+    relation = p.isin(*RELATIONS)
+    ends = F.array_compact(F.array(end("s", "o", True), F.when(relation, end("o", "s", False))))
+    want = F.try_element_at(F.create_map(*(F.lit(x) for kv in _PREDICATE.items() for x in kv)), template)
+    either = lambda out, back: p == F.when(outward, out).otherwise(back)
+    attribute = want.isNotNull()
+    counts = (
+        F.when(attribute, outward & (p == want))
+        .when(template == "general", outward & ~p.isin(*NOT_GENERAL))
+        .when(template == "ask_school", outward & p.isin("belongsToSchool", "hasFounder"))
+        .when(template == "ask_relation", relation)
+        .when(template == "ask_teacher", either("hasTeacher", "hasStudent"))
+        .when(template == "ask_student", either("hasStudent", "hasTeacher"))
+    )
+    hits = triples.select("p", F.explode(ends).alias("x")).select("p", "x.*").join(q, "person").where(counts)
+    hits = stored(hits.select("qid", "template", "p", "k"), "hits")
+
+    none, general = F.lit(None).cast("string"), template == "general"
+    plain = hits.where(attribute | general).select(
+        "qid", F.when(general, p).otherwise(F.col("k")).alias("a"), F.when(general, F.col("k")).alias("b"),
+        F.when(general, "p").otherwise(p).alias("key_a"), F.when(general, "o").alias("key_b"),
+    )
+    school = hits.where(template == "ask_school").join(schools, "k").select("qid", F.col("label").alias("a"), none.alias("b"), F.lit("schoolName").alias("key_a"), none.alias("key_b")).distinct()
+    related = template == "ask_relation"
+    person = hits.where(template.isin("ask_relation", "ask_teacher", "ask_student")).join(persons, "k").select(
+        "qid", F.when(related, p).otherwise(F.col("label")).alias("a"), F.when(related, F.col("label")).otherwise(p).alias("b"),
+        F.when(related, "rel").when(template == "ask_teacher", "teacherName").otherwise("studentName").alias("key_a"),
+        F.when(related, "targetName").otherwise("rel").alias("key_b"),
+    )
+    return plain.unionByName(school).unionByName(person)
 
 
 def _label(key: Column, labels: dict[str, str]) -> Column:
