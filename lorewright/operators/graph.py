@@ -6,10 +6,13 @@ code sees counts only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.store import stored
+from lorewright.store import drop_stored, n_stored, stored
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -95,11 +98,35 @@ def levels(edges: DataFrame, starts: DataFrame, limit: int | None = None) -> Dat
     return stored(seen, "levels")
 
 
+#: Rows, pairs of a start and a node it reaches, that searches from all nodes may write at once.
+SEARCH_ROWS = 1 << 30
+
+
+def _from_all(ids: DataFrame, n: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search(starts) of blocks of the *n* ids, one below the other.
+
+    The ids are dealt by hash to as many blocks as SEARCH_ROWS asks for. What a block's search wrote
+    goes when its rows are written, so disk holds one block's pairs, however many nodes there are.
+    """
+    blocks = max(1, -(-n * n // SEARCH_ROWS))
+    parts = []
+    for k in range(blocks):
+        first = n_stored()
+        parts.append(stored(search(ids.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)), "block"))
+        drop_stored(ids.sparkSession, first, keep=parts[-1])
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def closeness(edges: DataFrame) -> DataFrame:
-    """(id, closeness): by incoming distances, scaled by the share of nodes that reach the node."""
-    ids = node_ids(edges)
+    """(id, closeness): by incoming distances, scaled by the share of nodes that reach the node.
+
+    Exact: a search from every node, block by block.
+    """
+    e = stored(simple(edges), "edges")
+    ids = stored(node_ids(e), "nodes")
     n = ids.count()
-    rows = levels(edges, ids).groupBy("id").agg(F.count("*").alias("k"), F.sum("d").alias("total"))
+    rows = _from_all(ids, n, lambda starts: levels(e, starts).groupBy("id").agg(F.count("*").alias("k"), F.sum("d").alias("total")))
+    rows = rows.groupBy("id").agg(F.sum("k").alias("k"), F.sum("total").alias("total"))
     value = F.when(F.col("total") > 0, (F.col("k") - 1) / F.col("total") * (F.col("k") - 1) / (n - 1)).otherwise(0.0)
     return rows.select("id", value.alias("closeness"))
 
@@ -108,14 +135,22 @@ def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness): exact, directed, normalised by (n - 1)(n - 2).
 
     Dependencies are summed backwards, level by level, over the edges of shortest-path trees:
-    work is the number of (start, edge) pairs, never of triples of nodes.
+    work is the number of (start, edge) pairs, never of triples of nodes. It is done block by block of starts.
     """
-    e = simple(edges).select("src", "dst")
-    ids = node_ids(e)
+    e = stored(simple(edges), "edges")
+    ids = stored(node_ids(e), "nodes")
     n = ids.count()
-    l = levels(edges, ids)
+    rows = _from_all(ids, n, lambda starts: _dependencies(e, starts)).groupBy("id").agg(F.sum("b").alias("b"))
+    scale = (n - 1) * (n - 2)
+    return ids.join(rows, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) / (scale if scale > 0 else 1)).alias("betweenness"))
+
+
+def _dependencies(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, b): how much the shortest paths from *starts* depend on each node between their ends."""
+    l = levels(e, starts)
     most = l.agg(F.max("d")).first()[0] or 0
-    down = l.select("start", F.col("id").alias("src"), F.col("d").alias("ds"), F.col("paths").alias("ps")).join(e, "src").join(l.select("start", F.col("id").alias("dst"), F.col("d").alias("dd"), F.col("paths").alias("pd")), ["start", "dst"]).where("dd = ds + 1")
+    down = l.select("start", F.col("id").alias("src"), F.col("d").alias("ds"), F.col("paths").alias("ps")).join(e.select("src", "dst"), "src")
+    down = down.join(l.select("start", F.col("id").alias("dst"), F.col("d").alias("dd"), F.col("paths").alias("pd")), ["start", "dst"]).where("dd = ds + 1")
     down = stored(down, "down")
     owed = l.where(f"d = {most}").select("start", "id", F.lit(0.0).alias("owed"))
     total = owed
@@ -123,9 +158,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
         part = down.where(f"ds = {d}").join(owed.withColumnRenamed("id", "dst"), ["start", "dst"]).groupBy("start", F.col("src").alias("id")).agg(F.sum(F.col("ps") / F.col("pd") * (1 + F.col("owed"))).alias("owed"))
         owed = stored(l.where(f"d = {d}").select("start", "id").join(part, ["start", "id"], "left").na.fill(0.0, ["owed"]), "owed")
         total = total.unionByName(owed)
-    rows = total.where("start <> id").groupBy("id").agg(F.sum("owed").alias("b"))
-    scale = (n - 1) * (n - 2)
-    return ids.join(rows, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) / (scale if scale > 0 else 1)).alias("betweenness"))
+    return total.where("start <> id").groupBy("id").agg(F.sum("owed").alias("b"))
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, limit: int = 5, directed: bool = True) -> DataFrame:

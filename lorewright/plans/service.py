@@ -55,12 +55,21 @@ def rdf_evidence(spark, sf_dir):
     return rdf.evidence(f).where("p <> 'confidence'").drop("o_dtype")
 
 
-@query()
+def _values(rows):
+    return ", ".join("(" + ", ".join("cast(null as varchar)" if x is None else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+@query(
+    f"""with a as (select unnest(names) as name, up from (values {', '.join(f"('{c}', {list(names)!r})" for c, names in rdf.ATTRIBUTES.items())}) v(up, names)), t as (select * from (values {_values(rdf.TYPED.items())}) v(name, dtype))
+select * from (values {_values((c, 'class', up, None) for c, up in rdf.CLASSES.items())}) v(name, kind, domain, "range")
+union all select a.name, 'datatype', up, coalesce(dtype, 'string') from a left join t on t.name = a.name
+union all select unnest(names), 'object', d, g from (values {', '.join(f"('{d}', '{g}', {list(names)!r})" for (d, g), names in rdf.RELATIONS.items())}) v(d, g, names)"""
+)
 def ontology_tables(spark, sf_dir):
     return rdf.ontology(spark)
 
 
-@query()
+@query(f"with i as (select * from (values {_values(rdf.INVERSE)}) v(p, inv_p)) select p, inv_p from i union all select inv_p, p from i")
 def inverse_properties(spark, sf_dir):
     return rdf.inverses(spark)
 

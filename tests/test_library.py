@@ -151,6 +151,18 @@ def test_centralities_by_hand(spark):
     assert sum(ranks.values()) == pytest.approx(1) and max(ranks, key=ranks.get) == "e"
 
 
+def test_centralities_by_blocks_of_starts(spark, monkeypatch):
+    pairs = [(f"n{i}", f"n{(i * k + 1) % 17}") for i in range(17) for k in (1, 3, 5)] + [("n3", "x"), ("x", "n3"), ("y", "y")]
+    e = edges(spark, pairs)
+    whole = [{r.id: r[1] for r in f(e).collect()} for f in (graph.closeness, graph.betweenness)]
+    monkeypatch.setattr(graph, "SEARCH_ROWS", 64)
+    blocks = [{r.id: r[1] for r in f(e).collect()} for f in (graph.closeness, graph.betweenness)]
+    for a, b in zip(whole, blocks, strict=True):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    none = edges(spark, [("a", "b")]).limit(0)
+    assert graph.closeness(none).count() == graph.betweenness(none).count() == 0
+
+
 def test_communities(spark):
     blocks = [[f"{c}{i}" for i in range(6)] for c in "abc"]
     pairs = [(x, y) for b in blocks for i, x in enumerate(b) for y in b[:i]] + [("a0", "b0"), ("b1", "c1")]
