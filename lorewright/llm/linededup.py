@@ -18,7 +18,7 @@ found too. Hashes of GRAM words are winnowed so that any MIN_WORDS words hold a
 chosen one stands twice, every window of MIN_WORDS words around it is held against the others. To
 keep that small, a match is first extended from each chosen one over the next: what stands in such a
 span that stood earlier goes at once, and only windows that reach out of such spans, to either side,
-are left to compare.
+are left to compare. The first place of a window never lies in a span that stood earlier, so it is among them.
 """
 
 from __future__ import annotations
@@ -153,18 +153,23 @@ def _slid(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return x
 
 
-def grams(words: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """A hash of every *width* successive words."""
-    c, n = constants(width, seed), len(words) - width + 1
-    out = np.zeros(max(n, 0), U)
-    for j in range(width if n > 0 else 0):
-        out += words[j : j + n] * c[j]
-    return mix(out)
+def _sums(words: np.ndarray) -> np.ndarray:
+    """Sums of the words' hashes, each times a power by its place, before every place and at the end."""
+    return np.concatenate((np.zeros(1, U), np.cumsum(words * _power(_P, len(words))[: len(words)], dtype=U)))
 
 
-def chosen(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: np.ndarray, width: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """A hash of every *width* successive words, from differences of sums, whatever the width."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    sums = _sums(words) if sums is None else sums
+    return mix((sums[width:] - sums[:-width]) * _power(_PINV, n)[:n])
+
+
+def chosen(words: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are smallest in some MIN_WORDS words of one row; rows begin at *at*."""
-    g, span = grams(words, GRAM, 61), MIN_WORDS - GRAM + 1
+    g, span = grams(words, GRAM, sums), MIN_WORDS - GRAM + 1
     if len(words) < MIN_WORDS:
         return np.zeros(0, np.int64), g[:0]
     low = _slid(g, span, np.minimum)
@@ -175,7 +180,7 @@ def chosen(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return use, g[use]
 
 
-def _spans(words: np.ndarray, at: np.ndarray, use: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(sums: np.ndarray, at: np.ndarray, use: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and content hash of the span of every chosen place.
 
     Windows that begin before the next chosen place lie in the span; a row's first span begins with
@@ -190,8 +195,7 @@ def _spans(words: np.ndarray, at: np.ndarray, use: np.ndarray, row: np.ndarray)
     inside = (k < len(use)) & (row[np.minimum(k, len(use) - 1)] == row)
     z = np.where(inside, use[np.minimum(k, len(use) - 1)] + GRAM, end)
     a = np.where(first, at[row], use)
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(words * _power(_P, len(words))[: len(words)], dtype=U)))
-    return a, z, mix((sums[z] - sums[a]) * _power(_PINV, len(words) + 1)[a] + (z - a).astype(U))
+    return a, z, mix((sums[z] - sums[a]) * _power(_PINV, len(sums))[a] + (z - a).astype(U))
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,53 +205,68 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, bodies = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         for first, last in slices(offsets):
             words, at = word_hashes(offsets[first : last + 1], raw, exact=True)
-            use, g = chosen(words, at)
+            sums = _sums(words)
+            use, g = chosen(words, at, sums)
             if len(use):
                 row = np.searchsorted(at, use, "right") - 1
-                a, z, content = _spans(words, at, use, row)
+                a, z, content = _spans(sums, at, use, row)
                 places = [pa.array((x - at[row]).astype(np.int32)) for x in (use, at[row + 1], a, z)]
                 span = pa.array(content.view(np.int64), mask=z - a < MIN_WORDS)
                 yield pa.record_batch([pa.array(docs[first + row]), pa.array(bodies[first + row]), places[0], _signed(g), *places[1:], span], names=names)
 
 
+#: How many windows of MIN_WORDS words hold a gram; the first begins so many words less one before it.
+HOLD = MIN_WORDS - GRAM + 1
+
+
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, body, spots, spans): the spots in a window of MIN_WORDS words that lies in none of the spans."""
+    """(doc, body, spots, spans): the spots in a window of MIN_WORDS words that lies in none of the spans.
+
+    Bit k of windows stands for the k-th of the HOLD windows that hold the spot's gram: whether it is in the row and in no span.
+    """
     for b in batches:
         spots, spans = b.column(2), b.column(3)
-        s, z = spots.offsets.to_numpy(), spans.offsets.to_numpy()
-        spot, print_, words = (spots.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        first, last = (spans.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        keep = np.ones(len(spot), bool)
-        for i in range(b.num_rows):
-            if z[i] < z[i + 1] and s[i] < s[i + 1]:
-                n = int(words[s[i]]) - MIN_WORDS + 1
-                inside = np.zeros(n + 1, np.int64)
-                np.add.at(inside, first[z[i] : z[i + 1]], 1)
-                np.add.at(inside, last[z[i] : z[i + 1]] - MIN_WORDS + 1, -1)
-                out = np.concatenate(([0], np.cumsum(np.cumsum(inside[:-1]) == 0)))
-                p = spot[s[i] : s[i + 1]]
-                keep[s[i] : s[i + 1]] = out[np.minimum(p + 1, n)] > out[np.maximum(p + GRAM - MIN_WORDS, 0)]
-        row = np.repeat(np.arange(b.num_rows), np.diff(s))
-        use = np.zeros(len(spot), bool)
-        use[s[0] : s[-1]] = keep[s[0] : s[-1]]
-        at = row[use[s[0] : s[-1]]]
-        doc, body = (b.column(i).to_numpy(zero_copy_only=False)[at] for i in (0, 1))
-        yield pa.record_batch([pa.array(doc), pa.array(body), pa.array(spot[use]), pa.array(print_[use])], names=["doc", "body", "spot", "print"])
+        s, z = np.diff(spots.offsets.to_numpy()), np.diff(spans.offsets.to_numpy())
+        spot, print_, words = (spots.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        first, last = (spans.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        row = np.repeat(np.arange(b.num_rows), s)
+        n = np.zeros(b.num_rows, np.int64)
+        n[row] = words - MIN_WORDS + 1
+        at = np.concatenate(([0], np.cumsum(n)))
+        of = np.repeat(np.arange(b.num_rows), z)
+        use = n[of] > 0
+        inside = np.zeros(at[-1] + 1, np.int32)
+        np.add.at(inside, (at[of] + first)[use], 1)
+        np.add.at(inside, (at[of] + last)[use] - MIN_WORDS + 1, -1)
+        free = np.cumsum(inside) == 0
+        bits = np.zeros(len(spot), np.int64)
+        for k in range(HOLD):
+            begin = spot.astype(np.int64) - HOLD + 1 + k
+            ok = (begin >= 0) & (begin < n[row])
+            bits |= (ok & free[np.where(ok, at[row] + begin, 0)]).astype(np.int64) << k
+        keep = bits > 0
+        doc, body = (b.column(i).to_numpy(zero_copy_only=False)[row[keep]] for i in (0, 1))
+        yield pa.record_batch([pa.array(doc), pa.array(body), pa.array(spot[keep]), pa.array(print_[keep]), pa.array(bits[keep])], names=["doc", "body", "spot", "print", "windows"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, doc, body, spots): the windows of MIN_WORDS words that hold a gram at one of the spots."""
+    """(text, doc, body, spots): the windows of MIN_WORDS words that the spots' bits stand for, each once."""
     for b in batches:
-        for t, d, body, spots in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            raw = np.frombuffer(t.as_py().encode(), np.uint8)
-            words, _ = word_hashes(np.array([0, len(raw)]), raw, exact=True)
-            content = grams(words, MIN_WORDS, 67)
-            p = spots.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            near = np.zeros(len(content) + 1, np.int64)
-            np.add.at(near, np.maximum(p + GRAM - MIN_WORDS, 0), 1)
-            np.add.at(near, np.minimum(p + 1, len(content)), -1)
-            s = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            yield pa.record_batch([pa.array(np.full(len(s), d, np.int64)), pa.array(np.full(len(s), body, np.int64)), pa.array(s.astype(np.int32)), _signed(content[s])], names=["doc", "body", "first", "content"])
+        offsets, raw = buffers(b.column(0))
+        docs, bodies = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        of = np.concatenate(([0], np.cumsum(np.diff(b.column(3).offsets.to_numpy()))))
+        spot, bits = (b.column(3).flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        for first, last in slices(offsets):
+            words, at = word_hashes(offsets[first : last + 1], raw, exact=True)
+            content = grams(words, MIN_WORDS)
+            some = slice(of[first], of[last])
+            begin = spot[some] - HOLD + 1 + np.repeat(at[:-1], np.diff(of[first : last + 1]))
+            use = np.zeros(len(content), bool)
+            for k in range(HOLD):
+                use[begin[(bits[some] >> k) & 1 > 0] + k] = True
+            use = np.flatnonzero(use)
+            row = np.searchsorted(at, use, "right") - 1
+            yield pa.record_batch([pa.array(docs[first + row]), pa.array(bodies[first + row]), pa.array((use - at[row]).astype(np.int32)), _signed(content[use])], names=["doc", "body", "first", "content"])
 
 
 def strip_passages(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -362,8 +381,8 @@ def _later_passages(base: DataFrame) -> DataFrame:
     spots = _twice(rows).select("doc", "body", F.struct("spot", "print", "words").alias("s"), F.lit(None).cast("struct<first:int,last:int>").alias("r"))
     both = spots.unionByName(spans.select("doc", "body", F.lit(None).cast("struct<spot:int,print:bigint,words:int>").alias("s"), F.struct("first", "last").alias("r")))
     both = both.groupBy("doc", "body").agg(F.collect_set("s").alias("spots"), F.collect_set("r").alias("spans"))
-    left = stored(both.mapInArrow(_open, "doc long, body long, spot int, print long"), "open")
-    left = stored(_twice(left).groupBy("doc", "body").agg(F.collect_set("spot").alias("spots")), "spots")
+    left = stored(both.mapInArrow(_open, "doc long, body long, spot int, print long, windows long"), "open")
+    left = stored(_twice(left).groupBy("doc", "body").agg(F.collect_set(F.struct("spot", "windows")).alias("spots")), "spots")
     if left.count() <= BROADCAST_ROWS:
         base = base.join(F.broadcast(left.select("doc", "body")), ["doc", "body"], "left_semi")
     # Repeated rows are one before they are dealt.
