@@ -306,7 +306,8 @@ def strip_passages(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, in
 def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", carry: tuple[str, ...] = (), passages: bool = False) -> DataFrame:
     """Per row: doc_id, text (without repeated runs), n_lines long, n_removed long, kept_in array<bigint>.
 
-    kept_in lists the documents that hold the first place of what was deleted. A run that repeats
+    kept_in lists the documents that hold the first place of what was deleted; of a run that is found
+    as a whole, the first place of the whole run, parts of which may stand still earlier. A run that repeats
     within itself keeps its first window. Null text stays null with 0 lines; empty text has one empty line. Runs of fewer than MIN_WORDS words stay.
     Repeated rows (same id and text) are one document and are rewritten alike. Rows with a null id
     stay as they are. Lines are compared without the white space at their ends. *carry* names
