@@ -1,14 +1,17 @@
 """Graph analytics on edges(src, dst, relation) as joins and aggregations.
 
 Loops write each round as a table (no lineage grows, and a lost executor costs one round). Driver
-code sees counts only.
+code sees counts only, but for the numbered edges of a graph of at most GRAPH_EDGES, which every task
+of a search from all nodes is given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,18 +134,81 @@ def closeness(edges: DataFrame) -> DataFrame:
     return rows.select("id", value.alias("closeness"))
 
 
+#: Edges of a graph that is handed whole to tasks (8 bytes each); larger ones are searched by joins.
+GRAPH_EDGES = 1 << 22
+#: Nodes and edges, over all starts, that a search in memory holds at once.
+HELD = 1 << 21
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness): exact, directed, normalised by (n - 1)(n - 2).
 
     Dependencies are summed backwards, level by level, over the edges of shortest-path trees:
-    work is the number of (start, edge) pairs, never of triples of nodes. It is done block by block of starts.
+    work is the number of (start, edge) pairs, never of triples of nodes. Up to GRAPH_EDGES edges, each task
+    searches from its share of the starts in memory; beyond, all is done by joins, block by block of starts.
     """
     e = stored(simple(edges), "edges")
-    ids = stored(node_ids(e), "nodes")
+    ids = stored(node_ids(e).withColumn("at", F.row_number().over(Window.orderBy("id")) - 1) if (m := e.count()) <= GRAPH_EDGES else node_ids(e), "nodes")
     n = ids.count()
-    rows = _from_all(ids, n, lambda starts: _dependencies(e, starts)).groupBy("id").agg(F.sum("b").alias("b"))
+    if m <= GRAPH_EDGES:
+        rows = ids.join(_dependencies_in_memory(e, ids, n, m), "at").select("id", "b")
+    else:
+        rows = _from_all(ids, n, lambda starts: _dependencies(e, starts)).groupBy("id").agg(F.sum("b").alias("b"))
     scale = (n - 1) * (n - 2)
-    return ids.join(rows, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) / (scale if scale > 0 else 1)).alias("betweenness"))
+    return ids.select("id").join(rows, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) / (scale if scale > 0 else 1)).alias("betweenness"))
+
+
+def _dependencies_in_memory(e: DataFrame, ids: DataFrame, n: int, m: int) -> DataFrame:
+    """(at, b) as _dependencies from all of ids(id, at), numbers from 0: the starts are dealt to pieces, each searched by one task."""
+    pairs = e.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select("a", "b").toArrow()
+    a, to = (np.asarray(pairs.column(c).to_numpy(), np.int32) for c in ("a", "b"))
+    to = to[np.lexsort((to, a))]
+    first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+    work = n * (n + m)
+    pieces = max(1, min(work >> 22, 128), work >> 30)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                owed = _owed(np.arange(piece, n, pieces), first, to)
+                at = np.flatnonzero(owed)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(owed[at], pa.float64())], names=["at", "b"])
+
+    rows = e.sparkSession.range(0, pieces, 1, pieces).mapInArrow(run, "at int, b double")
+    return stored(rows.groupBy("at").agg(F.sum("b").alias("b")), "dependencies")
+
+
+def _owed(starts: np.ndarray, first: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """How much the shortest paths from *starts* depend on each node between their ends; node i links to to[first[i]:first[i + 1]].
+
+    Some starts at a time: slot k * n + i is node i as seen from the kth of them.
+    """
+    n = len(first) - 1
+    out = np.zeros(n)
+    some = max(1, HELD // max(1, n + len(to)))
+    for block in (starts[i : i + some] for i in range(0, len(starts), some)):
+        begin = at = np.arange(len(block)) * n + block
+        paths, owed, seen, last = np.zeros(len(block) * n), np.zeros(len(block) * n), np.zeros(len(block) * n, bool), np.empty(len(block) * n, np.int64)
+        paths[at], seen[at] = 1.0, True
+        rounds = []
+        while at.size:
+            node = at % n
+            many = first[node + 1] - first[node]
+            edge = np.arange(many.sum()) + np.repeat(first[node] - np.cumsum(many) + many, many)
+            a, b = np.repeat(at, many), np.repeat(at - node, many) + to[edge]
+            new = ~seen[b]
+            a, b = a[new], b[new]
+            np.add.at(paths, b, paths[a])
+            turn = np.arange(b.size)
+            last[b] = turn
+            at = b[last[b] == turn]  # each slot once
+            seen[at] = True
+            rounds.append((a, b))
+        for a, b in reversed(rounds):
+            np.add.at(owed, a, paths[a] / paths[b] * (1 + owed[b]))
+        owed[begin] = 0.0
+        out += owed.reshape(-1, n).sum(axis=0)
+    return out
 
 
 def _dependencies(e: DataFrame, starts: DataFrame) -> DataFrame:

@@ -163,6 +163,23 @@ def test_centralities_by_blocks_of_starts(spark, monkeypatch):
     assert graph.closeness(none).count() == graph.betweenness(none).count() == 0
 
 
+def test_betweenness_searches_in_memory(spark, monkeypatch):
+    """Levels cost no jobs where a graph fits a task, and joins say the same of one that doesn't."""
+    n = 200
+    line = edges(spark, [(f"n{i:03}", f"n{i + 1:03}") for i in range(n - 1)])
+    before = graph.n_stored()
+    got = {r.id: r.betweenness for r in graph.betweenness(line).collect()}
+    assert graph.n_stored() - before <= 4
+    assert all(got[f"n{i:03}"] == pytest.approx(i * (n - 1 - i) / ((n - 1) * (n - 2))) for i in range(n))
+    e = edges(spark, [(f"n{i}", f"n{(i * k + 1) % 23}") for i in range(23) for k in (1, 3, 5, 7)] + [("n3", "x"), ("x", "n3"), ("y", "y"), ("z", "x")])
+    monkeypatch.setattr(graph, "HELD", 300)
+    near = {r.id: r.betweenness for r in graph.betweenness(e).collect()}
+    monkeypatch.setattr(graph, "GRAPH_EDGES", 0)
+    monkeypatch.setattr(graph, "SEARCH_ROWS", 200)
+    joined = {r.id: r.betweenness for r in graph.betweenness(e).collect()}
+    assert near.keys() == joined.keys() and max(near.values()) > 0 and all(near[k] == pytest.approx(joined[k]) for k in near)
+
+
 def test_communities(spark):
     blocks = [[f"{c}{i}" for i in range(6)] for c in "abc"]
     pairs = [(x, y) for b in blocks for i, x in enumerate(b) for y in b[:i]] + [("a0", "b0"), ("b1", "c1")]
