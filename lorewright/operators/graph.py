@@ -2,11 +2,12 @@
 
 Loops write each round as a table (no lineage grows, and a lost executor costs one round). Driver
 code sees counts only, but for the numbered edges of a graph of at most GRAPH_EDGES, which every task
-of a search from all nodes is given.
+of a search from all nodes is given. Communities of such a graph are found by one task.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -27,6 +28,11 @@ def node_ids(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
+def _numbered(ids: DataFrame) -> DataFrame:
+    """(id, at int): ids in order from 0 on, for graphs that fit a task."""
+    return ids.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("at"))
+
+
 def degree_centrality(edges: DataFrame, top: int | None = 20) -> DataFrame:
     """(rank int, id, degree long, centrality): in- and out-degree over n - 1, ties by id."""
     d = simple(edges).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
@@ -148,7 +154,8 @@ def betweenness(edges: DataFrame) -> DataFrame:
     searches from its share of the starts in memory; beyond, all is done by joins, block by block of starts.
     """
     e = stored(simple(edges), "edges")
-    ids = stored(node_ids(e).withColumn("at", F.row_number().over(Window.orderBy("id")) - 1) if (m := e.count()) <= GRAPH_EDGES else node_ids(e), "nodes")
+    m = e.count()
+    ids = stored(_numbered(node_ids(e)) if m <= GRAPH_EDGES else node_ids(e), "nodes")
     n = ids.count()
     if m <= GRAPH_EDGES:
         rows = ids.join(_dependencies_in_memory(e, ids, n, m), "at").select("id", "b")
@@ -322,19 +329,121 @@ PATIENCE = 3
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, grp): communities by local moves of greatest modularity gain, level by level until modularity stops growing.
 
+    Up to GRAPH_EDGES linked pairs one task moves node after node; beyond, joins move many at a time. Groups are named
+    by their smallest node, so the result doesn't depend on partitions.
+    """
+    u = stored(_undirected(edges), "graph")
+    pairs = u.where("a < b")
+    if pairs.count() <= GRAPH_EDGES:
+        ids = stored(_numbered(u.select(F.col("a").alias("id")).distinct()), "nodes")
+        pairs = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y")
+        found = stored(pairs.repartition(1).mapInArrow(_grouped(resolution), "at int, least int"), "groups")
+        return ids.join(found, "at").select("id", "least").join(ids.toDF("grp", "least"), "least").select("id", "grp")
+    names = _moved_by_joins(u, resolution)
+    least = names.groupBy("grp").agg(F.min("id").alias("name"))
+    return names.join(least, "grp").select("id", F.col("name").alias("grp"))
+
+
+def _grouped(resolution: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over all linked pairs of numbered nodes in one task: each node with the smallest one of its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.stack([np.asarray(c, np.int64) for c in b.columns]) for b in batches if b.num_rows]
+        if not got:
+            return
+        x, y = np.concatenate(got, axis=1)
+        grp = _louvain(np.concatenate([x, y]), np.concatenate([y, x]), resolution)
+        least = np.full(len(grp), len(grp))
+        np.minimum.at(least, grp, np.arange(len(grp)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grp)), pa.int32()), pa.array(least[grp], pa.int32())], names=["at", "least"])
+
+    return run
+
+
+#: Orders in which one task tries the nodes of a graph; the groups of greatest modularity are kept.
+ORDERS = 4
+
+
+def _louvain(a: np.ndarray, b: np.ndarray, resolution: float) -> np.ndarray:
+    """A group's number for each node from 0 on; links are given in both directions, in any order.
+
+    Levels go up until no group moves, then the nodes move again between the groups found, until that changes nothing.
+    """
+    n = int(a.max()) + 1
+    links = _links(a, b, np.ones(len(a)), n)
+    best, most = np.arange(n), -np.inf
+    for order in range(ORDERS):
+        names, last = np.arange(n), None
+        while last is None or not np.array_equal(names, last):
+            last = names
+            names = _settled(*links, names, resolution, order)
+            while True:
+                c = int(names.max()) + 1
+                key, at = np.unique(names[links[3]] * c + names[links[1]], return_inverse=True)
+                found = _settled(*_links(key // c, key % c, np.bincount(at, links[2]), c), np.arange(c), resolution, order)
+                names = found[names]
+                if found.max() + 1 == c:
+                    break
+        k = links[4]
+        value = np.sum(names[a] == names[b]) * k.sum() - resolution * np.sum(np.bincount(names, k) ** 2)
+        if value > most:
+            best, most = names, value
+    return best
+
+
+def _links(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links by their node a: where each node's begin, b, w, a, and each node's weight."""
+    order = np.lexsort((b, a))
+    a, b, w = a[order], b[order], w[order]
+    return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]).tolist(), b, w, a, np.bincount(a, w, n)
+
+
+def _settled(first: list[int], to: np.ndarray, w: np.ndarray, _: np.ndarray, k: np.ndarray, grp: np.ndarray, resolution: float, order: int = 0) -> np.ndarray:
+    """The group of each node, numbered anew, after moves from *grp*, one by one, to the linked group of greatest gain, until none gains.
+
+    Node i, of weight k[i], has the links first[i] up to first[i + 1]. Gains are times half of the weight of the graph
+    squared: whole numbers, below 2^53, if the resolution is 1. A node is looked at again when a neighbour has moved.
+    """
+    n, two_m = len(k), float(k.sum())
+    total, grp, k = np.bincount(grp, k, n).tolist(), grp.tolist(), k.tolist()
+    waits, queue = [True] * n, deque(np.random.default_rng(order).permutation(n).tolist() if order else range(n))
+    while queue:
+        i = queue.popleft()
+        waits[i] = False
+        own, links, near = grp[i], {}, to[first[i] : first[i + 1]].tolist()
+        for j, x in zip(near, w[first[i] : first[i + 1]].tolist(), strict=True):
+            if j != i:
+                links[grp[j]] = links.get(grp[j], 0.0) + x
+        total[own] -= k[i]
+        share = resolution * k[i]
+        best, most = own, links.get(own, 0.0) * two_m - share * total[own] + 0.5  # less is no gain but rounding
+        for c, x in links.items():
+            gain = x * two_m - share * total[c]
+            if c != own and (gain > most or gain == most and best != own and c < best):
+                best, most = c, gain
+        grp[i] = best
+        total[best] += k[i]
+        if best != own:
+            for j in near:
+                if not waits[j] and grp[j] != best:
+                    waits[j] = True
+                    queue.append(j)
+    return np.unique(grp, return_inverse=True)[1]
+
+
+def _moved_by_joins(g: DataFrame, resolution: float) -> DataFrame:
+    """(id, grp) on a graph (a, b, w) with both directions of each edge.
+
     At a time only nodes on one side of a hash may move, so most neighbours don't swap, and what
-    lowers modularity is taken back. Groups are named by their smallest node, so the result doesn't depend on partitions.
+    lowers modularity is taken back.
     """
-    g = stored(_undirected(edges), "graph")
     names = None
     while True:
         found, better = _local_moves(g, resolution)
         names = found if names is None else stored(names.toDF("id", "mid").join(found.toDF("mid", "grp"), "mid").select("id", "grp"), "names")
         if not better:
-            break
+            return names
         g = stored(g.join(found.toDF("a", "ga"), "a").join(found.toDF("b", "gb"), "b").groupBy(F.col("ga").alias("a"), F.col("gb").alias("b")).agg(F.sum("w").alias("w")), "graph")
-    least = names.groupBy("grp").agg(F.min("id").alias("name"))
-    return names.join(least, "grp").select("id", F.col("name").alias("grp"))
 
 
 def _quality(g: DataFrame, k: DataFrame, now: DataFrame, two_m: float, resolution: float) -> float:

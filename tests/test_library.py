@@ -1,5 +1,6 @@
 """Operators on small cases of their own."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,3 +344,46 @@ def test_communities_of_a_long_ring(spark):
     e = spark.createDataFrame([(f"n{i:03}", f"n{(i + 1) % n:03}", "r") for i in range(n)], "src string, dst string, relation string")
     found = graph.communities(e)
     assert found.count() == n and graph.modularity(e, found) > 0.68
+
+
+def test_communities_in_one_task(spark, monkeypatch):
+    """Moves cost no jobs where a graph fits a task, and give groups as good as those by joins."""
+    n = 40
+    cliques = [(f"c{c:02}{x}", f"c{c:02}{y}") for c in range(n) for x in "abcde" for y in "abcde" if x != y]
+    e = edges(spark, cliques + [(f"c{c:02}a", f"c{(c + 1) % n:02}e") for c in range(n)] + [("loop", "loop")])
+    before = graph.n_stored()
+    found = graph.communities(e)
+    assert graph.n_stored() - before <= 4
+    near = {r.id: r.grp for r in found.collect()}
+    assert len(near) == 5 * n and all(near[k] == min(x for x in near if near[x] == near[k]) for k in near)
+    assert all(near[f"c{c:02}{x}"] == near[f"c{c:02}a"] for c in range(n) for x in "bcde")
+    assert near == {r.id: r.grp for r in graph.communities(e.repartition(7, "dst")).collect()}
+    few = edges(spark, cliques[:60] + [("c00a", "c01e"), ("c01a", "c02e")])
+    whole = graph.modularity(few, graph.communities(few))
+    assert graph.communities(few.limit(0)).count() == 0
+    monkeypatch.setattr(graph, "GRAPH_EDGES", 0)
+    assert whole >= graph.modularity(few, graph.communities(few)) - 1e-9 > 0.5
+    assert graph.communities(few.limit(0)).count() == 0
+
+
+def test_moves_gain_modularity():
+    """On random graphs: no single move of the last groups gains, and any resolution ends."""
+    for seed in range(20):
+        draw = np.random.default_rng(seed)
+        x, y = np.unique(np.sort(draw.integers(0, 30, (80, 2))), axis=0).T
+        x, y = x[x != y], y[x != y]
+        names, x = np.unique(np.concatenate([x, y]), return_inverse=True)
+        a, b = x, np.concatenate([x[len(y) :], x[: len(y)]])
+        k, two_m = np.bincount(a), len(a)
+
+        def value(grp, r):
+            return np.mean(grp[a] == grp[b]) - r * np.sum((np.bincount(grp, k) / two_m) ** 2)
+
+        for r in (0.3, 1.0, 2.7):
+            grp = graph._louvain(a, b, r)
+            assert len(grp) == len(names) and value(grp, r) >= value(np.arange(len(names)), r)
+            for i in range(len(names)):
+                for c in set(grp[b[a == i]]):
+                    moved = grp.copy()
+                    moved[i] = c
+                    assert value(moved, r) <= value(grp, r) + 2 / two_m**2
