@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorewright.functions import text as T
 from lorewright.operators import build, entries, graph, knowledge, models, ner, normalize, questions, rdf, relations, service, sparql, vectors
 from lorewright.operators.templates import template
+from lorewright.plans import graphs
 from lorewright.sources import external, turtle
 from lorewright.store import drop_stored, stored
 from lorewright.streaming import ingest
@@ -387,3 +388,17 @@ def test_moves_gain_modularity():
                     moved = grp.copy()
                     moved[i] = c
                     assert value(moved, r) <= value(grp, r) + 2 / two_m**2
+
+
+def test_community_labels_cost_few_jobs(spark):
+    """Labels count every node once, and no round of moves is a job."""
+    sf = "/root/testdata/sf0.01"
+    before = graph.n_stored()
+    rows = graphs.community_labels(spark, sf).collect()
+    assert graph.n_stored() - before <= 4
+    schools = {r.id: r.grp for r in graphs.membership(spark, sf).collect()}
+    groups = {}
+    for r in graphs.communities(spark, sf).collect():
+        groups.setdefault(r.grp, []).append(schools[r.id])
+    assert {r.grp: r.members for r in rows} == {k: len(v) for k, v in groups.items()}
+    assert all(r.label == min(groups[r.grp], key=lambda x: (-groups[r.grp].count(x), x)) for r in rows)
