@@ -2,13 +2,13 @@
 
 Loops write each round as a table (no lineage grows, and a lost executor costs one round). Driver
 code sees counts only, but for the numbered edges of a graph of at most GRAPH_EDGES, which every task
-of a search from all nodes is given. Communities of such a graph are found by one task.
+of a search from all nodes is given, and those that find communities.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -329,50 +329,71 @@ PATIENCE = 3
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, grp): communities by local moves of greatest modularity gain, level by level until modularity stops growing.
 
-    Up to GRAPH_EDGES linked pairs one task moves node after node; beyond, joins move many at a time. Groups are named
-    by their smallest node, so the result doesn't depend on partitions.
+    Up to GRAPH_EDGES linked pairs a task moves node after node, in an order of its own up to ORDER_EDGES pairs and in
+    all orders beyond; above GRAPH_EDGES, joins move many at a time. Groups are named by their smallest node, so the
+    result doesn't depend on partitions or tasks.
     """
     u = stored(_undirected(edges), "graph")
     pairs = u.where("a < b")
-    if pairs.count() <= GRAPH_EDGES:
+    m = pairs.count()
+    if m <= GRAPH_EDGES:
         ids = stored(_numbered(u.select(F.col("a").alias("id")).distinct()), "nodes")
-        pairs = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y")
-        found = stored(pairs.repartition(1).mapInArrow(_grouped(resolution), "at int, least int"), "groups")
+        pairs = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y").toArrow()
+        x, y = (np.asarray(pairs.column(c).to_numpy(), np.int32) for c in ("x", "y"))
+        tasks = ORDERS if m <= ORDER_EDGES else 1
+        rows = u.sparkSession.range(0, tasks, 1, tasks).mapInArrow(_grouped(x, y, resolution, tasks), "piece int, worth double, at int, least int")
+        found = stored(rows, "groups")
+        best = found.agg(F.min(F.struct((-F.col("worth")).alias("k"), "piece"))["piece"]).first()[0]
+        found = found.where(F.col("piece") == F.lit(best)).select("at", "least")
         return ids.join(found, "at").select("id", "least").join(ids.toDF("grp", "least"), "least").select("id", "grp")
     names = _moved_by_joins(u, resolution)
     least = names.groupBy("grp").agg(F.min("id").alias("name"))
     return names.join(least, "grp").select("id", F.col("name").alias("grp"))
 
 
-def _grouped(resolution: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over all linked pairs of numbered nodes in one task: each node with the smallest one of its group."""
+#: Orders in which the nodes of a graph are tried; the groups of greatest modularity are kept.
+ORDERS = 4
+#: Pairs of a graph whose orders are tried by a task each; of larger ones an executor may not hold several at once.
+ORDER_EDGES = 1 << 20
+
+
+def _grouped(x: np.ndarray, y: np.ndarray, resolution: float, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over *tasks* pieces, on all linked pairs of numbered nodes: each node with the smallest one of its group, and the groups' worth.
+
+    A piece tries its share of the orders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.stack([np.asarray(c, np.int64) for c in b.columns]) for b in batches if b.num_rows]
-        if not got:
-            return
-        x, y = np.concatenate(got, axis=1)
-        grp = _louvain(np.concatenate([x, y]), np.concatenate([y, x]), resolution)
-        least = np.full(len(grp), len(grp))
-        np.minimum.at(least, grp, np.arange(len(grp)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grp)), pa.int32()), pa.array(least[grp], pa.int32())], names=["at", "least"])
+        for batch in batches:
+            for piece in batch.column(0).to_pylist() if len(x) else []:
+                a, b = (np.concatenate(c).astype(np.int64) for c in ((x, y), (y, x)))
+                grp = _louvain(a, b, resolution, range(piece, ORDERS, tasks))
+                worth = _worth(a, b, grp, resolution)
+                least = np.full(len(grp), len(grp))
+                np.minimum.at(least, grp, np.arange(len(grp)))
+                for at in (np.arange(i, min(i + HELD, len(grp))) for i in range(0, len(grp), HELD)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), piece), pa.int32()), pa.array(np.full(len(at), worth), pa.float64()), pa.array(at, pa.int32()), pa.array(least[grp[at]], pa.int32())],
+                        names=["piece", "worth", "at", "least"],
+                    )
 
     return run
 
 
-#: Orders in which one task tries the nodes of a graph; the groups of greatest modularity are kept.
-ORDERS = 4
+def _worth(a: np.ndarray, b: np.ndarray, grp: np.ndarray, resolution: float) -> float:
+    """The modularity of groups, times the weight of the graph squared: a whole number if the resolution is 1."""
+    return float(np.sum(grp[a] == grp[b])) * len(a) - resolution * float(np.sum(np.bincount(grp, np.bincount(a)) ** 2))
 
 
-def _louvain(a: np.ndarray, b: np.ndarray, resolution: float) -> np.ndarray:
-    """A group's number for each node from 0 on; links are given in both directions, in any order.
+def _louvain(a: np.ndarray, b: np.ndarray, resolution: float, orders: Iterable[int] | None = None) -> np.ndarray:
+    """A group's number for each node from 0 on, the best of *orders* (all); links are given in both directions, in any order.
 
     Levels go up until no group moves, then the nodes move again between the groups found, until that changes nothing.
     """
     n = int(a.max()) + 1
     links = _links(a, b, np.ones(len(a)), n)
     best, most = np.arange(n), -np.inf
-    for order in range(ORDERS):
+    for order in range(ORDERS) if orders is None else orders:
         names, last = np.arange(n), None
         while last is None or not np.array_equal(names, last):
             last = names
@@ -384,8 +405,7 @@ def _louvain(a: np.ndarray, b: np.ndarray, resolution: float) -> np.ndarray:
                 names = found[names]
                 if found.max() + 1 == c:
                     break
-        k = links[4]
-        value = np.sum(names[a] == names[b]) * k.sum() - resolution * np.sum(np.bincount(names, k) ** 2)
+        value = _worth(a, b, names, resolution)
         if value > most:
             best, most = names, value
     return best

@@ -367,6 +367,21 @@ def test_communities_in_one_task(spark, monkeypatch):
     assert graph.communities(few.limit(0)).count() == 0
 
 
+def test_orders_of_moves_at_once(spark, monkeypatch):
+    """Each order in which nodes move is a task of its own, and gives the groups that one task gives that tries them all."""
+    draw = np.random.default_rng(1)
+    e = edges(spark, [(f"n{x:03}", f"n{y:03}") for x, y in draw.integers(0, 300, (900, 2))])
+    kept = {}
+    monkeypatch.setattr(graph, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    near = {r.id: r.grp for r in graph.communities(e).collect()}
+    assert len(kept["groups"].inputFiles()) == graph.ORDERS
+    kept.clear()
+    monkeypatch.setattr(graph, "ORDER_EDGES", 0)
+    assert near == {r.id: r.grp for r in graph.communities(e).collect()}
+    assert len(kept["groups"].inputFiles()) == 1
+    assert len(near) > 290 and len(set(near.values())) > 3
+
+
 def test_moves_gain_modularity():
     """On random graphs: no single move of the last groups gains, and any resolution ends."""
     for seed in range(20):
